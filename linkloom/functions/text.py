@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space as Java classes: \s covers TAB LF VT FF CR SPACE.
-_SPACE = r"[\s\p{Z}\x0B\x85]"
+# White space as trimmed from titles and URLs: ASCII controls, NEL, the separators.
+WHITE_SPACE = "\t\n\v\f\r\x85" + "".join(
+    char for char in map(chr, range(0x3001)) if unicodedata.category(char) in ("Zs", "Zl", "Zp")
+)
 
 
 def sanitize_title(title: Column) -> Column:
@@ -18,13 +22,13 @@ def sanitize_title(title: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    """Trim Unicode white space; Spark's own trim() strips U+0020 only."""
-    return F.regexp_replace(text, rf"^{_SPACE}+|(?<!{_SPACE}){_SPACE}+\z", "")
+    """Trim Unicode white space; Spark's plain trim() strips U+0020 only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
     """True where nothing but white space is left, or the value is missing."""
-    return F.coalesce(~text.rlike(r"[^\s\p{Z}\x0B\x85]"), F.lit(True))
+    return F.coalesce(trim_space(text) == "", F.lit(True))
 
 
 def first_line(text: Column) -> Column:

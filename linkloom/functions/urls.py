@@ -10,8 +10,7 @@ generic URL syntax with these rules:
   may only encode non-ASCII bytes in the host;
 * a port is made of digits; control characters are refused.
 
-Every pattern is a character-class loop, so long or hostile input costs linear
-time and constant stack.
+Loops are possessive, so long or hostile input costs linear time and constant stack.
 """
 
 from __future__ import annotations
@@ -21,18 +20,36 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 1 scheme, 2 authority after a scheme, 3 authority of a scheme-relative URL, 4 the rest.
-_SPLIT = (
-    r"^(?:([A-Za-z][A-Za-z0-9+.\-]*+):(?://([^/?]*+))?+"
-    r"|(?://(?!/)([^/?]*+))?+)([^?]*+)"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*+"
+_HEX = r"[0-9A-Fa-f]{2}"
+_END = r"(?=[/?#]|\z)"
+_PATH = rf"(?:[^%?#]++|%{_HEX})*+"
+# The host may escape non-ASCII bytes only; "%25" stands for itself.
+_HOST_CHAR = rf"[A-Za-z0-9\-._~!$&'()*+,;=<>\"\[]++|[^\x00-\x7F]++|%25|%[89A-Fa-f][0-9A-Fa-f]"
+_HOST_PORT = (
+    # In brackets up to the last one, then the port ...
+    rf"(?:\[(?:(?:{_HOST_CHAR}|:)*+\])++(?::[0-9]*+)?+"
+    # ... or plain: the last colon starts the port, if there is any.
+    rf"|(?!\[)(?:(?:(?:{_HOST_CHAR}|\])*+:)++[0-9]*+|(?:{_HOST_CHAR}|\])*+))"
 )
-_BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
-_BAD_USER = r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]"
-_BAD_HOST = r"[\x00-\x20\x7F\\^`{|}]|%(?!25|[89A-Fa-f][0-9A-Fa-f])"
-# Host with an optional port: bracketed, with a last colon, or without any colon.
-_HOST_PORT = r"^(?:\[.*\](?::[0-9]*)?|(?!\[).*:[0-9]*|(?!\[)[^:]*)\z"
-_PORT = r":[0-9]*\z"
-_BRACKETS = r"^\[(.*)\]\z"
+_USER = rf"(?:(?:[A-Za-z0-9\-._~:!$&'()*+,;=]++|%{_HEX})*+@)*+"
+_AUTHORITY = rf"{_USER}{_HOST_PORT}{_END}"
+
+_VALID = (
+    r"^(?![^#]*[\x00-\x1F\x7F])"
+    rf"(?:{_SCHEME}:(?://{_AUTHORITY}{_PATH}|/(?!/){_PATH}|(?!/)[^?#]*+)"
+    rf"|//(?!/){_AUTHORITY}{_PATH}"
+    # Relative: no colon in the first segment.
+    rf"|(?!//(?!/))(?:[^%:/?#]++|%{_HEX})*+{_END}{_PATH})"
+    rf"(?:\?[^#]*+)?+(?:#(?:[^%]++|%{_HEX})*+)?+\z"
+)
+_SCHEME_PART = rf"^({_SCHEME}):"
+# Without user info, brackets and port.
+_HOST_PART = (
+    rf"^(?:{_SCHEME}://|//(?!/))(?:[^/?#@]*+@)*+\[?+([^/?#]*?)\]?(?::[0-9]*+)?{_END}"
+)
+# What follows "scheme:" without a slash is opaque: neither host nor path.
+_PATH_PART = rf"^(?:{_SCHEME}:(?://[^/?#]*+|(?=/)|[^?#]*+)|//(?!/)[^/?#]*+)?+([^?#]*+)"
 
 
 class UrlParts(NamedTuple):
@@ -45,45 +62,20 @@ class UrlParts(NamedTuple):
 
 
 def parse_url(url: Column) -> UrlParts:
-    """Take a URL apart: validity, lower-case scheme, host name, decoded path."""
-    bare = F.substring_index(url, "#", 1)
-    fragment = F.substring(url, F.length(bare) + 1, F.length(url))
-
-    scheme = F.regexp_extract(bare, _SPLIT, 1)
-    authority = F.concat(F.regexp_extract(bare, _SPLIT, 2), F.regexp_extract(bare, _SPLIT, 3))
-    rest = F.regexp_extract(bare, _SPLIT, 4)
-    # What follows "scheme:" without a slash is opaque: neither host nor path.
-    opaque = (scheme != "") & (authority == "") & ~rest.startswith("/")
-    raw_path = F.when(opaque, F.lit("")).otherwise(rest)
-
-    host_port = F.substring_index(authority, "@", -1)
-    user = F.when(
-        authority.contains("@"),
-        F.substring(authority, F.lit(1), F.length(authority) - F.length(host_port) - 1),
-    ).otherwise(F.lit(""))
-
-    first_segment = F.substring_index(rest, "/", 1)
-    ok = (
-        ~bare.rlike(r"[\x00-\x1F\x7F]")
-        & ~fragment.rlike(_BAD_ESCAPE)
-        & ((scheme != "") | ~first_segment.contains(":"))
-        & ~user.rlike(_BAD_USER)
-        & ~user.rlike(_BAD_ESCAPE)
-        & host_port.rlike(_HOST_PORT)
-        & ~host_port.rlike(_BAD_HOST)
-        & ~raw_path.rlike(_BAD_ESCAPE)
+    """Take a URL apart: validity, lower-case scheme, host name, decoded path.
+
+    Each part is one pattern over the text itself, not built on another part: a
+    filter is evaluated without sharing common sub-expressions.
+    """
+    raw_path = F.regexp_extract(url, _PATH_PART, 1)
+    return UrlParts(
+        ok=url.rlike(_VALID),
+        scheme=F.lower(F.regexp_extract(url, _SCHEME_PART, 1)),
+        host=F.regexp_extract(url, _HOST_PART, 1),
+        # Form decoding would turn "+" into a space, which paths must keep.
+        path=F.try_url_decode(F.replace(raw_path, F.lit("+"), F.lit("%2B"))),
     )
 
-    host = F.regexp_replace(host_port, _PORT, "")
-    host = F.when(host.rlike(_BRACKETS), F.regexp_extract(host, _BRACKETS, 1)).otherwise(host)
-
-    # Form decoding would turn "+" into a space, which paths must keep.
-    path = F.when(
-        raw_path.contains("%"),
-        F.try_url_decode(F.replace(raw_path, F.lit("+"), F.lit("%2B"))),
-    ).otherwise(raw_path)
-    return UrlParts(ok, F.lower(scheme), host, path)
-
 
 def url_ok(url: Column) -> Column:
     return parse_url(url).ok

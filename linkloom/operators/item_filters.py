@@ -29,12 +29,18 @@ def title_words(spark, titles: Sequence[str]) -> list[list[str]]:
     return [row["words"] for row in sorted(rows, key=lambda row: row["seq"])]
 
 
-def _matches_any(normal: Column, rules: Sequence[Sequence[str]]) -> Column:
-    """True where all words of some rule occur in ``normal`` as substrings."""
-    any_rule = [
-        reduce(and_, [F.contains(normal, F.lit(word)) for word in words]) for words in rules
-    ]
-    return reduce(or_, any_rule, F.lit(False))
+def _matches_any(title: Column, rules: Sequence[Sequence[str]]) -> Column:
+    """True where all words of some rule occur in the normalised title as substrings.
+
+    The title is bound to a lambda variable: a filter would otherwise normalise it
+    anew for every word of every rule.
+    """
+
+    def any_rule(normal: Column) -> Column:
+        each = [reduce(and_, [F.contains(normal, F.lit(w)) for w in words]) for words in rules]
+        return reduce(or_, each)
+
+    return F.exists(F.array(sanitize_title(title)), any_rule)
 
 
 def filter_titles(items: DataFrame, titles: Sequence[str], title: str = "title") -> DataFrame:
@@ -47,9 +53,7 @@ def filter_titles(items: DataFrame, titles: Sequence[str], title: str = "title")
         return items.where(F.lit(False))
     if [""] in rules:
         return items.where(F.col(title).isNotNull())
-    # The normalised title is named once, so it is computed once per row.
-    named = items.withColumn("__normal", sanitize_title(F.col(title)))
-    return named.where(_matches_any(F.col("__normal"), rules)).drop("__normal")
+    return items.where(_matches_any(F.col(title), rules))
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -86,8 +90,7 @@ def filter_titles_by_rules(
         words = [row["words"] for row in head]
         if [""] in words:
             return items.where(F.col(title).isNotNull())
-        named = items.withColumn("__normal", sanitize_title(F.col(title)))
-        return named.where(_matches_any(F.col("__normal"), words)).drop("__normal")
+        return items.where(_matches_any(F.col(title), words)) if words else items.where(F.lit(False))
 
     if not rule_words.where(F.element_at("words", 1) == "").isEmpty():
         return items.where(F.col(title).isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from operator import or_
@@ -29,8 +30,11 @@ def apply_chain(rows: DataFrame, steps: Sequence[Step]) -> DataFrame:
 def filter_domains(links: DataFrame, domains: Sequence[str]) -> DataFrame:
     """Keep links whose host is one of ``domains``: exact, in any case, any port."""
     wanted = sorted({domain.strip().lower() for domain in domains})
+    if not wanted:
+        return links.where(F.lit(False))
     parts = parse_url(F.col("url"))
-    return links.where(parts.ok & F.lower(parts.host).isin(*wanted) if wanted else F.lit(False))
+    # The host first: it decides most rows, and is the cheaper test.
+    return links.where(F.lower(parts.host).isin(*wanted) & parts.ok)
 
 
 def filter_domains_by_table(links: DataFrame, domains: DataFrame) -> DataFrame:
@@ -44,6 +48,14 @@ def filter_domains_by_table(links: DataFrame, domains: DataFrame) -> DataFrame:
     )
 
 
+def _search_form(expression: str) -> str:
+    """The expression without a leading ``.*``, which decides nothing in a search.
+
+    With it, a search that fails costs quadratic time in the length of the text.
+    """
+    return re.sub(r"^(?:\.\*\??)+(?![*+?{])", "", expression)
+
+
 def filter_url_regex(links: DataFrame, expressions: Sequence[str]) -> DataFrame:
     """Keep links whose trimmed URL contains a match of any expression.
 
@@ -51,11 +63,10 @@ def filter_url_regex(links: DataFrame, expressions: Sequence[str]) -> DataFrame:
     """
     if not expressions:
         return links.where(F.lit(False))
-    spark = links.sparkSession
-    probe = spark.range(1)
+    probe = links.sparkSession.range(1)
     probe.select(*[F.lit("").rlike(expression) for expression in expressions]).collect()
     url = trim_space(F.col("url"))
-    return links.where(reduce(or_, [url.rlike(expression) for expression in expressions]))
+    return links.where(reduce(or_, [url.rlike(_search_form(e)) for e in expressions]))
 
 
 def filename_as_title(links: DataFrame, trim_extension: bool = False) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections import Counter
+from html import unescape
+from html.entities import html5
 
 # Fixed values of the HTML standard.
 # Elements whose content is text, not markup (scripting on).
@@ -31,82 +34,127 @@ ENDS_SIBLING = {
 SCOPE = frozenset("applet caption html marquee object table template".split())
 
 
-class AnchorCollector(HTMLParser):
-    """Collects ``(href, text)`` of each ``<a href>`` in document order.
+# A comment, any other declaration, or a tag.  Quotes count only after "=".
+_TOKEN = re.compile(
+    r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+>|/[^a-zA-Z][^>]*+>|"""
+    r"""(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"""
+    r"""(?P<attributes>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>)""",
+    re.DOTALL,
+)
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
+_ATTRIBUTE = re.compile(
+    r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?"""
+)
+_REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)")
 
-    An anchor's text ends at its end tag, at the next ``<a>``, at the end of an
-    element around it, or at the end of the document.
-    """
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str]] = []
-        self._open: list[str] = []
-        self._href: str | None = None
-        self._text: list[str] = []
-        self._depth = 0
-
-    def _finish(self) -> None:
-        if self._href is not None:
-            self.found.append((self._href, "".join(self._text)))
-            self._href = None
-            self._text = []
-
-    def _pop_to(self, index: int) -> None:
-        if self._href is not None and index <= self._depth:
-            self._finish()
-        del self._open[index:]
-
-    def _find(self, names) -> int:
-        for index in range(len(self._open) - 1, -1, -1):
-            if self._open[index] in names:
-                return index
-            if self._open[index] in SCOPE:
-                break
-        return -1
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS_PARAGRAPH and (index := self._find(("p",))) >= 0:
-            self._pop_to(index)
-        if (names := ENDS_SIBLING.get(tag)) and (index := self._find(names)) >= 0:
-            self._pop_to(index)
-        if tag == "a":
-            if (index := self._find(("a",))) >= 0:
-                self._pop_to(index)
-            href = next((value or "" for name, value in attrs if name == "href"), None)
-            if href is not None:
-                self._href = href
-                self._depth = len(self._open)
-        if tag in VOID:
-            return
-        self._open.append(tag)
-        if tag in RAW_TEXT and tag not in self.CDATA_CONTENT_ELEMENTS:
-            self.set_cdata_mode(tag)
+def _attribute_text(value: str) -> str:
+    """Decode references; one without a semicolon must be a whole word not before "="."""
+
+    def decode(match: re.Match) -> str:
+        name = match.group(1)
+        if name[0] == "#" or name.endswith(";"):
+            return unescape(match.group())
+        if name in html5 and value[match.end() : match.end() + 1] != "=":
+            return html5[name]
+        return match.group()
+
+    return _REFERENCE.sub(decode, value) if "&" in value else value
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        # HTML has no self-closing elements: <a/> opens an anchor all the same.
-        self.handle_starttag(tag, attrs)
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SCOPE:
-            for index in range(len(self._open) - 1, -1, -1):
-                if self._open[index] == tag:
-                    self._pop_to(index)
-                    return
-        elif (index := self._find((tag,))) >= 0:
-            self._pop_to(index)
+def _href(attributes: str) -> str | None:
+    for match in _ATTRIBUTE.finditer(attributes):
+        if match.group(1).lower() == "href":
+            value = match.group(2) or match.group(3) or match.group(4) or ""
+            return _attribute_text(value)
+    return None
 
-    def handle_data(self, data: str) -> None:
-        if self._href is not None:
-            self._text.append(data)
+
+class _Tracker:
+    """Open elements around and inside the current anchor."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[str, str]] = []
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.href: str | None = None
+        self.text: list[str] = []
+        self.depth = 0
+
+    def finish(self) -> None:
+        if self.href is not None:
+            self.found.append((self.href, "".join(self.text)))
+            self.href, self.text = None, []
+
+    def pop_to(self, index: int) -> None:
+        if self.href is not None and index <= self.depth:
+            self.finish()
+        self.count.subtract(self.open[index:])
+        del self.open[index:]
+
+    def pop_open(self, names) -> None:
+        """Close the innermost of ``names``, unless a scope lies in between."""
+        if not any(self.count[name] > 0 for name in names):
+            return
+        for index in range(len(self.open) - 1, -1, -1):
+            if self.open[index] in names:
+                self.pop_to(index)
+                return
+            if self.open[index] in SCOPE:
+                return
+
+    def start(self, name: str, attributes: str) -> None:
+        if name in ENDS_PARAGRAPH:
+            self.pop_open(("p",))
+        if name in ENDS_SIBLING:
+            self.pop_open(ENDS_SIBLING[name])
+        if name == "a":
+            self.pop_open(("a",))
+            if (href := _href(attributes)) is not None:
+                self.href, self.depth = href, len(self.open)
+        if name not in VOID:
+            self.open.append(name)
+            self.count[name] += 1
+
+    def end(self, name: str) -> None:
+        if name not in SCOPE:
+            self.pop_open((name,))
+        elif self.count[name] > 0:
+            self.pop_to(len(self.open) - 1 - self.open[::-1].index(name))
 
 
 def anchors(html: str) -> list[tuple[str, str]]:
-    """``(href, text)`` of every anchor with an ``href``, in document order."""
+    """``(href, text)`` of every anchor with an ``href``, in document order.
+
+    An anchor's text ends at its end tag, at the next ``<a>``, at the end of an
+    element around it, or at the end of the document.
+    """
     if "<a" not in html and "<A" not in html:
         return []
-    collector = AnchorCollector()
-    collector.feed(html)
-    collector.close()
-    collector._finish()
-    return collector.found
+    tracker = _Tracker()
+    position = 0
+    while (begin := _MARKUP.search(html, position)) is not None:
+        if tracker.href is not None:
+            tracker.text.append(unescape(html[position : begin.start()]))
+        token = _TOKEN.match(html, begin.start())
+        if token is None:
+            # The document ends inside a tag, which then counts for nothing.
+            position = len(html)
+            break
+        position = token.end()
+        if token["name"] is None:
+            continue
+        name = token["name"].lower()
+        if token["end"]:
+            tracker.end(name)
+            continue
+        tracker.start(name, token["attributes"])
+        if name in RAW_TEXT:
+            close = re.compile(rf"</{name}(?=[\s/>])|\Z", re.IGNORECASE).search(html, position)
+            if tracker.href is not None:
+                tracker.text.append(html[position : close.start()])
+            position = close.start()
+    if tracker.href is not None:
+        tracker.text.append(unescape(html[position:]))
+        tracker.finish()
+    return tracker.found

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.functions.text import title_or_href
+from linkloom.functions.text import WHITE_SPACE, title_or_href
 from linkloom.sources.markup import anchors
 
 # Fixed value: absolute web addresses in running text, same text in Java and Python.
@@ -22,11 +21,6 @@ FROM_ANCHOR, FROM_TEXT = 0, 1
 
 EMISSION_KINDS = ("item", "link", "follow")
 
-# White space as trimmed from titles: ASCII controls, NEL and the space separators.
-_WHITE = "\t\n\v\f\r\x85" + "".join(
-    char for char in map(chr, range(0x3001)) if unicodedata.category(char) in ("Zs", "Zl", "Zp")
-)
-
 Scanner = Callable[[str, str], Iterable[tuple[str, str, str]]]
 
 
@@ -43,7 +37,7 @@ def _link_fields(pages: DataFrame, keys: Sequence[str]) -> T.StructType:
 
 
 def _named_anchors(html: str) -> list[tuple[str, str]]:
-    return [(href, text if text.strip(_WHITE) else href) for href, text in anchors(html)]
+    return [(href, text if text.strip(WHITE_SPACE) else href) for href, text in anchors(html)]
 
 
 def _scan_links(pages: DataFrame, keys: Sequence[str], html: str, first_only: bool, text: bool):
@@ -57,7 +51,7 @@ def _scan_links(pages: DataFrame, keys: Sequence[str], html: str, first_only: bo
             if not first_only or href not in seen:
                 seen.add(href)
                 yield FROM_ANCHOR, pos, title, href
-        if text:
+        if text and "://" in body:
             for pos, match in enumerate(pattern.finditer(body)):
                 url = match.group().replace("&amp;", "&")
                 if not first_only or url not in seen:
@@ -93,13 +87,15 @@ def _scan_links(pages: DataFrame, keys: Sequence[str], html: str, first_only: bo
 
 # --- native extraction: column expressions only -------------------------------------
 
-_HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(iframe|noembed|noframes|noscript|script|style|textarea|title|xmp)\b.*?(?:</\1\s*+>|\z)"
-)
-_ANCHOR = (
-    r"""(?is)<a(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>(.*?)(?=</a\s*+>|<a[\s/>]|\z)"""
+_ATTRIBUTES = r"""[aA](?=[\s/])((?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+)"""
+_COMMENT = r"!--.*?(?:-->|\z)"
+_RAW_TEXT = "iframe|noembed|noframes|noscript|script|style|textarea|title|xmp"
+# One pass: comments and raw text are matched too, so that nothing inside is found.
+_SCAN = (
+    rf"(?s)<(?:{_COMMENT}|((?i:{_RAW_TEXT}))\b.*?(?:</(?i:\1)\s*+>|\z)"
+    rf"|{_ATTRIBUTES}(?:>(?:[^<]++|<{_COMMENT}|<(?!/[aA]\s*+>|[aA][\s/>]))*+|\z))"
 )
+_ANCHOR_PARTS = rf"(?s)^<{_ATTRIBUTES}>(.*)"
 _HREF = (
     r"""(?is)(?:^|[\s/"'])href(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))|(?=[\s/]|\z))"""
 )
@@ -122,30 +118,28 @@ def _unescape(text: Column) -> Column:
 
 def _native_anchors(html: Column) -> Column:
     """Array of (src, pos, title, url) structs."""
-    visible = F.regexp_replace(html, _HIDDEN, "")
-    attrs = F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(1))
-    bodies = F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(2))
+    found = F.filter(
+        F.regexp_extract_all(html, F.lit(_SCAN), F.lit(0)),
+        lambda m: m.startswith("<a") | m.startswith("<A"),
+    )
 
-    def one(pair: Column) -> Column:
-        href = _unescape(
-            F.concat(*[F.regexp_extract(pair["attrs"], _HREF, group) for group in (1, 2, 3)])
-        )
+    def one(anchor: Column) -> Column:
+        attributes = F.regexp_extract(anchor, _ANCHOR_PARTS, 1)
+        text = F.regexp_replace(F.regexp_extract(anchor, _ANCHOR_PARTS, 2), rf"(?s)<(?:{_COMMENT}|[^>]*+>)", "")
+        href = F.concat(*[F.regexp_extract(attributes, _HREF, group) for group in (1, 2, 3)])
         return F.struct(
-            pair["attrs"].rlike(_HREF).alias("has_href"),
-            title_or_href(
-                _unescape(F.regexp_replace(pair["bodies"], r"<[^>]*+>", "")), href
-            ).alias("title"),
-            href.alias("url"),
+            attributes.rlike(_HREF).alias("has_href"),
+            _unescape(text).alias("text"),
+            _unescape(href).alias("url"),
         )
 
-    pairs = F.arrays_zip(attrs.alias("attrs"), bodies.alias("bodies"))
-    kept = F.filter(F.transform(pairs, one), lambda a: a["has_href"])
+    kept = F.filter(F.transform(found, one), lambda a: a["has_href"])
     return F.transform(
         kept,
         lambda a, pos: F.struct(
             F.lit(FROM_ANCHOR).alias("src"),
             pos.cast("int").alias("pos"),
-            a["title"].alias("title"),
+            title_or_href(a["text"], a["url"]).alias("title"),
             a["url"].alias("url"),
         ),
     )

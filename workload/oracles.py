@@ -341,7 +341,7 @@ _TEMPLATES: dict[str, str] = {
     ),
     "stream_first_seen_urls": "SELECT DISTINCT url FROM {v_stream}",
     "feeds_to_links": FEEDS_TO_LINKS,
-    "feeds_to_links_parser": FEEDS_TO_LINKS,
+    "feeds_to_links_native": FEEDS_TO_LINKS,
     "chain_from_spec": f"""
         SELECT ord, host, regexp_extract(url, '([^/]*)$', 1) AS title, url FROM ("""
     + _window_dedup(

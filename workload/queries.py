@@ -562,8 +562,12 @@ def dedup_window(t: Tables) -> DataFrame:
 
 @query
 def dedup_window_chunks(t: Tables) -> DataFrame:
-    """One sequence, cut into chunks that are folded in parallel."""
-    return drop_window_duplicates(_ords(t["v_visits"]), 300, ["ord"], max_sequence_rows=2_000)
+    """One sequence, cut into chunks that all cores fold in parallel."""
+    rows = _ords(t["v_visits"])
+    chunks = 2 * t.spark.sparkContext.defaultParallelism
+    return drop_window_duplicates(
+        rows, 300, ["ord"], max_sequence_rows=max(1_000, rows.count() // chunks)
+    )
 
 
 @query
@@ -763,12 +767,12 @@ def _collect(t: Tables, method: str) -> DataFrame:
 @query
 def feeds_to_links(t: Tables) -> DataFrame:
     """Items to new links to the output feed, in one plan."""
-    return _collect(t, "native")
+    return _collect(t, "parser")
 
 
 @query
-def feeds_to_links_parser(t: Tables) -> DataFrame:
-    return _collect(t, "parser")
+def feeds_to_links_native(t: Tables) -> DataFrame:
+    return _collect(t, "native")
 
 
 @query
