@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.stores import new_rows, recent, retain
+from linkloom.workspace import stage
 
 _DAY = "added_day"
 
@@ -33,8 +34,13 @@ class StoreTable:
                 f" PARTITIONED BY ({_DAY}){location}"
             )
 
+    def _table(self) -> DataFrame:
+        # Other sessions write too: a stream inserts through a session of its own.
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
     def read(self) -> DataFrame:
-        return self.spark.table(self.name).select(*self.columns)
+        return self._table().select(*self.columns)
 
     def insert_absent(self, batch: DataFrame, order: Sequence[str], as_of: datetime) -> None:
         fresh = new_rows(batch, self.read(), order).withColumn("added", F.lit(as_of))
@@ -42,7 +48,7 @@ class StoreTable:
 
     def recent(self, max_age: timedelta, as_of: datetime) -> DataFrame:
         first_day = (as_of - max_age).date()
-        table = self.spark.table(self.name).where(F.col(_DAY) >= F.lit(first_day))
+        table = self._table().where(F.col(_DAY) >= F.lit(first_day))
         return recent(table, max_age, as_of).select(*self.columns)
 
     def cleanup(self, max_age: timedelta, as_of: datetime) -> None:
@@ -54,14 +60,13 @@ class StoreTable:
                 self.spark.sql(
                     f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({_DAY} = DATE '{day}')"
                 )
-        boundary = self.spark.table(self.name).where(F.col(_DAY) == F.lit(cutoff.date()))
-        kept = retain(boundary, max_age, as_of)
+        boundary = self._table().where(F.col(_DAY) == F.lit(cutoff.date()))
+        # Staged, since a partition cannot be overwritten while it is being read.
+        kept = stage(retain(boundary, max_age, as_of).select(*self.columns), "cleanup")
+        day = f"PARTITION ({_DAY} = DATE '{cutoff.date().isoformat()}')"
         if kept.isEmpty():
-            self.spark.sql(
-                f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION"
-                f" ({_DAY} = DATE '{cutoff.date().isoformat()}')"
-            )
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS {day}")
         else:
-            kept.write.option("partitionOverwriteMode", "dynamic").insertInto(
-                self.name, overwrite=True
+            self.spark.sql(
+                f"INSERT OVERWRITE TABLE {self.name} {day} SELECT * FROM {{kept}}", kept=kept
             )

@@ -82,35 +82,35 @@ def feed_items(
 
     parsed = documents.select(
         *keys,
-        feed_kind(F.col(document)).alias("kind"),
+        feed_kind(F.col(document)).alias("__kind"),
         # An XML declaration must be the first thing in a document.
-        F.from_xml(F.regexp_replace(document, r"^[\s\uFEFF]+", ""), _DOCUMENT, _OPTIONS).alias("feed"),
+        F.from_xml(F.regexp_replace(document, r"^[\s\uFEFF]+", ""), _DOCUMENT, _OPTIONS).alias("__feed"),
     )
-    corrupt = F.coalesce(F.col("feed._corrupt_record"), F.lit(""))
-    reason = F.when(corrupt != "", "malformed document").when(F.col("kind").isNull(), "not a feed")
+    corrupt = F.coalesce(F.col("__feed._corrupt_record"), F.lit(""))
+    reason = F.when(corrupt != "", "malformed document").when(F.col("__kind").isNull(), "not a feed")
     entries = (
         F.when(
-            F.col("kind") == "atom",
+            F.col("__kind") == "atom",
             F.transform(
-                "feed.entry",
+                "__feed.entry",
                 lambda e: item(
                     e["title"], atom_url(e["link"]), F.coalesce(e["published"], e["updated"])
                 ),
             ),
         )
         .when(
-            F.col("kind") == "rdf",
-            F.transform("feed.item", lambda i: item(i["title"], i["link"], i["dc:date"])),
+            F.col("__kind") == "rdf",
+            F.transform("__feed.item", lambda i: item(i["title"], i["link"], i["dc:date"])),
         )
         .otherwise(
-            F.transform("feed.channel.item", lambda i: item(i["title"], i["link"], i["pubDate"]))
+            F.transform("__feed.channel.item", lambda i: item(i["title"], i["link"], i["pubDate"]))
         )
     )
     failures = parsed.select(*keys, reason.alias("reason")).where("reason is not null")
     items = (
         parsed.where(reason.isNull())
-        .select(*keys, F.posexplode(entries).alias("pos", "item"))
-        .select(*keys, "pos", "item.*")
+        .select(*keys, F.posexplode(entries).alias("pos", "__item"))
+        .select(*keys, "pos", "__item.*")
     )
     return items, failures
 

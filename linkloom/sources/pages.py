@@ -208,8 +208,8 @@ def page_links(
         raise ValueError(f"unknown method: {method}")
     column = F.col(html)
     links = _explode(pages, keys, F.concat(_native_anchors(column), _native_text_urls(column)))
-    first = links.groupBy(*keys, "url").agg(F.min(F.struct("src", "pos", "title")).alias("first"))
-    return first.select(*keys, "first.src", "first.pos", "first.title", "url")
+    first = links.groupBy(*keys, "url").agg(F.min(F.struct("src", "pos", "title")).alias("__first"))
+    return first.select(*keys, "__first.src", "__first.pos", "__first.title", "url")
 
 
 def scan_pages(
