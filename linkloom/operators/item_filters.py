@@ -6,27 +6,25 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.functions.text import sanitize_title
-from linkloom.workspace import stage
+from linkloom.workspace import local_rows, stage
 
 # Rule tables up to this many rows become a literal inside the filter expression.
 MAX_INLINE_RULES = 500
 _GRAM = 3
+_TITLE = T.StructType([T.StructField("title", T.StringType())])
 
 
-def title_words(spark, titles: Sequence[str]) -> list[list[str]]:
+def title_words(spark: SparkSession, titles: Sequence[str]) -> list[list[str]]:
     """The words of each rule title, normalised by the same expression as item titles."""
     if not titles:
         return []
-    rows = (
-        spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "seq int, title string")
-        .select("seq", F.split(sanitize_title(F.col("title")), " ").alias("words"))
-        .collect()
-    )
-    return [row["words"] for row in sorted(rows, key=lambda row: row["seq"])]
+    rows = local_rows(spark, _TITLE, [(title,) for title in titles])
+    return [r[0] for r in rows.select(F.split(sanitize_title(F.col("title")), " ")).collect()]
 
 
 def _matches_any(title: Column, rules: Sequence[Sequence[str]]) -> Column:
@@ -80,22 +78,20 @@ def filter_titles_by_rules(
     piece, titles are looked up by the pieces they hold, and only these candidates
     are compared.  The lookup runs over distinct titles.
     """
-    rule_words = (
+    rule_words = stage(
         rules.where(F.col("title").isNotNull())
         .select(F.split(sanitize_title(F.col("title")), " ").alias("words"))
-        .distinct()
+        .distinct(),
+        "title-rules",
     )
-    head = rule_words.limit(max_inline_rules + 1).collect()
-    if len(head) <= max_inline_rules:
-        words = [row["words"] for row in head]
-        if [""] in words:
-            return items.where(F.col(title).isNotNull())
-        return items.where(_matches_any(F.col(title), words)) if words else items.where(F.lit(False))
-
     if not rule_words.where(F.element_at("words", 1) == "").isEmpty():
         return items.where(F.col(title).isNotNull())
+    head = [row["words"] for row in rule_words.limit(max_inline_rules + 1).collect()]
+    if not head:
+        return items.where(F.lit(False))
+    if len(head) <= max_inline_rules:
+        return items.where(_matches_any(F.col(title), head))
 
-    rule_words = stage(rule_words, "title-rules")
     normals = stage(
         items.select(sanitize_title(F.col(title)).alias("normal")).distinct(), "titles"
     )

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from linkloom.functions.text import first_line, trim_space
 from linkloom.functions.urls import base_name, parse_url, trim_ext
+from linkloom.workspace import local_rows
 
 # Hosts whose short file links can be expanded.
 SHORT_LINK_HOSTS = ("ul.to", "uploaded.net")
@@ -63,8 +64,8 @@ def filter_url_regex(links: DataFrame, expressions: Sequence[str]) -> DataFrame:
     """
     if not expressions:
         return links.where(F.lit(False))
-    probe = links.sparkSession.range(1)
-    probe.select(*[F.lit("").rlike(expression) for expression in expressions]).collect()
+    probe = local_rows(links.sparkSession, T.StructType([T.StructField("url", T.StringType())]), [("",)])
+    probe.select(*[F.col("url").rlike(expression) for expression in expressions]).collect()
     url = trim_space(F.col("url"))
     return links.where(reduce(or_, [url.rlike(_search_form(e)) for e in expressions]))
 
@@ -153,7 +154,9 @@ def filter_catalog(spark, item_filters: Sequence[dict], link_filters: Sequence[d
                 for value in (entry if isinstance(entry, (list, tuple)) else [entry])
             ]
             rows += [(stage, seq, config["type"], value) for value in values or [""]]
-    return spark.createDataFrame(rows, "stage string, seq int, type string, value string")
+    fields = [T.StructField(name, T.StringType()) for name in ("stage", "seq", "type", "value")]
+    fields[1] = T.StructField("seq", T.IntegerType())
+    return local_rows(spark, T.StructType(fields), rows)
 
 
 def describe_filters(catalog: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from linkloom.operators.item_filters import filter_titles
 from linkloom.operators.link_filters import (
@@ -24,6 +25,7 @@ from linkloom.operators.schedule import FETCH_INTERVAL, MAX_ATTEMPTS
 from linkloom.operators.stores import CLEANUP_INTERVAL, CLEANUP_MAX_AGE, OUTPUT_MAX_AGE
 from linkloom.operators.window_dedup import MAX_SEQUENCE_ROWS, drop_window_duplicates
 from linkloom.sources.feeds import FEED_TYPES
+from linkloom.workspace import local_rows
 
 DEFAULT_WINDOW = 100
 
@@ -173,7 +175,12 @@ def link_chain(
 
 def feed_table(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
     """The feeds to poll, with the interval of each."""
-    return spark.createDataFrame(
-        [(feed["type"], feed["url"], feed["fetchInterval"]) for feed in spec.feeds],
-        "type string, url string, fetch_interval interval day to second",
+    schema = T.StructType(
+        [
+            T.StructField("type", T.StringType()),
+            T.StructField("url", T.StringType()),
+            T.StructField("fetch_interval", T.DayTimeIntervalType()),
+        ]
     )
+    rows = [(feed["type"], feed["url"], feed["fetchInterval"]) for feed in spec.feeds]
+    return local_rows(spark, schema, rows)

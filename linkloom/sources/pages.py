@@ -62,7 +62,7 @@ def _scan_links(pages: DataFrame, keys: Sequence[str], html: str, first_only: bo
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[int, int, str, str]] = []
-            for row, body in enumerate(batch.column(html).to_pylist()):
+            for row, body in enumerate(batch.column(html).to_numpy(zero_copy_only=False)):
                 if body:
                     for link in links(body):
                         rows.append(row)
@@ -239,8 +239,8 @@ def scan_pages(
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[int, str, str, str]] = []
-            urls = batch.column(url).to_pylist()
-            bodies = batch.column(body).to_pylist()
+            urls = batch.column(url).to_numpy(zero_copy_only=False)
+            bodies = batch.column(body).to_numpy(zero_copy_only=False)
             for row, (address, text) in enumerate(zip(urls, bodies)):
                 for pos, (kind, title, target) in enumerate(scanner(address, text or "")):
                     if kind not in EMISSION_KINDS:

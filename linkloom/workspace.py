@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -38,6 +41,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/linkloom/{label}-{uuid.uuid4().hex}"
 
 
+def local_rows(spark: SparkSession, schema: T.StructType, rows: list[tuple] = ()) -> DataFrame:
+    """A few rows as a local relation: Catalyst sees them, and no job is needed for them."""
+    names = schema.fieldNames()
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and return the written table.
 

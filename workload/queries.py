@@ -75,7 +75,7 @@ from linkloom.streaming import (
     stream_window_dedup,
     write_updates,
 )
-from linkloom.workspace import scratch_path
+from linkloom.workspace import local_rows, scratch_path
 from workload.views import VIEWS, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -751,8 +751,8 @@ def _collect(t: Tables, method: str) -> DataFrame:
     collected = collect_links(
         items=t["v_items"],
         pages=t["pages"],
-        item_store=spark.createDataFrame([], STORED_ITEM),
-        link_store=spark.createDataFrame([], STORED_LINK),
+        item_store=local_rows(spark, STORED_ITEM),
+        link_store=local_rows(spark, STORED_LINK),
         item_steps=[partial(filter_titles, titles=TITLE_RULES)],
         link_steps=[
             partial(filter_url_regex, expressions=["^/[a-zA-Z]+$"]),

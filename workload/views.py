@@ -87,7 +87,7 @@ VIEWS = {
         FROM {pages} a JOIN {pages} b ON b.page_id = a.page_id * 2 + 2""",
     # Title rules: the first two words of each document.
     "v_rules": """
-        SELECT doc_id, concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) AS title
+        SELECT doc_id, regexp_extract(text, '^[^ ]*( [^ ]*)?', 0) AS title
         FROM {documents}""",
     # Links stored before the second week of the stream.
     "v_link_store": """
