@@ -51,6 +51,9 @@ def filter_titles(items: DataFrame, titles: Sequence[str], title: str = "title")
         return items.where(F.lit(False))
     if [""] in rules:
         return items.where(F.col(title).isNotNull())
+    if len(rules) > MAX_INLINE_RULES:
+        table = local_rows(items.sparkSession, _TITLE, [(t,) for t in titles])
+        return filter_titles_by_rules(items, table, title)
     return items.where(_matches_any(F.col(title), rules))
 
 

@@ -293,3 +293,36 @@ def drop_window_duplicates(
     size = max(size, 1)
     keyed, starts = prepare(rows, size, order_by, partition_by, max_sequence_rows)
     return _fold(keyed, order_by, size, starts, ends=False).select(*rows.columns)
+
+
+def continue_window_dedup(
+    rows: DataFrame,
+    memories: DataFrame | None,
+    size: int,
+    order_by: Sequence[str],
+    partition_by: Sequence[str] = (),
+    max_sequence_rows: int = MAX_SEQUENCE_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`drop_window_duplicates` for rows that follow earlier ones.
+
+    ``memories`` is what the call for the earlier rows returned as its second
+    result, ``None`` for the first call.  Returns the accepted rows and the memories
+    of all sequences, seen now or before.
+    """
+    size = max(size, 1)
+    if memories is not None:
+        here = rows.select(_sequence_key(partition_by).alias(_SEQ)).distinct()
+        current = memories.join(here, _SEQ, "left_semi")
+    else:
+        current = None
+    keyed, starts = prepare(rows, size, order_by, partition_by, max_sequence_rows, current)
+    accepted = _fold(keyed, order_by, size, starts, ends=False).select(*rows.columns)
+    ends = stage(
+        _fold(keyed, order_by, size, starts, ends=True)
+        .groupBy(_SEQ)
+        .agg(F.max_by("end", _CHUNK).alias("start")),
+        "dedup-ends",
+    )
+    if memories is not None:
+        ends = ends.unionByName(memories.join(ends.select(_SEQ), _SEQ, "left_anti"))
+    return accepted, ends

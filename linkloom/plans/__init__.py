@@ -1,12 +1,15 @@
 """Whole jobs: a declarative spec of filters, and feeds-to-links end to end."""
 
 from linkloom.plans.collect import collect_links
+from linkloom.plans.fetches import due_feeds, due_pages
 from linkloom.plans.spec import PipelineSpec, SpecError, item_chain, link_chain, parse_duration
 
 __all__ = [
     "PipelineSpec",
     "SpecError",
     "collect_links",
+    "due_feeds",
+    "due_pages",
     "item_chain",
     "link_chain",
     "parse_duration",

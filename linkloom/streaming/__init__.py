@@ -3,17 +3,21 @@
 from linkloom.streaming.ingest import (
     read_latest,
     stream_attempt_state,
+    stream_collect_links,
     stream_first_seen,
     stream_into_store,
     stream_window_dedup,
+    stream_window_dedup_table,
     write_updates,
 )
 
 __all__ = [
     "read_latest",
     "stream_attempt_state",
+    "stream_collect_links",
     "stream_first_seen",
     "stream_into_store",
     "stream_window_dedup",
+    "stream_window_dedup_table",
     "write_updates",
 ]

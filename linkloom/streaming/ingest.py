@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from linkloom.operators.link_filters import Step
 from linkloom.operators.schedule import attempt_state
-from linkloom.operators.window_dedup import Memory
+from linkloom.operators.window_dedup import MAX_SEQUENCE_ROWS, Memory, continue_window_dedup
+from linkloom.plans.collect import collect_links
 from linkloom.sinks.tables import StoreTable
 
 
@@ -39,7 +41,8 @@ def stream_window_dedup(
     State per sequence is at most ``size`` URLs.  Rows of one trigger are put in
     order within their sequence, so a trigger must be bounded at the source
     (``maxFilesPerTrigger`` and the like), and sequences must arrive in order
-    from one trigger to the next.
+    from one trigger to the next.  This form is for many sequences; where one of
+    them may hold much of a trigger, use :func:`stream_window_dedup_table`.
     """
     size = max(size, 1)
     columns = rows.columns
@@ -63,6 +66,41 @@ def stream_window_dedup(
     )
 
 
+def stream_window_dedup_table(
+    rows: DataFrame,
+    path: str,
+    size: int,
+    order_by: Sequence[str],
+    partition_by: Sequence[str],
+    checkpoint: str,
+    max_sequence_rows: int = MAX_SEQUENCE_ROWS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Sliding-window duplicate filter for few but long sequences.
+
+    Each micro-batch runs the batch operator, which cuts a long sequence over many
+    tasks, and goes on from the memories the batch before left.  Accepted rows go to
+    ``path/rows/batch=N``.  A batch that is run again reads the same memories and
+    overwrites its own output.
+    """
+    spark = rows.sparkSession
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        before = None
+        if batch_id > 0:
+            before = spark.read.parquet(f"{path}/memory/batch={batch_id - 1}")
+        accepted, memories = continue_window_dedup(
+            batch, before, size, order_by, partition_by, max_sequence_rows
+        )
+        accepted.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        memories.write.mode("overwrite").parquet(f"{path}/memory/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def stream_into_store(
     links: DataFrame,
     store: StoreTable,
@@ -115,3 +153,37 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     rest = [column for column in rows.columns if column not in (*keys, "batch")]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
     return last.select(*keys, "last.*")
+
+
+def stream_collect_links(
+    items: DataFrame,
+    pages: DataFrame,
+    item_store: StoreTable,
+    link_store: StoreTable,
+    item_steps: Sequence[Step],
+    link_steps: Sequence[Step],
+    item_order: Sequence[str],
+    checkpoint: str,
+    clock: Callable[[int], datetime],
+    available_now: bool = True,
+    processing_time: str = "1 minute",
+) -> StreamingQuery:
+    """Items as they arrive, through both filter chains, into both stores.
+
+    Links are stored before the items they come from: if a batch breaks off in
+    between, its items still count as new when it is run again.
+    """
+
+    def collect(batch: DataFrame, batch_id: int) -> None:
+        as_of = clock(batch_id)
+        collected = collect_links(
+            batch, pages, item_store.read(), link_store.read(), item_steps, link_steps, as_of,
+            item_order,
+        )
+        link_store.insert_absent(collected.links, ["title"], as_of)
+        item_store.insert_absent(collected.items, ["title"], as_of)
+
+    writer = items.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint)
+    if available_now:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=processing_time).start()

@@ -5,7 +5,15 @@ import pytest
 from pyspark.errors import PySparkException
 
 from linkloom.operators.link_filters import apply_chain
-from linkloom.plans import PipelineSpec, SpecError, collect_links, item_chain, link_chain, parse_duration
+from linkloom.plans import (
+    PipelineSpec,
+    SpecError,
+    collect_links,
+    due_feeds,
+    item_chain,
+    link_chain,
+    parse_duration,
+)
 from linkloom.plans.spec import feed_table
 from linkloom.schemas import STORED_ITEM, STORED_LINK
 
@@ -63,6 +71,18 @@ def test_values_and_feeds(spark):
     ]
 
 
+def test_due_feeds(spark):
+    now = datetime(2024, 3, 1)
+    log = spark.createDataFrame(
+        [("http://a/feed", now - timedelta(minutes=70)), ("http://b/feed", now - timedelta(minutes=70))],
+        "url string, ts timestamp",
+    )
+    spec = PipelineSpec.from_dict(RAW)
+    assert [r.url for r in due_feeds(spark, spec, log, now).collect()] == ["http://a/feed"]
+    later = due_feeds(spark, spec, log, now + timedelta(minutes=20))
+    assert sorted(r.url for r in later.collect()) == ["http://a/feed", "http://b/feed"]
+
+
 @pytest.mark.parametrize(
     "raw",
     [

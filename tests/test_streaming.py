@@ -17,6 +17,7 @@ from linkloom.streaming import (
     stream_first_seen,
     stream_into_store,
     stream_window_dedup,
+    stream_window_dedup_table,
     write_updates,
 )
 from linkloom.workspace import scratch_path
@@ -70,6 +71,18 @@ def test_window_dedup_equals_batch(spark, rows, stream):
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
 
 
+@pytest.mark.parametrize("partition_by", [["host"], []])
+def test_window_dedup_table_equals_batch(spark, rows, stream, partition_by):
+    want = drop_window_duplicates(rows, 6, ["ord"], partition_by)
+    path, checkpoint = scratch_path(spark, "dedup"), scratch_path(spark, "checkpoint")
+    for _ in range(2):
+        stream_window_dedup_table(
+            stream, path, 6, ["ord"], partition_by, checkpoint, max_sequence_rows=45
+        ).awaitTermination()
+    got = spark.read.schema(rows.schema).parquet(f"{path}/rows").drop("batch")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
 def test_attempt_state_equals_batch(spark, rows, stream):
     path = scratch_path(spark, "attempts")
     log = stream.select("url", "ts")

@@ -330,6 +330,15 @@ _TEMPLATES: dict[str, str] = {
     "resume_item_urls": f"""
         SELECT url FROM ({ITEM_STORE}) s WHERE added > {ITEM_CUTOFF}
         UNION SELECT url FROM {{v_visits}}""",
+    "due_page_set": f"""
+        SELECT * FROM (
+            SELECT c.url, coalesce(s.attempts, 0) AS attempts, s.last, true AS should_continue,
+                   coalesce({_fib_due(12)}, {AS_OF}) AS due
+            FROM (SELECT url FROM ({LINK_STORE}) l WHERE added > {LINK_CUTOFF}
+                  UNION SELECT url FROM {{v_attempts}}) c
+            LEFT JOIN ({STATE}) s ON s.url = c.url
+            WHERE coalesce(s.attempts, 0) < 7) q
+        WHERE due <= {AS_OF}""",
     "output_feed_items": f"""
         SELECT title, url, {AS_OF} AS pub_date FROM ({LINK_STORE}) s
         WHERE added > {LINK_CUTOFF}""",
@@ -339,6 +348,8 @@ _TEMPLATES: dict[str, str] = {
     "stream_window_dedup_by_host": _window_dedup(
         "SELECT ord, host, title, url FROM {v_stream}", 10, "host"
     ),
+    "stream_window_dedup_table_rows": _window_dedup("SELECT ord, title, url FROM {v_stream}", 100),
+    "stream_pages_to_links": f"SELECT title, url FROM ({FEEDS_TO_LINKS}) f",
     "stream_first_seen_urls": "SELECT DISTINCT url FROM {v_stream}",
     "feeds_to_links": FEEDS_TO_LINKS,
     "feeds_to_links_native": FEEDS_TO_LINKS,

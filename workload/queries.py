@@ -50,7 +50,7 @@ from linkloom.operators.stores import (
     retain,
 )
 from linkloom.operators.window_dedup import drop_window_duplicates
-from linkloom.plans import PipelineSpec, collect_links, item_chain, link_chain
+from linkloom.plans import PipelineSpec, collect_links, due_pages, item_chain, link_chain
 from linkloom.schemas import STORED_ITEM, STORED_LINK
 from linkloom.sinks import StoreTable, feed_item_xml, output_feed, write_feed
 from linkloom.sources import (
@@ -70,9 +70,11 @@ from linkloom.sources.markup import anchors
 from linkloom.streaming import (
     read_latest,
     stream_attempt_state,
+    stream_collect_links,
     stream_first_seen,
     stream_into_store,
     stream_window_dedup,
+    stream_window_dedup_table,
     write_updates,
 )
 from linkloom.workspace import local_rows, scratch_path
@@ -678,6 +680,14 @@ def resume_item_urls(t: Tables) -> DataFrame:
     return resume_items(_item_store(t), fresh, timedelta(minutes=90), datetime(2024, 1, 2, 3, 0))
 
 
+@query
+def due_page_set(t: Tables) -> DataFrame:
+    """Stored and new pages, less those tried too often or too recently."""
+    spec = PipelineSpec.from_dict({"fetchInterval": "12h", "cleanupMaxAge": "120h"})
+    attempts = t["v_attempts"]
+    return due_pages(spec, _link_store(t), attempts.select("url"), attempts, AS_OF)
+
+
 @query
 def output_feed_items(t: Tables) -> DataFrame:
     return output_feed(_link_store(t), AS_OF, MAX_AGE)
@@ -737,6 +747,40 @@ def stream_window_dedup_by_host(t: Tables) -> DataFrame:
     return _run_to_table(t, stream_window_dedup(rows, 10, ["ord"], ["host"]))
 
 
+@query
+def stream_window_dedup_table_rows(t: Tables) -> DataFrame:
+    """One sequence of all rows, cut over all cores in each micro-batch."""
+    path = scratch_path(t.spark, "stream-dedup")
+    rows = _event_stream(t, "v_stream").select("ord", "title", "url")
+    chunks = 2 * t.spark.sparkContext.defaultParallelism
+    stream_window_dedup_table(
+        rows, path, 100, ["ord"], [], scratch_path(t.spark, "stream-checkpoint"),
+        max_sequence_rows=max(1_000, t["events"].count() // chunks),
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+@query
+def stream_pages_to_links(t: Tables) -> DataFrame:
+    """A stream of items, through both chains, into both stores."""
+    run = uuid4().hex
+    stores = [
+        StoreTable(t.spark, f"linkloom_{kind}_{run}", schema, scratch_path(t.spark, kind))
+        for kind, schema in (("items", STORED_ITEM), ("links", STORED_LINK))
+    ]
+    stream_collect_links(
+        t.spark.sql(VIEWS["v_items"], pages=t.stream("pages")),
+        t["pages"],
+        *stores,
+        item_steps=[partial(filter_titles, titles=TITLE_RULES)],
+        link_steps=[partial(filter_url_regex, expressions=["^/[a-zA-Z]+$"]), filename_as_title],
+        item_order=["page_id"],
+        checkpoint=scratch_path(t.spark, "stream-checkpoint"),
+        clock=lambda batch_id: AS_OF,
+    ).awaitTermination()
+    return stores[1].read().select("title", "url")
+
+
 @query
 def stream_first_seen_urls(t: Tables) -> DataFrame:
     rows = _event_stream(t, "v_stream").select("ts", "url")
