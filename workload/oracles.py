@@ -109,7 +109,7 @@ LINK_STORE = """
     SELECT title, url, ts AS added FROM (
         SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord) AS rn FROM {v_visits}) q
     WHERE rn = 1"""
-ITEM_CUTOFF = "TIMESTAMP '2024-01-02 01:30:00'"
+ITEM_CUTOFF = "TIMESTAMP '2024-01-02 00:25:00'"
 LINK_CUTOFF = "TIMESTAMP '2024-01-15 00:00:00'"
 
 DOMAINS = (

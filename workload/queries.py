@@ -637,7 +637,7 @@ def _link_store(t: Tables) -> DataFrame:
 
 @query
 def recent_items(t: Tables) -> DataFrame:
-    return recent_by_key(_item_store(t), timedelta(minutes=90), datetime(2024, 1, 2, 3, 0))
+    return recent_by_key(_item_store(t), timedelta(minutes=15), datetime(2024, 1, 2, 0, 40))
 
 
 @query
@@ -647,7 +647,7 @@ def recent_links(t: Tables) -> DataFrame:
 
 @query
 def cleanup_items(t: Tables) -> DataFrame:
-    return retain(_item_store(t), timedelta(minutes=90), datetime(2024, 1, 2, 3, 0))
+    return retain(_item_store(t), timedelta(minutes=15), datetime(2024, 1, 2, 0, 40))
 
 
 @query
@@ -677,7 +677,7 @@ def store_table_lifecycle(t: Tables) -> DataFrame:
 @query
 def resume_item_urls(t: Tables) -> DataFrame:
     fresh = t["v_visits"].select("url")
-    return resume_items(_item_store(t), fresh, timedelta(minutes=90), datetime(2024, 1, 2, 3, 0))
+    return resume_items(_item_store(t), fresh, timedelta(minutes=15), datetime(2024, 1, 2, 0, 40))
 
 
 @query
