@@ -116,14 +116,15 @@ def filter_titles_by_rules(
     )
     frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     rarest = (
-        filed.join(frequency, "piece", "left")
+        filed.hint("merge").join(frequency, "piece", "left")
         .groupBy("words")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
         .where("best.n > 0")
         .select("words", "best.piece")
     )
+    # Spark's estimates know nothing of the explosion, so neither side may be broadcast.
     matched = (
-        pieces.join(rarest, "piece")
+        pieces.hint("merge").join(rarest, "piece")
         .where(F.forall("words", lambda w: F.contains(F.col("normal"), w)))
         .select("normal")
         .distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.schemas import FETCH_RESULT
-from linkloom.workspace import stage
+from linkloom.workspace import scratch_path, stage
 
 OK = 200
 
@@ -149,22 +149,28 @@ def follow_frontier(seeds: DataFrame, follows: DataFrame, max_depth: int) -> Dat
     """Breadth-first expansion: ``(url, depth)`` of all URLs within ``max_depth`` steps.
 
     ``seeds`` has ``url``; ``follows`` has ``src`` and ``dst``.  A URL is expanded
-    once, at its smallest depth.  Each level is written out, so the plan of level
-    ``n`` is one join deep, and the loop ends at the first empty level.
+    once, at its smallest depth.  Each level is written as one partition of a table,
+    so the plan of every level stays the same size, and the loop ends at the first
+    empty level.
     """
+    spark = follows.sparkSession
     edges = stage(follows.select("src", "dst").where("src <> dst").distinct(), "follow-edges")
-    level = stage(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "follow-level")
-    reached = level
+    root = scratch_path(spark, "follow-levels")
+
+    def reached() -> DataFrame:
+        return spark.read.schema("url string, depth int").parquet(root)
+
+    seeds.select("url").distinct().write.parquet(f"{root}/depth=0")
     for depth in range(1, max_depth + 1):
+        known = reached()
+        last = known.where(F.col("depth") == depth - 1)
+        if last.isEmpty():
+            break
         step = (
-            edges.join(level.select(F.col("url").alias("src")), "src")
+            edges.join(last.select(F.col("url").alias("src")), "src")
             .select(F.col("dst").alias("url"))
             .distinct()
-            .join(reached, "url", "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .join(known.select("url"), "url", "left_anti")
         )
-        level = stage(step, "follow-level")
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
-    return reached
+        step.write.parquet(f"{root}/depth={depth}")
+    return reached()
