@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.operators.stores import new_rows, recent, retain
 from linkloom.workspace import stage
@@ -20,18 +21,30 @@ class StoreTable:
     The day partition serves age reads and cleanup: both touch only the days they
     need.  An insert is repeatable: URLs that are stored already are skipped, so a
     batch that is run again after a failure adds nothing twice.
+
+    With ``buckets`` a new table is also bucketed by URL: an insert then compares a
+    batch with the store without moving the store.
     """
 
-    def __init__(self, spark: SparkSession, name: str, schema, path: str | None = None) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        name: str,
+        schema: T.StructType,
+        path: str | None = None,
+        buckets: int | None = None,
+    ) -> None:
         self.spark = spark
         self.name = name
         self.columns = schema.fieldNames()
+        self.buckets = buckets
         if not spark.catalog.tableExists(name):
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             location = f" LOCATION '{path}'" if path else ""
+            clustering = f" CLUSTERED BY (url) INTO {buckets} BUCKETS" if buckets else ""
             spark.sql(
                 f"CREATE TABLE {name} ({fields}, {_DAY} DATE) USING parquet"
-                f" PARTITIONED BY ({_DAY}){location}"
+                f" PARTITIONED BY ({_DAY}){clustering}{location}"
             )
 
     def _table(self) -> DataFrame:
@@ -44,6 +57,9 @@ class StoreTable:
 
     def insert_absent(self, batch: DataFrame, order: Sequence[str], as_of: datetime) -> None:
         fresh = new_rows(batch, self.read(), order).withColumn("added", F.lit(as_of))
+        if self.buckets:
+            # One file per bucket, not one per bucket and task.
+            fresh = fresh.repartition(self.buckets, "url")
         fresh.select(*self.columns, F.lit(as_of.date()).alias(_DAY)).write.insertInto(self.name)
 
     def recent(self, max_age: timedelta, as_of: datetime) -> DataFrame:

@@ -91,3 +91,27 @@ def test_store_table(spark):
     table.cleanup(timedelta(0), days[2] + timedelta(days=9))
     assert table.read().isEmpty()
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_bucketed_store_is_not_moved(spark):
+    name = f"store_{uuid4().hex}"
+    table = StoreTable(spark, name, STORED_LINK, scratch_path(spark, "store"), buckets=6)
+    for i in range(3):
+        rows = [(n, "t", f"u{n + 5 * i}") for n in range(10)]
+        table.insert_absent(batch(spark, *rows), ["ord"], NOW + i * HOUR)
+    assert sorted(r.url for r in table.read().collect()) == sorted(f"u{n}" for n in range(20))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = new_rows(batch(spark, (1, "t", "u1"), (2, "t", "new")), table.read(), ["ord"])
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert [r.url for r in fresh.collect()] == ["new"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # The scan of the store is joined as it lies; only the batch is shuffled.
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    join = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
+    store_side = lines[max(i for i in range(join, scan) if "+- Sort" in lines[i]) : scan]
+    assert not any("Exchange" in line for line in store_side), plan
+    spark.sql(f"DROP TABLE {name}")

@@ -51,14 +51,15 @@ VIEWS = {
                                user_id, '.html?x=1')
                END AS url
         FROM {events}""",
-    # What the status addresses of short links answered; a third is missing.
+    # What the status addresses of short links answered: a name, no name, or another address.
     "v_lookups": """
         SELECT DISTINCT
                concat(CASE user_id % 4 WHEN 0 THEN 'http://ul.to' ELSE 'http://uploaded.net' END,
-                      '/file/f', user_id, '/status') AS status_url,
+                      CASE user_id % 3 WHEN 0 THEN '/gone/f' ELSE '/file/f' END,
+                      user_id, '/status') AS status_url,
                CASE user_id % 3 WHEN 1 THEN concat('movie', user_id, '.mkv', chr(10), '198 KB')
                                 ELSE concat('', chr(10), '0 KB') END AS body
-        FROM {events} WHERE user_id % 3 <> 0""",
+        FROM {events}""",
     # Well-formed and malformed addresses.
     "v_urls": """
         SELECT page_id, CASE page_id % 14
