@@ -70,6 +70,12 @@ def test_rule_table_equals_inlined_rules(spark, inline):
     assert sorted(titles(got)) == want
 
 
+def test_long_rule_lists_leave_the_expression(spark):
+    rules = [f"word{i} other{i}" for i in range(700)]
+    rows = items(spark, "OTHER3 & word3", "word4 other5", "x word699, other699")
+    assert sorted(titles(filter_titles(rows, rules))) == ["OTHER3 & word3", "x word699, other699"]
+
+
 def test_rule_table_special_cases(spark):
     rows = items(spark, "a", "b")
     for inline in (10, 0):
