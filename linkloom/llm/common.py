@@ -99,11 +99,8 @@ def packed(schema: pa.Schema, rows: list[tuple], size: int = 512) -> Iterator[pa
 
 def joined(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     """All arrays of a binary column, one after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
-
-
-def repeat_by(column: pa.Array | pa.ChunkedArray, counts: np.ndarray) -> np.ndarray:
-    return np.repeat(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy(), counts)
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, dtype) if data else np.zeros(0, dtype)
 
 
 def lengths(column: pa.Array | pa.ChunkedArray, item: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .secret_scan import scan_secrets
 from .topk import scaled, top_k
 
@@ -32,6 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -61,6 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op10_top_k": op10_top_k,
