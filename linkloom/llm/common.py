@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Cut a batch into row ranges of about ``most`` bytes of text (one row at least)."""
-    sizes = np.fromiter((len(v or "") for v in column.to_pylist()), np.int64, len(column))
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()
     begin, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > most:

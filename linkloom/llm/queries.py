@@ -9,6 +9,7 @@ from .bpe import decode, encode
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .secret_scan import scan_secrets
+from .suffix_dedup import suffix_dedup
 from .topk import scaled, top_k
 
 
@@ -48,6 +49,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -68,6 +75,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op10_top_k": op10_top_k,
 }
