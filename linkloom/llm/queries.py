@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .lm_scoring import lm_scores
 from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
 from .topk import scaled, top_k
@@ -66,6 +67,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = scaled(table(spark, sf_dir, "embeddings"))
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_top_k": op10_top_k,
 }
 
