@@ -11,6 +11,7 @@ from .jaccard_join import jaccard_join
 from .lm_scoring import lm_scores
 from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
+from .toxicity import fit, toxicity_scores
 from .topk import scaled, top_k
 
 
@@ -50,6 +51,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(crc_mod("doc_id", 5) != 0))
+    return toxicity_scores(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence"
+    )
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=100).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
@@ -80,6 +89,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
