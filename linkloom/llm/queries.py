@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .line_dedup import line_dedup
 from .lm_scoring import lm_scores
+from .mixing import mix_sources
 from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
 from .toxicity import fit, toxicity_scores
@@ -59,6 +61,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=100).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
@@ -90,6 +102,8 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
