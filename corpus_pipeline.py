@@ -67,8 +67,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at a similarity of 0.8 the smallest id stays.
 
-    Documents without words link with nothing and stay.  Rows that repeat an id and a
-    text are one document.  Rows without an id stay unless a row with one is linked.
+    Documents without words link with nothing and stay.  Of rows that repeat an id and a
+    text one stays; rows of one id and different texts stay if one of them does.  Rows
+    without an id stay unless a row with one is linked.
     """
     groups = jaccard_join(docs, words=5, percent=80)
     stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(

@@ -346,19 +346,20 @@ def line_dedup(
     document, and each gets its result.  An empty table gives an empty result.
     """
     stays = near_lines(docs, id_col, text_col, edits=edits, least=least)
-    kept = stays.groupBy("doc", "twin").agg(F.collect_set("pos").alias("stays"))
-    key_doc = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    kept = stays.groupBy(F.col("doc").alias("__doc"), F.col("twin").alias("__twin")).agg(
+        F.collect_set("pos").alias("__stays")
+    )
 
     def cut(batches):
         for batch in batches:
             texts, total, dropped = [], [], []
-            for text, stay in zip(batch.column("text_in").to_pylist(), batch.column("stays").to_pylist()):
+            for text, stay in zip(batch.column("__text").to_pylist(), batch.column("__stays").to_pylist()):
                 stay, lines = set(stay or ()), text.split("\n")
                 left = [t for i, t in enumerate(lines) if i in stay or not eligible(t, least)]
                 texts.append("\n".join(left))
                 total.append(len(lines) if text else 0)
                 dropped.append(len(lines) - len(left))
-            rest = batch.select([n for n in batch.schema.names if n not in ("text_in", "stays")])
+            rest = batch.select([n for n in batch.schema.names if n not in ("__text", "__stays")])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())],
                 [*rest.schema.names, "text", "n_lines", "n_dropped"],
@@ -366,8 +367,14 @@ def line_dedup(
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), *keep, text.alias("text_in"), key_doc.alias("doc"), F.xxhash64(text).alias("twin")
+        F.col(id_col).alias("doc_id"),
+        *keep,
+        text.alias("__text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__doc"),
+        F.xxhash64(text).alias("__twin"),
+    )
+    rows = rows.join(kept, ["__doc", "__twin"], "left").drop("__doc", "__twin")
+    types = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__text", "__stays")
     )
-    joined_rows = rows.join(kept, ["doc", "twin"], "left").drop("doc", "twin")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined_rows.schema if f.name not in ("text_in", "stays"))
-    return joined_rows.mapInArrow(cut, f"{types}, text string, n_lines long, n_dropped long")
+    return rows.mapInArrow(cut, f"{types}, text string, n_lines long, n_dropped long")
