@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +11,6 @@ from pyspark.sql import types as T
 from linkloom.functions.text import sanitize_title
 from linkloom.workspace import local_rows, stage
 
-# Rule tables up to this many rows become a literal inside the filter expression.
-MAX_INLINE_RULES = 500
 _GRAM = 3
 _TITLE = T.StructType([T.StructField("title", T.StringType())])
 
@@ -30,30 +26,27 @@ def title_words(spark: SparkSession, titles: Sequence[str]) -> list[list[str]]:
 def _matches_any(title: Column, rules: Sequence[Sequence[str]]) -> Column:
     """True where all words of some rule occur in the normalised title as substrings.
 
-    The title is bound to a lambda variable: a filter would otherwise normalise it
-    anew for every word of every rule.
+    The rules are one literal, so the expression is as deep for one as for thousands.
+    The title is bound to a lambda variable: a filter would otherwise normalise it anew
+    for every word of every rule.
     """
-
-    def any_rule(normal: Column) -> Column:
-        each = [reduce(and_, [F.contains(normal, F.lit(w)) for w in words]) for words in rules]
-        return reduce(or_, each)
-
-    return F.exists(F.array(sanitize_title(title)), any_rule)
+    table = F.array(*[F.array(*[F.lit(word) for word in words]) for words in rules])
+    return F.exists(
+        F.array(sanitize_title(title)),
+        lambda normal: F.exists(table, lambda words: F.forall(words, lambda w: F.contains(normal, w))),
+    )
 
 
 def filter_titles(items: DataFrame, titles: Sequence[str], title: str = "title") -> DataFrame:
     """Keep items whose title holds all words of at least one of ``titles``.
 
-    No titles keep nothing; an empty title keeps everything.
+    No titles keep nothing; an empty title keeps everything.  Works on streams.
     """
     rules = title_words(items.sparkSession, titles)
     if not rules:
         return items.where(F.lit(False))
     if [""] in rules:
         return items.where(F.col(title).isNotNull())
-    if len(rules) > MAX_INLINE_RULES:
-        table = local_rows(items.sparkSession, _TITLE, [(t,) for t in titles])
-        return filter_titles_by_rules(items, table, title)
     return items.where(_matches_any(F.col(title), rules))
 
 
@@ -68,18 +61,13 @@ def _grams(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def filter_titles_by_rules(
-    items: DataFrame,
-    rules: DataFrame,
-    title: str = "title",
-    max_inline_rules: int = MAX_INLINE_RULES,
-) -> DataFrame:
+def filter_titles_by_rules(items: DataFrame, rules: DataFrame, title: str = "title") -> DataFrame:
     """:func:`filter_titles` with the rules in a table of any size, column ``title``.
 
-    A small rule table is inlined.  Beyond ``max_inline_rules`` the substring test
-    becomes an equi-join: every rule is filed under its rarest three-character
-    piece, titles are looked up by the pieces they hold, and only these candidates
-    are compared.  The lookup runs over distinct titles.
+    The substring test becomes an equi-join: every rule is filed under its rarest
+    three-character piece, titles are looked up by the pieces they hold, and only these
+    candidates are compared.  Of the titles' pieces only those that some rule has are
+    kept, before anything is counted or compared.  The lookup runs over distinct titles.
     """
     rule_words = stage(
         rules.where(F.col("title").isNotNull())
@@ -87,17 +75,6 @@ def filter_titles_by_rules(
         .distinct(),
         "title-rules",
     )
-    if not rule_words.where(F.element_at("words", 1) == "").isEmpty():
-        return items.where(F.col(title).isNotNull())
-    head = [row["words"] for row in rule_words.limit(max_inline_rules + 1).collect()]
-    if not head:
-        return items.where(F.lit(False))
-    if len(head) <= max_inline_rules:
-        return items.where(_matches_any(F.col(title), head))
-
-    normals = stage(
-        items.select(sanitize_title(F.col(title)).alias("normal")).distinct(), "titles"
-    )
     # A rule is filed under pieces of its longest word, short words as they are.
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
     filed = rule_words.withColumn("__longest", longest).select(
@@ -108,23 +85,28 @@ def filter_titles_by_rules(
             )
         ).alias("piece"),
     )
-    sizes = [
-        row["n"] for row in filed.select(F.length("piece").alias("n")).distinct().collect()
-    ]
-    pieces = normals.select(
-        "normal", F.explode(F.concat(*[_grams(F.col("normal"), n) for n in sizes])).alias("piece")
+    sizes = [row["n"] for row in filed.select(F.length("piece").alias("n")).distinct().collect()]
+    if 0 in sizes:
+        return items.where(F.col(title).isNotNull())
+    if not sizes:
+        return items.where(F.lit(False))
+    normals = items.select(sanitize_title(F.col(title)).alias("normal")).distinct()
+    pieces = stage(
+        normals.select(
+            "normal", F.explode(F.concat(*[_grams(F.col("normal"), n) for n in sizes])).alias("piece")
+        ).join(filed.select("piece").distinct(), "piece", "left_semi"),
+        "title-pieces",
     )
     frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     rarest = (
-        filed.hint("merge").join(frequency, "piece", "left")
+        filed.join(frequency, "piece", "left")
         .groupBy("words")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
         .where("best.n > 0")
         .select("words", "best.piece")
     )
-    # Spark's estimates know nothing of the explosion, so neither side may be broadcast.
     matched = (
-        pieces.hint("merge").join(rarest, "piece")
+        pieces.join(rarest, "piece")
         .where(F.forall("words", lambda w: F.contains(F.col("normal"), w)))
         .select("normal")
         .distinct()

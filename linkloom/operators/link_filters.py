@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
-from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,6 +56,14 @@ def _search_form(expression: str) -> str:
     return re.sub(r"^(?:\.\*\??)+(?![*+?{])", "", expression)
 
 
+def _any_of(conditions: Sequence[Column]) -> Column:
+    """A balanced tree of alternatives: its depth grows with the logarithm of their number."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return _any_of(conditions[:half]) | _any_of(conditions[half:])
+
+
 def filter_url_regex(links: DataFrame, expressions: Sequence[str]) -> DataFrame:
     """Keep links whose trimmed URL contains a match of any expression.
 
@@ -65,9 +72,9 @@ def filter_url_regex(links: DataFrame, expressions: Sequence[str]) -> DataFrame:
     if not expressions:
         return links.where(F.lit(False))
     probe = local_rows(links.sparkSession, T.StructType([T.StructField("url", T.StringType())]), [("",)])
-    probe.select(*[F.col("url").rlike(expression) for expression in expressions]).collect()
+    probe.select(F.array(*[F.col("url").rlike(expression) for expression in expressions])).collect()
     url = trim_space(F.col("url"))
-    return links.where(reduce(or_, [url.rlike(_search_form(e)) for e in expressions]))
+    return links.where(_any_of([url.rlike(_search_form(e)) for e in expressions]))
 
 
 def filename_as_title(links: DataFrame, trim_extension: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Where results go: RSS output and the day-partitioned store tables."""
 
-from linkloom.sinks.feed import feed_document, feed_item_xml, output_feed, write_feed
+from linkloom.sinks.feed import feed_item_xml, output_feed, write_feed
 from linkloom.sinks.tables import StoreTable
 
-__all__ = ["StoreTable", "feed_document", "feed_item_xml", "output_feed", "write_feed"]
+__all__ = ["StoreTable", "feed_item_xml", "output_feed", "write_feed"]

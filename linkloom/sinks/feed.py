@@ -87,32 +87,3 @@ def write_feed(
         .option("lineSep", "\n")
         .text(path)
     )
-
-
-def feed_document(
-    items: DataFrame,
-    as_of: datetime,
-    title: str = "links",
-    description: str = "recent links",
-    max_items: int = 100_000,
-) -> DataFrame:
-    """The whole feed as one row, for a reader that wants one string.
-
-    One value must fit in one task, so more than ``max_items`` items are refused;
-    use :func:`write_feed` for these.
-    """
-    if items.select("url").limit(max_items + 1).count() > max_items:
-        raise ValueError(f"more than {max_items} items, write the feed with write_feed")
-    entries = items.select("url", feed_item_xml().alias("xml")).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("url", "xml"))), lambda e: e["xml"]
-            ),
-            "\n",
-        ).alias("body")
-    )
-    return entries.select(
-        F.concat(
-            _head(title, description, as_of), F.lit("\n"), "body", F.lit("\n</channel></rss>")
-        ).alias("document")
-    )

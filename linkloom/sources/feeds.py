@@ -14,8 +14,10 @@ FEED_TYPES = ("rss",)
 # Prolog, then the local name of the root element.
 _ROOT = (
     r"(?s)^\uFEFF?(?:\s++|<\?.*?\?>|<!--.*?-->|<![^>]*+>)*+"
-    r"<(?:[A-Za-z_][\w.\-]*+:)?([A-Za-z_][\w.\-]*+)"
+    r"<(?:([A-Za-z_][\w.\-]*+):)?([A-Za-z_][\w.\-]*+)"
 )
+# Fixed value: the namespace of items in RDF feeds.
+_RDF_ITEMS = r"""xmlns:([A-Za-z_][\w.\-]*+)\s*=\s*["']http://purl\.org/rss/1\.0/["']"""
 
 # One schema for all kinds: RSS keeps items inside the channel, RDF beside it.
 # The corrupt-record column must come last, or from_xml shifts the other fields.
@@ -31,12 +33,27 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"
 
 def feed_kind(document: Column) -> Column:
     """``rss``, ``rdf`` or ``atom`` by the root element; NULL if it is no feed."""
-    root = F.lower(F.regexp_extract(document, _ROOT, 1))
+    root = F.lower(F.regexp_extract(document, _ROOT, 2))
     return (
         F.when(root == "rss", "rss").when(root == "rdf", "rdf").when(root == "feed", "atom")
     )
 
 
+def _bare(document: Column) -> Column:
+    """The document without the prefix of its feed elements, if these have one.
+
+    That is the root's own prefix in RSS and Atom; an RDF root always has one, and there
+    it is the prefix bound to the namespace of items.  Other prefixes stay.
+    """
+    prefix = F.when(feed_kind(document) == "rdf", F.regexp_extract(document, _RDF_ITEMS, 1)).otherwise(
+        F.regexp_extract(document, _ROOT, 1)
+    )
+    tags = F.concat(F.lit("(</?)"), F.regexp_replace(prefix, r"([.\-])", r"\\$1"), F.lit(":"))
+    return F.when(F.coalesce(prefix, F.lit("")) == "", document).otherwise(
+        F.regexp_replace(document, tags, F.lit("$1"))
+    )
+
+
 def _feed_date(text: Column) -> Column:
     """Mail-style or ISO dates; anything else is NULL."""
     mail = F.regexp_replace(text, r"^\s*[A-Za-z]+,\s*", "")
@@ -80,12 +97,20 @@ def feed_items(
         )
         return F.get(alternate, 0)["_href"]
 
+    # An XML declaration must be the first thing in a document.
+    text = F.regexp_replace(_bare(F.col(document)), r"^[\s\uFEFF]+", "")
+    # Behind a generator, so that a filter on the result does not parse a second time.
     parsed = documents.select(
         *keys,
-        feed_kind(F.col(document)).alias("__kind"),
-        # An XML declaration must be the first thing in a document.
-        F.from_xml(F.regexp_replace(document, r"^[\s\uFEFF]+", ""), _DOCUMENT, _OPTIONS).alias("__feed"),
-    )
+        F.explode(
+            F.array(
+                F.struct(
+                    feed_kind(F.col(document)).alias("__kind"),
+                    F.from_xml(text, _DOCUMENT, _OPTIONS).alias("__feed"),
+                )
+            )
+        ).alias("__parsed"),
+    ).select(*keys, "__parsed.*")
     corrupt = F.coalesce(F.col("__feed._corrupt_record"), F.lit(""))
     reason = F.when(corrupt != "", "malformed document").when(F.col("__kind").isNull(), "not a feed")
     entries = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,8 @@ _LATIN_LABELS = (
 _UTF8_LABELS = ("utf-8", "utf8", "unicode-1-1-utf-8")
 
 _CHARSET = r"""(?i)charset\s*=\s*["']?\s*([^\s"';>]+)"""
-_SNIFFED_BYTES = 1024
+# Where a document's own declaration must stand before.
+_HEAD_END = r"(?i)</head|<body"
 
 
 def read_fetch_results(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +37,9 @@ def read_fetch_results(spark: SparkSession, path: str) -> DataFrame:
 def _charset(content_type: Column, body: Column) -> Column:
     """Byte-order mark, then the header, then the document's own declaration."""
     mark = F.hex(F.substring(body, 1, 3))
-    head = F.decode(F.substring(body, 1, _SNIFFED_BYTES), "ISO-8859-1")
+    latin = F.decode(body, "ISO-8859-1")
+    end = F.regexp_instr(latin, F.lit(_HEAD_END))
+    head = F.when(end > 0, F.substring(latin, F.lit(1), end - 1)).otherwise(latin)
     text = body.cast("string")
     declared = F.lower(
         F.coalesce(
@@ -145,32 +148,33 @@ def fetch_failures(
     return failures
 
 
-def follow_frontier(seeds: DataFrame, follows: DataFrame, max_depth: int) -> DataFrame:
-    """Breadth-first expansion: ``(url, depth)`` of all URLs within ``max_depth`` steps.
+def follow_frontier(seeds: DataFrame, follows: DataFrame) -> DataFrame:
+    """Breadth-first expansion: ``(url, depth)`` of all URLs that can be reached.
 
     ``seeds`` has ``url``; ``follows`` has ``src`` and ``dst``.  A URL is expanded
     once, at its smallest depth.  Each level is written as one partition of a table,
     so the plan of every level stays the same size, and the loop ends at the first
-    empty level.
+    empty level.  A level's rows are counted as they are written.
     """
     spark = follows.sparkSession
     edges = stage(follows.select("src", "dst").where("src <> dst").distinct(), "follow-edges")
     root = scratch_path(spark, "follow-levels")
 
-    def reached() -> DataFrame:
-        return spark.read.schema("url string, depth int").parquet(root)
+    def write(level: DataFrame, depth: int) -> int:
+        rows = Observation()
+        level.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/depth={depth}")
+        return rows.get["n"]
 
-    seeds.select("url").distinct().write.parquet(f"{root}/depth=0")
-    for depth in range(1, max_depth + 1):
-        known = reached()
-        last = known.where(F.col("depth") == depth - 1)
-        if last.isEmpty():
-            break
+    depth, found = 0, write(seeds.select("url").distinct(), 0)
+    while found:
+        last = spark.read.schema("url string").parquet(f"{root}/depth={depth}")
+        known = spark.read.schema("url string, depth int").parquet(root)
         step = (
             edges.join(last.select(F.col("url").alias("src")), "src")
             .select(F.col("dst").alias("url"))
             .distinct()
             .join(known.select("url"), "url", "left_anti")
         )
-        step.write.parquet(f"{root}/depth={depth}")
-    return reached()
+        depth += 1
+        found = write(step, depth)
+    return spark.read.schema("url string, depth int").parquet(root)

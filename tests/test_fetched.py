@@ -71,7 +71,21 @@ def test_follow_frontier(spark):
         [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("a", "c"), ("c", "d"), ("d", "e"), ("x", "y")],
         "src string, dst string",
     )
-    got = {r.url: r.depth for r in follow_frontier(urls(spark, "a"), edges, 10).collect()}
+    got = {r.url: r.depth for r in follow_frontier(urls(spark, "a"), edges).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
-    got = {r.url: r.depth for r in follow_frontier(urls(spark, "a", "x"), edges, 1).collect()}
-    assert got == {"a": 0, "x": 0, "b": 1, "c": 1, "y": 1}
+    got = {r.url: r.depth for r in follow_frontier(urls(spark, "a", "x"), edges).collect()}
+    assert got == {"a": 0, "x": 0, "b": 1, "c": 1, "y": 1, "d": 2, "e": 3}
+
+
+def test_follow_frontier_has_no_depth_limit(spark):
+    chain = spark.range(12).selectExpr("cast(id AS string) AS src", "cast(id + 1 AS string) AS dst")
+    assert {int(r.url): r.depth for r in follow_frontier(urls(spark, "0"), chain).collect()} == {
+        i: i for i in range(13)
+    }
+
+
+def test_declared_charset_late_in_the_head(spark):
+    late = b"<html><head><!--" + b"-" * 5_000 + b'--><meta charset="koi8-r"></head><body>' + "д".encode("koi8-r")
+    after = b"<html><head></head><body>" + b'<meta charset="koi8-r">' + "é".encode("cp1252")
+    got = {r.url: r.text for r in decode_bodies(results(spark, ("a", 200, "", late), ("b", 200, "", after))).collect()}
+    assert got["a"].endswith("д") and got["b"].endswith("é")

@@ -291,7 +291,7 @@ def fetch_failure_log(t: Tables) -> DataFrame:
 @query
 def follow_frontier_levels(t: Tables) -> DataFrame:
     seeds = t["pages"].where("page_id = 0").select("url")
-    return follow_frontier(seeds, t["v_follow"], max_depth=64)
+    return follow_frontier(seeds, t["v_follow"])
 
 
 # --- page links -------------------------------------------------------------------------
