@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.backoff import fibonacci_multiplier
@@ -17,9 +19,54 @@ MAX_ATTEMPTS = 7
 Schedule = Callable[[Column, Column], tuple[Column, Column]]
 
 
-def attempt_state(log: DataFrame) -> DataFrame:
-    """Per URL the number of attempts and the time of the last one."""
-    return log.groupBy("url").agg(F.count("*").alias("attempts"), F.max("ts").alias("last"))
+EPOCH = datetime(1970, 1, 1)
+
+
+@dataclass(frozen=True)
+class Cleanups:
+    """Cleanups at ``origin + k * interval``: each forgets URLs last tried over ``max_age`` before it."""
+
+    interval: timedelta
+    max_age: timedelta
+    origin: datetime = EPOCH
+
+    def forgets(self, last: Column) -> Column:
+        """When a URL last tried at ``last`` is forgotten: the first cleanup after its age is up."""
+        step = self.interval // timedelta(microseconds=1)
+        start = (self.origin - EPOCH) // timedelta(microseconds=1)
+        age = self.max_age // timedelta(microseconds=1)
+        turns = F.floor((F.unix_micros(last) + F.lit(age - start)) / step) + 1
+        return F.timestamp_micros((turns * step + start).cast("long"))
+
+
+def attempt_state(
+    log: DataFrame,
+    cleanups: Cleanups | None = None,
+    as_of: datetime | None = None,
+    state: DataFrame | None = None,
+) -> DataFrame:
+    """Per URL the number of attempts and the time of the last one.
+
+    With ``cleanups`` the count of a URL starts again after each that forgets it, and a
+    URL that is forgotten by ``as_of`` is left out.  ``state`` is what this gave for the
+    log before; ``log`` then has the rows since.
+    """
+    if cleanups is None and state is None:
+        return log.groupBy("url").agg(F.count("*").alias("attempts"), F.max("ts").alias("last"))
+    # Attempts at one time are one row from here on, counted before the shuffle.
+    steps = log.groupBy("url", "ts").agg(F.count("*").alias("n"))
+    if state is not None:
+        steps = steps.unionByName(state.select("url", F.col("last").alias("ts"), F.col("attempts").alias("n")))
+    if cleanups is None:
+        return steps.groupBy("url").agg(F.sum("n").alias("attempts"), F.max("ts").alias("last"))
+    order = W.partitionBy("url").orderBy("ts")
+    before = F.lag("ts").over(order)
+    spells = steps.withColumn(
+        "__new", F.coalesce((cleanups.forgets(before) <= F.col("ts")).cast("int"), F.lit(0))
+    ).withColumn("__spell", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    counts = spells.groupBy("url", "__spell").agg(F.sum("n").alias("attempts"), F.max("ts").alias("last"))
+    latest = counts.groupBy("url").agg(F.max_by(F.struct("attempts", "last"), "__spell").alias("s")).select("url", "s.*")
+    return latest if as_of is None else latest.where(cleanups.forgets(F.col("last")) > F.lit(as_of))
 
 
 def with_attempts(candidates: DataFrame, state: DataFrame) -> DataFrame:

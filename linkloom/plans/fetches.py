@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.schedule import (
+    Cleanups,
     attempt_state,
     due_fetches,
     fibonacci,
@@ -34,8 +35,16 @@ def due_pages(
     new_items: DataFrame,
     attempts: DataFrame,
     as_of: datetime,
+    scanned: DataFrame | None = None,
 ) -> DataFrame:
-    """Pages of stored and new items that are to be tried now, or tried again."""
+    """Pages of stored and new items that are to be tried now, or tried again.
+
+    Attempts are counted since the last cleanup that forgot the URL.  Pages in
+    ``scanned`` have been read and are not tried again.
+    """
     urls = resume_items(item_store, new_items, spec.cleanup_max_age, as_of)
-    state = with_attempts(urls, attempt_state(attempts))
+    if scanned is not None:
+        urls = urls.join(scanned.select("url"), "url", "left_anti")
+    cleanups = Cleanups(spec.cleanup_interval, spec.cleanup_max_age)
+    state = with_attempts(urls, attempt_state(attempts, cleanups, as_of))
     return due_fetches(state, fibonacci(spec.fetch_interval, spec.max_attempts), as_of)

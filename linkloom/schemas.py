@@ -19,6 +19,8 @@ LINK = T.StructType(
 
 STORED_ITEM = T.StructType(ITEM.fields + [T.StructField("added", T.TimestampType())])
 STORED_LINK = T.StructType(LINK.fields + [T.StructField("added", T.TimestampType())])
+# Pages that have been read for links.
+SCANNED = T.StructType([T.StructField("url", T.StringType()), T.StructField("added", T.TimestampType())])
 
 ATTEMPT_LOG = T.StructType(
     [

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkloom.operators.link_filters import Step
 from linkloom.operators.schedule import attempt_state
+from linkloom.operators.stores import CLEANUP_MAX_AGE
 from linkloom.operators.window_dedup import MAX_SEQUENCE_ROWS, Memory, continue_window_dedup
 from linkloom.plans.collect import collect_links
 from linkloom.sinks.tables import StoreTable
+from linkloom.workspace import stage
 
 
 def stream_attempt_state(log: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 
 def stream_collect_links(
     items: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | Callable[[int], DataFrame],
     item_store: StoreTable,
     link_store: StoreTable,
     item_steps: Sequence[Step],
@@ -167,21 +169,34 @@ def stream_collect_links(
     clock: Callable[[int], datetime],
     available_now: bool = True,
     processing_time: str = "1 minute",
+    scanned_store: StoreTable | None = None,
+    max_age: timedelta = CLEANUP_MAX_AGE,
 ) -> StreamingQuery:
     """Items as they arrive, through both filter chains, into both stores.
 
-    Links are stored before the items they come from: if a batch breaks off in
-    between, its items still count as new when it is run again.
+    ``pages`` is a table, or a function of the batch number that gives the pages at
+    hand then.  With ``scanned_store`` (columns ``url, added``) each batch also scans the
+    pages of earlier items younger than ``max_age`` that have come since.
+
+    Links are stored first, then the pages they come from, then the items: if a batch
+    breaks off in between, the rest counts as new when it is run again.  What a batch
+    found is written once, and inserted from there.
     """
 
     def collect(batch: DataFrame, batch_id: int) -> None:
         as_of = clock(batch_id)
+        scanned = scanned_store.read() if scanned_store is not None else None
         collected = collect_links(
-            batch, pages, item_store.read(), link_store.read(), item_steps, link_steps, as_of,
-            item_order,
+            batch, pages(batch_id) if callable(pages) else pages, item_store.read(), link_store.read(),
+            item_steps, link_steps, as_of, item_order, scanned=scanned, max_age=max_age,
         )
-        link_store.insert_absent(collected.links, ["title"], as_of)
-        item_store.insert_absent(collected.items, ["title"], as_of)
+        parts = [(link_store, collected.links, "title"), (item_store, collected.items, "title")]
+        if scanned_store is not None:
+            parts.insert(1, (scanned_store, collected.scanned, "url"))
+        # All parts before any insert: the stores they were made from must not move.
+        parts = [(store, stage(rows, "collected"), order) for store, rows, order in parts]
+        for store, rows, order in parts:
+            store.insert_absent(rows, [order], as_of)
 
     writer = items.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint)
     if available_now:

@@ -94,6 +94,27 @@ def _fib_due(hours: int) -> str:
 STATE = "SELECT url, count(*) AS attempts, max(ts) AS last FROM {v_attempts} GROUP BY url"
 AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
 
+
+def _state_after_cleanups(log: str, every_hours: int, age_hours: int) -> str:
+    """Attempts since the last cleanup that forgot the URL, of URLs not forgotten yet."""
+    hour = 3_600_000_000
+
+    def forgets(ts: str) -> str:
+        return f"make_timestamp(((epoch_us({ts}) + {age_hours * hour}) // {every_hours * hour} + 1) * {every_hours * hour})"
+
+    return f"""
+    SELECT url, attempts, last FROM (
+        SELECT url, spell, CAST(sum(n) AS BIGINT) AS attempts, max(ts) AS last,
+               row_number() OVER (PARTITION BY url ORDER BY spell DESC) AS rn
+        FROM (SELECT url, ts, n, sum(CASE WHEN {forgets('prev')} <= ts THEN 1 ELSE 0 END)
+                         OVER (PARTITION BY url ORDER BY ts) AS spell
+              FROM (SELECT url, ts, n, lag(ts) OVER (PARTITION BY url ORDER BY ts) AS prev
+                    FROM (SELECT url, ts, count(*) AS n FROM ({log}) l GROUP BY url, ts) a) b) c
+        GROUP BY url, spell) d
+    WHERE rn = 1 AND {forgets('last')} > {AS_OF}"""
+
+
+
 CANDIDATES = f"""
     SELECT c.url, coalesce(s.attempts, 0) AS attempts, s.last
     FROM (SELECT url FROM {{pages}} UNION ALL SELECT DISTINCT url FROM {{v_attempts}}) c
@@ -139,15 +160,27 @@ CHAINED = _expanded(_window_dedup(DOMAIN_FILTERED, 200))
 
 FEED_KINDS = ("rss", "atom", "rdf")
 
-FEEDS_TO_LINKS = f"""
-    WITH kept AS (SELECT url FROM {{v_items}} WHERE contains({NORMAL}, 'the')),
+
+def _new_links(kept: str, stored: str, tail: str) -> str:
+    """New links of the pages of kept items, less those stored."""
+    return f"""
+    WITH kept AS ({kept}),
     links AS (
         SELECT page_id, 0 AS src, pos, title, url, row_number() OVER (
                    PARTITION BY url ORDER BY page_id, pos) AS rn
         FROM ({_from(ANCHOR_ROWS, '(SELECT p.* FROM {pages} p JOIN kept k ON k.url = p.url)')}) a
         WHERE regexp_matches(url, '^/[a-zA-Z]+$'))
-    SELECT substr(url, 2) AS title, url, TIMESTAMP '2024-01-20 01:00:00' AS pub_date
-    FROM links WHERE rn = 1"""
+    SELECT substr(url, 2) AS title, url{tail} FROM links
+    WHERE rn = 1 AND url NOT IN ({stored})"""
+
+
+NEW_ITEMS = f"SELECT url FROM {{v_items}} WHERE contains({NORMAL}, 'the')"
+FEEDS_TO_LINKS = _new_links(
+    f"""{NEW_ITEMS} AND page_id % 3 <> 0 AND page_id % 9 <> 0
+        UNION SELECT url FROM {{v_items}} WHERE page_id % 6 = 0 AND page_id % 9 <> 0""",
+    f"SELECT url FROM ({_from(ANCHOR_ROWS, '(SELECT * FROM {pages} WHERE page_id % 5 = 0)')}) s",
+    ", TIMESTAMP '2024-01-20 01:00:00' AS pub_date",
+)
 
 FEED_ITEMS = "SELECT page_id // 20 AS feed_id, page_id % 20 AS pos, trim(title) AS title, url"
 
@@ -231,7 +264,7 @@ _TEMPLATES: dict[str, str] = {
            OR contains({NORMAL}, 'la')""",
     "item_title_filter_rules_join": f"""
         SELECT i.page_id, i.title, i.url
-        FROM (SELECT *, {NORMAL} AS n FROM {{v_items}}) i
+        FROM (SELECT *, {NORMAL} AS n FROM {{v_titles}}) i
         WHERE EXISTS (
             SELECT 1 FROM (SELECT DISTINCT {NORMAL} AS rule FROM {{v_rules}}) r
             WHERE list_bool_and(list_transform(string_split(r.rule, ' '),
@@ -262,6 +295,9 @@ _TEMPLATES: dict[str, str] = {
     "expand_short_link_names": _expanded("SELECT * FROM {v_mixed}"),
     "attempt_lookup": CANDIDATES,
     "attempt_states": STATE,
+    "attempt_states_after_cleanups": _state_after_cleanups(
+        f"SELECT * FROM {{v_attempts}} a WHERE ts < {AS_OF}", 6, 120
+    ),
     "schedule_periodic": f"""
         SELECT url, attempts, last, true AS should_continue,
                last + CASE WHEN attempts % 3 = 1 THEN INTERVAL '90' MINUTE
@@ -319,13 +355,11 @@ _TEMPLATES: dict[str, str] = {
     "cleanup_items": f"SELECT * FROM ({ITEM_STORE}) s WHERE added >= {ITEM_CUTOFF}",
     "cleanup_links": f"SELECT * FROM ({LINK_STORE}) s WHERE added >= {LINK_CUTOFF}",
     "cleanup_attempts": f"SELECT * FROM ({STATE}) s WHERE last >= {LINK_CUTOFF}",
-    # Six batches, stamped with the end of each; the cleanup leaves 10 days before the 20th.
+    # Batches of six days from the first one, stamped with their end; the cleanup leaves 10 days before the 20th.
     "store_table_lifecycle": f"""
         SELECT title, url, added FROM (
-            SELECT title, url,
-                   TIMESTAMP '2024-01-07 00:00:00'
-                   + ((day(added) - 1) // 6) * INTERVAL '6' DAY AS added
-            FROM ({LINK_STORE}) s WHERE added < TIMESTAMP '2024-02-06 00:00:00') q
+            SELECT title, url, first_day + (date_diff('day', first_day, added) // 6 + 1) * INTERVAL '6' DAY AS added
+            FROM ({LINK_STORE}) s, (SELECT date_trunc('day', min(ts))::TIMESTAMP AS first_day FROM {{v_visits}}) f) q
         WHERE added >= TIMESTAMP '2024-01-10 00:00:00'""",
     "resume_item_urls": f"""
         SELECT url FROM ({ITEM_STORE}) s WHERE added > {ITEM_CUTOFF}
@@ -336,7 +370,7 @@ _TEMPLATES: dict[str, str] = {
                    coalesce({_fib_due(12)}, {AS_OF}) AS due
             FROM (SELECT url FROM ({LINK_STORE}) l WHERE added > {LINK_CUTOFF}
                   UNION SELECT url FROM {{v_attempts}}) c
-            LEFT JOIN ({STATE}) s ON s.url = c.url
+            LEFT JOIN ({_state_after_cleanups("SELECT * FROM {v_attempts}", 1, 120)}) s ON s.url = c.url
             WHERE coalesce(s.attempts, 0) < 7) q
         WHERE due <= {AS_OF}""",
     "output_feed_items": f"""
@@ -349,7 +383,7 @@ _TEMPLATES: dict[str, str] = {
         "SELECT ord, host, title, url FROM {v_stream}", 10, "host"
     ),
     "stream_window_dedup_table_rows": _window_dedup("SELECT ord, title, url FROM {v_stream}", 100),
-    "stream_pages_to_links": f"SELECT title, url FROM ({FEEDS_TO_LINKS}) f",
+    "stream_pages_to_links": _new_links(NEW_ITEMS, "SELECT NULL WHERE false", ""),
     "stream_first_seen_urls": "SELECT DISTINCT url FROM {v_stream}",
     "feeds_to_links": FEEDS_TO_LINKS,
     "feeds_to_links_native": FEEDS_TO_LINKS,

@@ -33,6 +33,7 @@ from linkloom.operators.link_filters import (
     flat_map_rows,
 )
 from linkloom.operators.schedule import (
+    Cleanups,
     attempt_state,
     due_fetches,
     fibonacci,
@@ -51,7 +52,7 @@ from linkloom.operators.stores import (
 )
 from linkloom.operators.window_dedup import drop_window_duplicates
 from linkloom.plans import PipelineSpec, collect_links, due_pages, item_chain, link_chain
-from linkloom.schemas import STORED_ITEM, STORED_LINK
+from linkloom.schemas import SCANNED, STORED_ITEM, STORED_LINK
 from linkloom.sinks import StoreTable, feed_item_xml, output_feed, write_feed
 from linkloom.sources import (
     anchor_links,
@@ -433,7 +434,7 @@ def item_title_filter(t: Tables) -> DataFrame:
 
 @query
 def item_title_filter_rules_join(t: Tables) -> DataFrame:
-    return filter_titles_by_rules(t["v_items"], t["v_rules"]).select("page_id", "title", "url")
+    return filter_titles_by_rules(t["v_titles"], t["v_rules"]).select("page_id", "title", "url")
 
 
 @query
@@ -517,6 +518,14 @@ def attempt_states(t: Tables) -> DataFrame:
     return attempt_state(t["v_attempts"])
 
 
+@query
+def attempt_states_after_cleanups(t: Tables) -> DataFrame:
+    """Counts start again after a cleanup; first half of the log as a state, the rest added to it."""
+    log, cleanups, noon = t["v_attempts"].where(F.col("ts") < F.lit(AS_OF)), Cleanups(timedelta(hours=6), MAX_AGE), datetime(2024, 1, 9, 12)
+    state = attempt_state(log.where(F.col("ts") < F.lit(noon)), cleanups)
+    return attempt_state(log.where(F.col("ts") >= F.lit(noon)), cleanups, AS_OF, state)
+
+
 @query
 def schedule_periodic(t: Tables) -> DataFrame:
     state = attempt_state(t["v_attempts"]).withColumn(
@@ -666,10 +675,13 @@ def store_table_lifecycle(t: Tables) -> DataFrame:
     name = f"linkloom_links_{uuid4().hex}"
     table = StoreTable(t.spark, name, STORED_LINK, scratch_path(t.spark, "store"))
     visits = t["v_visits"].select("ord", "ts", "title", "url")
-    for day in range(1, 32, 6):
-        first, end = datetime(2024, 1, day), datetime(2024, 1, day) + timedelta(days=6)
-        batch = visits.where((F.col("ts") >= F.lit(first)) & (F.col("ts") < F.lit(end)))
-        table.insert_absent(batch.select("ord", "title", "url"), ["ord"], end)
+    step = timedelta(days=6)
+    begin, last = visits.agg(F.min("ts"), F.max("ts")).first()
+    begin = datetime.combine(begin.date(), datetime.min.time())
+    while begin <= last:
+        batch = visits.where((F.col("ts") >= F.lit(begin)) & (F.col("ts") < F.lit(begin + step)))
+        table.insert_absent(batch.select("ord", "title", "url"), ["ord"], begin + step)
+        begin += step
     table.cleanup(timedelta(days=10), AS_OF)
     return table.recent(timedelta(days=12), AS_OF)
 
@@ -697,7 +709,8 @@ def output_feed_items(t: Tables) -> DataFrame:
 
 
 def _event_stream(t: Tables, view: str) -> DataFrame:
-    return t.spark.sql(VIEWS[view], events=t.stream("events"))
+    """The view over events that come in three micro-batches."""
+    return t.spark.sql(VIEWS[view], events=t.arriving("events", "event_id"))
 
 
 @query
@@ -762,23 +775,29 @@ def stream_window_dedup_table_rows(t: Tables) -> DataFrame:
 
 @query
 def stream_pages_to_links(t: Tables) -> DataFrame:
-    """A stream of items, through both chains, into both stores."""
+    """A stream of items in three batches, through both chains, into both stores.
+
+    Every other page comes with the last batch only, after its item.
+    """
     run = uuid4().hex
-    stores = [
+    items, links, scanned = [
         StoreTable(t.spark, f"linkloom_{kind}_{run}", schema, scratch_path(t.spark, kind))
-        for kind, schema in (("items", STORED_ITEM), ("links", STORED_LINK))
+        for kind, schema in (("items", STORED_ITEM), ("links", STORED_LINK), ("scanned", SCANNED))
     ]
+    pages = t["pages"]
     stream_collect_links(
-        t.spark.sql(VIEWS["v_items"], pages=t.stream("pages")),
-        t["pages"],
-        *stores,
+        t.spark.sql(VIEWS["v_items"], pages=t.arriving("pages", "page_id")),
+        lambda batch_id: pages if batch_id >= 2 else pages.where("page_id % 2 = 0"),
+        items,
+        links,
+        scanned_store=scanned,
         item_steps=[partial(filter_titles, titles=TITLE_RULES)],
         link_steps=[partial(filter_url_regex, expressions=["^/[a-zA-Z]+$"]), filename_as_title],
         item_order=["page_id"],
         checkpoint=scratch_path(t.spark, "stream-checkpoint"),
         clock=lambda batch_id: AS_OF,
     ).awaitTermination()
-    return stores[1].read().select("title", "url")
+    return links.read().select("title", "url")
 
 
 @query
@@ -792,11 +811,16 @@ def stream_first_seen_urls(t: Tables) -> DataFrame:
 
 def _collect(t: Tables, method: str) -> DataFrame:
     spark = t.spark
+    # Every third item is stored, half of these too long ago to be scanned again.
+    hours = F.when(F.col("page_id") % 2 == 0, F.lit(timedelta(hours=1))).otherwise(F.lit(timedelta(hours=30)))
+    stored = t["v_items"].where("page_id % 3 = 0").withColumn("added", F.lit(AS_OF) - hours)
+    known = page_links(t["pages"].where("page_id % 5 = 0").select("page_id", "html"), method=method)
     collected = collect_links(
         items=t["v_items"],
         pages=t["pages"],
-        item_store=local_rows(spark, STORED_ITEM),
-        link_store=local_rows(spark, STORED_LINK),
+        item_store=stored.select("title", "url", "pub_date", "added"),
+        link_store=known.select("title", "url", F.lit(AS_OF - timedelta(days=1)).alias("added")),
+        scanned=t["pages"].where("page_id % 9 = 0").select("url"),
         item_steps=[partial(filter_titles, titles=TITLE_RULES)],
         link_steps=[
             partial(filter_url_regex, expressions=["^/[a-zA-Z]+$"]),

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.workspace import scratch_path
+
 VIEWS = {
     # Feed entries: one per page.
     "v_items": """
@@ -88,8 +90,11 @@ VIEWS = {
         FROM {pages} a JOIN {pages} b ON b.page_id = a.page_id * 2 + 2""",
     # Title rules: the first two words of each document.
     "v_rules": """
-        SELECT doc_id, regexp_extract(text, '^[^ ]*( [^ ]*)?', 0) AS title
-        FROM {documents}""",
+        SELECT page_id AS doc_id, title FROM {v_items}""",
+    # Titles of pages, which all hold a rule, among names of parts.
+    "v_titles": """
+        SELECT page_id, title, url FROM {v_items}
+        UNION ALL SELECT -p_partkey, p_name, concat('/part/', p_partkey) FROM {part}""",
     # Links stored before the second week of the stream.
     "v_link_store": """
         SELECT title, url, ts AS added FROM (
@@ -148,3 +153,15 @@ class Tables:
             if field.dataType.typeName() == "timestamp_ntz":
                 df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
         return df
+
+    def arriving(self, name: str, key: str, parts: int = 3) -> DataFrame:
+        """A given table as a stream of ``parts`` files by ranges of ``key``, one in each micro-batch."""
+        table = self[name]
+        path = scratch_path(self.spark, f"arriving-{name}")
+        low, high = table.agg(F.min(key), F.max(key)).first()
+        step = (high - low) // parts + 1
+        for part in range(parts):
+            begin = low + part * step
+            rows = table.where((F.col(key) >= begin) & (F.col(key) < begin + step))
+            rows.coalesce(1).write.mode("append").parquet(path)
+        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
