@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from linkloom.workspace import stage
 
 # Longer sequences are cut into chunks of about this many rows.
-MAX_SEQUENCE_ROWS = 16_000_000
+MAX_SEQUENCE_ROWS = 1_000_000
 
 # A row with a place is not a row of the input but an entry of the memory to start from.
 _SEQ, _CHUNK, _PLACE = "__seq", "__chunk", "__place"
@@ -247,34 +247,31 @@ def prepare(
     """Rows keyed by (sequence, chunk), and the memory each chunk starts from."""
     # Counting, cutting and folding must see the same rows, and see them cheaply.
     keyed = stage(rows.withColumn(_SEQ, _sequence_key(partition_by)), "dedup-input")
-    # At most (all rows / max_sequence_rows) sequences can be that long.
-    long = {
-        row[_SEQ]: row["n"]
-        for row in keyed.groupBy(_SEQ)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_sequence_rows)
-        .collect()
-    }
+    # The long sequences stay a table: their number grows with the rows.
+    long = stage(
+        keyed.groupBy(_SEQ).agg(F.count("*").alias("n")).where(F.col("n") > max_sequence_rows), "dedup-long"
+    )
+    total = long.agg(F.sum("n")).first()[0]
     whole = F.lit(0).cast("bigint")
     if starts is not None:
         starts = starts.withColumn(_CHUNK, whole)
-    if not long:
+    if not total:
         return keyed.withColumn(_CHUNK, whole), starts
 
-    is_long = F.col(_SEQ).isin(*long)
-    chunks = -(-sum(long.values()) // max_sequence_rows)
+    names = long.select(_SEQ)
     cut = stage(
-        keyed.where(is_long)
-        .repartitionByRange(chunks, _SEQ, *order_by)
+        keyed.join(names, _SEQ, "left_semi")
+        .repartitionByRange(-(-total // max_sequence_rows), _SEQ, *order_by)
         .withColumn(_CHUNK, F.spark_partition_id().cast("bigint")),
         "dedup-chunks",
     )
-    long_starts = starts.where(is_long) if starts is not None else None
+    long_starts = starts.join(names, _SEQ, "left_semi") if starts is not None else None
     settled = _settle(cut, order_by, size, long_starts)
-    short = keyed.where(~is_long).withColumn(_CHUNK, whole)
+    short = keyed.join(names, _SEQ, "left_anti").withColumn(_CHUNK, whole)
     if starts is not None:
-        settled = settled.unionByName(starts.where(~is_long).select(settled.columns))
-    return short.unionByName(cut), settled
+        rest = starts.join(names, _SEQ, "left_anti")
+        settled = settled.unionByName(rest.select(settled.columns))
+    return short.unionByName(cut.select(short.columns)), settled
 
 
 def drop_window_duplicates(

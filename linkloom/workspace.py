@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +31,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder the cluster names for checkpoints.
 
-    Only a local session may fall back to a folder of its own: on a cluster the
-    executors would each see a different one.
+    Only a local session may fall back to a folder of its own, which goes when the
+    driver ends: on a cluster the executors would each see a different one.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="linkloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/linkloom/{label}-{uuid.uuid4().hex}"
 

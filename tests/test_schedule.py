@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import fibonacci_numbers
 from linkloom.operators.schedule import (
+    Cleanups,
     attempt_state,
     due_fetches,
     fibonacci,
@@ -65,3 +66,26 @@ def test_attempts_and_due(spark):
     got = due_fetches(state, fibonacci(HOUR), NOW).collect()
     assert {r.url: r.due for r in got} == {"a": NOW - HOUR, "new": NOW}
     assert due_fetches(state, fibonacci(HOUR, 0), NOW).isEmpty()
+
+
+def test_counts_start_again_after_a_cleanup(spark):
+    day = lambda d, hour=0: datetime(2024, 1, d, hour)
+    log = [("u", day(1, h)) for h in range(7)] + [("v", day(1)), ("v", day(2, 1)), ("u", day(10)), ("w", day(9))]
+    df = spark.createDataFrame(log, "url string, ts timestamp")
+    cleanups = Cleanups(timedelta(hours=24), timedelta(hours=48))
+
+    def state(as_of, **options):
+        rows = attempt_state(df.where(F.col("ts") <= F.lit(as_of)), cleanups, as_of, **options).collect()
+        return {r.url: (r.attempts, r.last) for r in rows}
+
+    # Forgotten at the first midnight over 48 hours after the last attempt.
+    assert state(day(3, 23)) == {"u": (7, day(1, 6)), "v": (2, day(2, 1))}
+    assert state(day(4)) == {"v": (2, day(2, 1))}
+    assert state(day(5)) == {}
+    assert state(day(10, 1)) == {"u": (1, day(10)), "w": (1, day(9))}
+    # The same in two steps, the state of the first carried on.
+    for split in (day(1, 3), day(4, 12), day(9, 12)):
+        first = attempt_state(df.where(F.col("ts") <= F.lit(split)), cleanups)
+        rest = df.where(F.col("ts") > F.lit(split))
+        rows = attempt_state(rest, cleanups, day(10, 1), first).collect()
+        assert {r.url: (r.attempts, r.last) for r in rows} == {"u": (1, day(10)), "w": (1, day(9))}

@@ -173,3 +173,27 @@ def test_collect_links(spark, method):
     assert sorted(tuple(r) for r in collected.links.collect()) == [
         ("http://h.com/2.mkv", "http://h.com/2.mkv", now), ("x", "http://h.com/1.mkv", now),
     ]
+
+
+def test_a_page_that_comes_after_its_item(spark):
+    now = datetime(2024, 3, 1)
+    spec = PipelineSpec.from_dict({**RAW, "linkFilters": RAW["linkFilters"][:1]})
+    items = spark.createDataFrame([(0, "A film", "http://p/0", now)], "page_id int, title string, url string, pub_date timestamp")
+    page = spark.createDataFrame([(0, "http://p/0", '<a href="http://h.com/1.mkv">x</a>')], "page_id int, url string, html string")
+    none, later = "url string, added timestamp", now + timedelta(hours=5)
+
+    def collect(items, pages, store, scanned, as_of):
+        links = spark.createDataFrame([], STORED_LINK)
+        return collect_links(items, pages, store, links, item_chain(spec), link_chain(spec, []), as_of, scanned=scanned)
+
+    first = collect(items, page.limit(0), spark.createDataFrame([], STORED_ITEM), spark.createDataFrame([], none), now)
+    assert first.items.count() == 1 and first.links.isEmpty() and first.scanned.isEmpty()
+    store = spark.createDataFrame(first.items.collect(), STORED_ITEM)
+    second = collect(items, page, store, spark.createDataFrame([], none), later)
+    assert second.items.isEmpty()
+    assert [r.url for r in second.links.collect()] == ["http://h.com/1.mkv"]
+    assert [r.url for r in second.scanned.collect()] == ["http://p/0"]
+    third = collect(items, page, store, spark.createDataFrame(second.scanned.collect(), none), later)
+    assert third.links.isEmpty() and third.scanned.isEmpty()
+    too_late = collect(items, page, store, spark.createDataFrame([], none), now + timedelta(days=2))
+    assert too_late.scanned.isEmpty()
