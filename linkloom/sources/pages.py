@@ -160,6 +160,29 @@ def _native_text_urls(text: Column) -> Column:
     return F.transform(urls, one)
 
 
+# Markup that the patterns might read otherwise than a tokenizer: anchors with
+# references beyond the predefined ones or values without quotes (or with `=` in quotes).
+_OTHER_REFERENCE = r"(?i)<a[\s/>][^<]*&(?!(?:lt|gt|quot|apos|#39|nbsp|amp);)[#A-Za-z]"
+_BARE_VALUE = r"""(?i)<a\s[^<>]*=\s*+[^\s"'>]"""
+_ANY_ANCHOR = r"(?i)<a[\s/>]"
+_CLOSED_ANCHOR = r"""(?i)<a(?:\s++[^<>]*+)?>[^<]*+</a\s*+>"""
+
+
+def is_regular(html: Column) -> Column:
+    """Pages on which the patterns and the tokenizer agree: every anchor is closed right after its text."""
+    return F.coalesce(
+        ~html.rlike(_OTHER_REFERENCE)
+        & ~html.rlike(_BARE_VALUE)
+        & (F.regexp_count(html, F.lit(_ANY_ANCHOR)) == F.regexp_count(html, F.lit(_CLOSED_ANCHOR))),
+        F.lit(True),
+    )
+
+
+def _by_markup(pages: DataFrame, html: str) -> tuple[DataFrame, DataFrame]:
+    regular = is_regular(F.col(html))
+    return pages.where(regular), pages.where(~regular)
+
+
 def _explode(pages: DataFrame, keys: Sequence[str], links: Column) -> DataFrame:
     return pages.select(*keys, F.inline(links))
 
@@ -173,13 +196,16 @@ def anchor_links(
     """Every ``<a href>`` in page order; a blank text gives the href as title.
 
     ``method="parser"`` reads the markup with an HTML tokenizer in Arrow batches.
-    ``method="native"`` stays in generated code; it is meant for regular markup
-    and decodes the predefined entities only.
+    ``method="native"`` gives the same by patterns in generated code; pages whose markup
+    the patterns could read differently go to the tokenizer (see :func:`is_regular`).
     """
     if method == "parser":
         return _scan_links(pages, keys, html, first_only=False, text=False)
     if method == "native":
-        return _explode(pages, keys, _native_anchors(F.col(html)))
+        regular, other = _by_markup(pages, html)
+        return _explode(regular, keys, _native_anchors(F.col(html))).unionByName(
+            _scan_links(other, keys, html, first_only=False, text=False)
+        )
     raise ValueError(f"unknown method: {method}")
 
 
@@ -200,16 +226,20 @@ def page_links(
 
     ``keys`` must identify a page.  With the parser a page never leaves its task,
     so there is no shuffle at all.  The native form groups by (page, URL), with
-    the first link already picked before the shuffle.
+    the first link already picked before the shuffle, and leaves pages of irregular
+    markup to the parser.
     """
     if method == "parser":
         return _scan_links(pages, keys, html, first_only=True, text=True)
     if method != "native":
         raise ValueError(f"unknown method: {method}")
     column = F.col(html)
-    links = _explode(pages, keys, F.concat(_native_anchors(column), _native_text_urls(column)))
+    regular, other = _by_markup(pages, html)
+    links = _explode(regular, keys, F.concat(_native_anchors(column), _native_text_urls(column)))
     first = links.groupBy(*keys, "url").agg(F.min(F.struct("src", "pos", "title")).alias("__first"))
-    return first.select(*keys, "__first.src", "__first.pos", "__first.title", "url")
+    return first.select(*keys, "__first.src", "__first.pos", "__first.title", "url").unionByName(
+        _scan_links(other, keys, html, first_only=True, text=True)
+    )
 
 
 def scan_pages(

@@ -52,6 +52,11 @@ ANCHOR_ROWS = f"""
     FROM (SELECT page_id, regexp_extract_all(html, {ANCHOR}, 2) AS t,
                  regexp_extract_all(html, {ANCHOR}, 1) AS u FROM {{SOURCE}}) q"""
 
+LOOSE_ANCHORS = f"""
+    SELECT page_id, pos + 2 AS pos, title, url FROM ({ANCHOR_ROWS.replace("{SOURCE}", "{pages}")}) a
+    UNION ALL SELECT page_id, 0, 'caf' || chr(233) || ' ' || chr(233), '/p' || page_id FROM {{pages}}
+    UNION ALL SELECT page_id, 1, 'two & a half', '/q' || page_id || '?a=1&b=2' FROM {{pages}}"""
+
 TEXT_ROWS = f"""
     SELECT page_id, generate_subscripts(u, 1) - 1 AS pos, unnest(u) AS title, unnest(u) AS url
     FROM (SELECT page_id, regexp_extract_all(html, {TEXT_URL}) AS u FROM {{SOURCE}}) q"""
@@ -217,6 +222,8 @@ _TEMPLATES: dict[str, str] = {
         SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
     "html_anchor_links": _from(ANCHOR_ROWS, "{pages}"),
     "html_anchor_links_native": _from(ANCHOR_ROWS, "{pages}"),
+    "html_anchor_links_loose": LOOSE_ANCHORS,
+    "html_anchor_links_loose_native": LOOSE_ANCHORS,
     "text_url_links": _from(TEXT_ROWS, "{v_text}"),
     "page_links_parser": PAGE_LINKS,
     "page_links_native": PAGE_LINKS,

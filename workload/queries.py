@@ -78,7 +78,7 @@ from linkloom.streaming import (
     stream_window_dedup_table,
     write_updates,
 )
-from linkloom.workspace import local_rows, scratch_path
+from linkloom.workspace import scratch_path
 from workload.views import VIEWS, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,6 +308,16 @@ def html_anchor_links_native(t: Tables) -> DataFrame:
     return anchor_links(t["pages"], method="native").drop("src")
 
 
+@query
+def html_anchor_links_loose(t: Tables) -> DataFrame:
+    return anchor_links(t["v_loose_pages"]).drop("src")
+
+
+@query
+def html_anchor_links_loose_native(t: Tables) -> DataFrame:
+    return anchor_links(t["v_loose_pages"], method="native").drop("src")
+
+
 @query
 def text_url_links(t: Tables) -> DataFrame:
     return text_urls(t["v_text"]).drop("src")

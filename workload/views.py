@@ -22,6 +22,10 @@ VIEWS = {
     # Page sources that mention their own address in running text.
     "v_text": """
         SELECT page_id, url, concat(html, ' ', url, ' (', url, ')') AS html FROM {pages}""",
+    # Pages with references, values without quotes and ends that are left out.
+    "v_loose_pages": """
+        SELECT page_id, url, concat('<table><tr><td><a href=/p', page_id, '>caf&eacute; &#233;<td><a href=''/q',
+               page_id, '?a=1&amp;b=2''>two &amp; a half</a></table>', html) AS html FROM {pages}""",
     # Links as they arrive: few URLs per host, many repeats.
     "v_stream": """
         SELECT event_id AS ord, ts, concat('h', user_id % 20) AS host,
