@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.workspace import stage
 
-from .common import U64, WordHashes, by_block, joined, mix, packed, runs, slices, text_of, words_of
+from .common import U64, WordHashes, by_block, joined, lean, lean_group, mix, packed, runs, slices, text_of, words_of
 
 _END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line feed
 _START = xxhash.xxh3_64_intdigest(b"\n\n")
@@ -110,7 +110,7 @@ def _count(segments: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for begin, end in slices(batch.column(0), 24_000_000):
+            for begin, end in slices(batch.column(0), 8_000_000):
                 tokens, sizes = _tokens(batch.column(0).slice(begin, end - begin).to_pylist(), hashes)
                 _, both = _pairs(tokens, sizes)
                 # The start token is counted once for each text: it is the first context.
@@ -123,7 +123,7 @@ def _count(segments: int):
                     64,
                 )
 
-    return run
+    return lean(run)
 
 
 def _merge(width: int):
@@ -153,7 +153,7 @@ def _merge(width: int):
             }
         )
 
-    return run
+    return lean_group(run)
 
 
 def _word_rows(batches):
@@ -217,7 +217,7 @@ def _score(sent, total: int, distinct: int, segments: int, strength: float):
                     ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_n"],
                 )
 
-    return run
+    return lean(run)
 
 
 def lm_scores(
