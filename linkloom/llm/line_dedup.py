@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from linkloom.workspace import stage
 
-from .common import U64, by_block, joined, mix, packed, runs, slices, with_row_key
+from .common import U64, by_block, joined, lean, lean_group, mix, packed, release, runs, slices, with_row_key
 
 _FIRST = pa.schema(
     [("grp", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("key", "line", "doc", "twin", "pos")]]
 )
+#: Pairs of one signature that are formed at once.
+_CROWD = 64
 _ROWS = "grp int, kind int, key binary, line binary, doc binary, twin binary, pos binary"
 
 
@@ -183,7 +185,7 @@ def _spread(groups: int, least: int, edits: int):
                     ]
                 yield from packed(_FIRST, rows, 64)
 
-    return run
+    return lean(run)
 
 
 def _meet(edits: int):
@@ -218,6 +220,19 @@ def _meet(edits: int):
         (index, indexed), (probe, probing) = sides
         low, high = np.searchsorted(index, probe, "left"), np.searchsorted(index, probe, "right")
         counts = high - low
+        # Of a signature with many pairs only the members go on, to be met one by one.
+        starts, times = runs(probe)
+        crowded = np.repeat(counts[starts] * times > _CROWD, times) if len(starts) else counts > 0
+        if crowded.any():
+            signs = np.unique(probe[crowded])
+            members = np.isin(index, signs)
+            rows = np.stack(
+                [np.append(probing[crowded], indexed[members]), np.append(probe[crowded], index[members])], axis=1
+            )
+            rows = np.unique(rows.view("u8,u8").ravel())
+            out.append(batch(3, rows["f0"].copy().view(np.int64), rows["f1"].copy().view(np.int64)))
+            probing, low, counts = probing[~crowded], low[~crowded], counts[~crowded]
+        probe = probing
         ends = np.unique(np.append(np.searchsorted(np.cumsum(counts), np.arange(1_000_000, counts.sum(), 1_000_000)) + 1, len(probe)))
         for begin, end in zip(np.append(0, ends[:-1]), ends):
             some = slice(begin, end)
@@ -231,7 +246,7 @@ def _meet(edits: int):
                 out.append(batch(0, pairs["f0"].copy().view(np.int64), pairs["f1"].copy().view(np.int64)))
         return pa.Table.from_batches(out, schema)
 
-    return run
+    return lean_group(run)
 
 
 def _texts_of(sent, bits: int, least: int):
@@ -252,12 +267,53 @@ def _texts_of(sent, bits: int, least: int):
                 [pa.array(np.array(keys, U64).view(np.int64)), pa.array(lines, pa.string())], ["line", "text"]
             )
 
+    return lean(run)
+
+
+def _pair_counts(texts: list[str], bins: int = 128) -> np.ndarray:
+    """How often each pair of neighbouring code points is in each text, by hash bin."""
+    sizes = np.array([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inner = owner[1:] == owner[:-1]
+    pair = (points[:-1] * 31 + points[1:]) % bins
+    flat = np.bincount(owner[1:][inner] * bins + pair[inner], minlength=len(texts) * bins)
+    return flat.reshape(len(texts), bins).astype(np.int32)
+
+
+def _crowd(edits: int):
+    """Members of one signature to those with an earlier near line, by pairs of blocks.
+
+    An edit takes at most two pairs of neighbours away and brings two, so lines whose
+    counts differ by more than four for each edit need no verification.
+    """
+
+    def run(key, table):
+        texts = table["text"].to_pylist()
+        places = list(zip(*(table[c].to_pylist() for c in ("doc", "twin", "pos"))))
+        block, line = table["block"].to_numpy(), table["line"].to_numpy()
+        rank = np.empty(len(texts), np.int64)
+        rank[sorted(range(len(texts)), key=places.__getitem__)] = np.arange(len(texts))
+        counts, sizes = _pair_counts(texts), np.array([len(t) for t in texts])
+        across = key[1].as_py() != key[2].as_py()
+        late = []
+        for i, text in enumerate(texts):
+            near = (rank < rank[i]) & (np.abs(sizes - sizes[i]) <= edits)
+            if across:
+                near &= block != block[i]
+            rivals = np.flatnonzero(near)
+            rivals = rivals[np.abs(counts[rivals] - counts[i]).sum(axis=1) <= 4 * edits]
+            if any(edit_distance_within(text, texts[j], edits) for j in rivals):
+                late.append(line[i])
+        release()
+        return pa.table({"line": pa.array(np.array(late, np.int64))})
+
     return run
 
 
 def near_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, edits: int = 2, least: int = 24,
-    docs_per_group: int = 4096, bits: int = 2**24,
+    docs_per_group: int = 4096, bits: int = 2**24, crowd_rows: int = 1024,
 ) -> DataFrame:
     """``doc, twin, pos``: the places of all lines that stay, of those that count; see :func:`line_dedup`."""
     if least <= edits:
@@ -273,9 +329,12 @@ def near_lines(
     )
     first = met.filter("kind = 2").select("line", "doc", "twin", "pos")
     pairs = met.filter("kind = 0").select("line", "other").distinct()
+    crowds = met.filter("kind = 3").select("line", F.col("other").alias("sign"))
 
     # The texts of candidates: a bit table of fixed size lets most other lines pass by.
-    ends = pairs.select(F.explode(F.array("line", "other")).alias("line")).distinct()
+    ends = (
+        pairs.select(F.explode(F.array("line", "other")).alias("line")).unionAll(crowds.select("line")).distinct()
+    )
 
     def mark(batches):
         flags = np.zeros(bits, bool)
@@ -318,6 +377,24 @@ def near_lines(
         .mapInArrow(verify, "line long")
         .distinct()
     )
+    # Crowds are cut into blocks; pairs of blocks meet within tasks, which return only
+    # the lines that go.
+    sizes = crowds.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / crowd_rows).cast("int").alias("parts"))
+    settled = (
+        crowds.join(sizes, "sign")
+        .join(texts, "line")
+        .withColumn("block", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "sign",
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            "block", "line", "doc", "twin", "pos", "text",
+        )
+        .groupBy("sign", "low", "high")
+        .applyInArrow(_crowd(edits), "line long")
+    )
+    later = later.unionAll(settled).distinct()
     return first.join(later, "line", "left_anti").select("doc", "twin", "pos")
 
 
@@ -377,4 +454,4 @@ def line_dedup(
     types = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__text", "__stays")
     )
-    return rows.mapInArrow(cut, f"{types}, text string, n_lines long, n_dropped long")
+    return rows.mapInArrow(lean(cut), f"{types}, text string, n_lines long, n_dropped long")

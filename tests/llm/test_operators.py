@@ -12,6 +12,7 @@ from linkloom.llm.bpe import Vocabulary, decode, encode
 from linkloom.llm.components import components
 from linkloom.llm.exact_dedup import exact_dedup
 from linkloom.llm.jaccard_join import jaccard_join
+from linkloom.llm import line_dedup as line_module
 from linkloom.llm.line_dedup import edit_distance_within, line_dedup
 from linkloom.llm.lm_scoring import lm_scores
 from linkloom.llm.mixing import mix_sources, pfair_slots, whole_shares
@@ -236,8 +237,9 @@ def test_edit_distance():
         assert [edit_distance_within(a, b, k) for k in range(4)] == [brute.edits(a, b) <= k for k in range(4)]
 
 
-@pytest.mark.parametrize(("limit", "least"), [(2, 24), (1, 6), (0, 6), (3, 12)])
-def test_line_dedup(spark, limit, least):
+@pytest.mark.parametrize(("limit", "least", "crowd"), [(2, 24, 64), (2, 24, 2), (1, 6, 5), (0, 6, 64), (3, 12, 0)])
+def test_line_dedup(spark, monkeypatch, limit, least, crowd):
+    monkeypatch.setattr(line_module, "_CROWD", crowd)
     rng = random.Random(limit)
     rows = []
     for i in range(80):
