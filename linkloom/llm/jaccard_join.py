@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from linkloom.workspace import stage
 
-from .common import U64, WordHashes, by_block, joined, mix, packed, runs, slices, text_of, words_of
+from .common import U64, WordHashes, by_block, joined, lean, lean_group, mix, packed, runs, slices, text_of, words_of
 from .components import components
 
 #: a: shingles; b, c, d: per run of one class its key, its number of shingles here, its set size;
@@ -48,19 +48,13 @@ def shingles(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def _emit(kind: int, group: np.ndarray, token: np.ndarray, owner: np.ndarray, size: np.ndarray, *more):
-    """Postings packed by group: the owner is written once for each run."""
-    for grp, (t, o, s, *rest) in by_block(group, [token, owner, size, *more]):
+def _emit(kind: int, group: np.ndarray, token: np.ndarray, owner: np.ndarray, size=None, df=None):
+    """Postings packed by group: the owner, and its size if given, are written once for each run."""
+    given = [a for a in (size, df) if a is not None]
+    for grp, (t, o, *rest) in by_block(group, [token, owner, *given]):
         starts, counts = runs(o)
-        yield (
-            kind,
-            grp,
-            t,
-            o[starts],
-            counts.astype(np.uint32),
-            s[starts].astype(np.uint32),
-            rest[0].astype(np.uint32) if rest else b"",
-        )
+        s = rest.pop(0)[starts].astype(np.uint32) if size is not None else b""
+        yield kind, grp, t, o[starts], counts.astype(np.uint32), s, rest[0].astype(np.uint32) if rest else b""
 
 
 def _postings(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -69,18 +63,18 @@ def _postings(rows: pa.Table) -> tuple[np.ndarray, ...]:
     return (
         joined(rows["a"], U64),
         np.repeat(joined(rows["b"], U64), counts),
-        np.repeat(joined(rows["d"], np.uint32), counts),
+        np.repeat(size, counts) if len(size := joined(rows["d"], np.uint32)) == len(counts) else None,
         joined(rows["e"], np.uint32),
     )
 
 
-def _distinct(token: np.ndarray, owner: np.ndarray, *more: np.ndarray, by_owner: bool):
+def _distinct(token: np.ndarray, owner: np.ndarray, *more: np.ndarray | None, by_owner: bool):
     """Sorted by shingle or by owner, each pair once."""
     order = np.lexsort((token, owner) if by_owner else (owner, token))
     token, owner = token[order], owner[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    return [token[fresh], owner[fresh], *[m[order][fresh] for m in more]]
+    return [token[fresh], owner[fresh], *[m if m is None else m[order][fresh] for m in more]]
 
 
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -94,7 +88,7 @@ def _read(docs: DataFrame, words: int, token_blocks: int, chunks: int, heavy: in
         hashes = WordHashes()
         sent: set[int] = set()
         for batch in batches:
-            for begin, end in slices(batch.column(1), 6_000_000):
+            for begin, end in slices(batch.column(1), 3_000_000):
                 part = batch.slice(begin, end - begin)
                 ids = part.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
                 sets = [shingles(words_of(t), words, hashes) for t in part.column(1).to_pylist()]
@@ -111,8 +105,7 @@ def _read(docs: DataFrame, words: int, token_blocks: int, chunks: int, heavy: in
                 if len(sent) > 2_000_000:
                     sent.clear()
                 if first:
-                    token = np.concatenate([sets[i] for i in first])
-                    owner, own_size = np.repeat(key[first], size[first]), np.repeat(size[first], size[first])
+                    token, owner = np.concatenate([sets[i] for i in first]), np.repeat(key[first], size[first])
                     # A shingle of many classes here is frequent everywhere: it need not
                     # be counted, and its postings are dealt out by class, not by shingle.
                     _, place, count = np.unique(token, return_inverse=True, return_counts=True)
@@ -124,12 +117,12 @@ def _read(docs: DataFrame, words: int, token_blocks: int, chunks: int, heavy: in
                     starts, _ = runs(token[at])
                     counted[at[starts]] = counted[at[starts + 1]] = True
                     group = (mix(token, 1) % U64(token_blocks)).astype(np.int32)
-                    rows += _emit(0, group[counted], token[counted], owner[counted], own_size[counted])
+                    rows += _emit(0, group[counted], token[counted], owner[counted])
                     group = (mix(owner, 2) % U64(token_blocks)).astype(np.int32)
-                    rows += _emit(1, group[often], token[often], owner[often], own_size[often])
+                    rows += _emit(1, group[often], token[often], owner[often])
                 yield from packed(_ARROW, rows, 64)
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(lean(run), _ROWS)
 
 
 def _shared(rows: DataFrame, chunks: int, with_counts: bool) -> DataFrame:
@@ -145,20 +138,22 @@ def _shared(rows: DataFrame, chunks: int, with_counts: bool) -> DataFrame:
                 starts, counts = runs(token)
                 df = np.repeat(counts, counts)
                 keep = df > 1
-                token, owner, size, df = token[keep], owner[keep], size[keep], df[keep]
+                token, owner, df = token[keep], owner[keep], df[keep]
+                size = size if size is None else size[keep]
             else:
                 df = np.zeros(len(token), np.int64)
             order = np.argsort(owner, kind="stable")
-            token, owner, size, df = token[order], owner[order], size[order], df[order]
+            token, owner, df = token[order], owner[order], df[order]
+            size = size if size is None else size[order]
             chunk = (mix(owner) % U64(chunks)).astype(np.int32)
-            out += _emit(0, chunk, token, owner, size, *([df] if with_counts else []))
+            out += _emit(0, chunk, token, owner, size, df if with_counts else None)
         batches = list(packed(_ARROW, out))
         documents = table.filter(pa.array(kind == 2))
         return pa.Table.from_batches(
             batches + documents.cast(_ARROW).to_batches() if documents.num_rows else batches, _ARROW
         )
 
-    return rows.groupBy("grp").applyInArrow(run, _ROWS)
+    return rows.groupBy("grp").applyInArrow(lean_group(run), _ROWS)
 
 
 def _alive(rows: DataFrame, token_blocks: int, percent: int) -> DataFrame:
@@ -166,18 +161,20 @@ def _alive(rows: DataFrame, token_blocks: int, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
-        token, owner, size, _ = _postings(table.filter(pa.array(kind == 0)))
-        token, owner, size = _distinct(token, owner, size, by_owner=True)
+        token, owner, _, _ = _postings(table.filter(pa.array(kind == 0)))
+        token, owner = _distinct(token, owner, by_owner=True)
         starts, counts = runs(owner)
-        n = size[starts].astype(np.int64)
+        # The sizes come with the documents, which are dealt out by class as well.
+        documents = table.filter(pa.array(kind == 2)).cast(_ARROW)
+        keys, first = np.unique(joined(documents["c"], U64), return_index=True)
+        n = joined(documents["b"], np.int64)[first][np.searchsorted(keys, owner[starts])]
         alive = np.repeat(n - counts < n - _need(n, percent) + 1, counts)
-        token, owner, size = token[alive], owner[alive], size[alive]
+        token, owner, size = token[alive], owner[alive], np.repeat(n, counts)[alive]
         group = (mix(token, 1) % U64(token_blocks)).astype(np.int32)
         batches = list(packed(_ARROW, list(_emit(0, group, token, owner, size))))
-        documents = table.filter(pa.array(kind == 2)).cast(_ARROW).to_batches()
-        return pa.Table.from_batches(batches + documents, _ARROW)
+        return pa.Table.from_batches(batches + documents.to_batches(), _ARROW)
 
-    return rows.groupBy("grp").applyInArrow(run, _ROWS)
+    return rows.groupBy("grp").applyInArrow(lean_group(run), _ROWS)
 
 
 def _prefixes(rows: DataFrame, percent: int, levels: tuple[int, ...], verify_cost: float) -> DataFrame:
@@ -228,7 +225,7 @@ def _prefixes(rows: DataFrame, percent: int, levels: tuple[int, ...], verify_cos
         )
 
     return rows.groupBy("grp").applyInArrow(
-        run, "cls long, n long, level int, prefix array<bigint>, tokens binary"
+        lean_group(run), "cls long, n long, level int, prefix array<bigint>, tokens binary"
     )
 
 
@@ -327,7 +324,7 @@ def jaccard_join(
     *,
     words: int = 5,
     percent: int = 80,
-    docs_per_block: int = 8192,
+    docs_per_block: int = 2048,
     heavy: int = 8,
     levels: tuple[int, ...] = (1, 2, 4, 8),
     verify_cost: float = 8.0,

@@ -120,6 +120,36 @@ ORACLES = {
                count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
         FROM norm WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2),
+                                  lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s
+            FROM words),
+        sizes AS (SELECT doc_id, len(s)::BIGINT AS n, md5(s::VARCHAR) AS class FROM sets),
+        entries AS (SELECT doc_id, unnest(s) AS e FROM sets),
+        common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+            FROM entries a JOIN entries b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+        half AS (
+            SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+            WHERE 100 * i >= 85 * (a.n + b.n - i)),
+        links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+        reach AS (
+            SELECT doc_id, doc_id AS r FROM sizes
+            UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r),
+        components AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id),
+        others AS (
+            SELECT x AS doc_id, count(DISTINCT b.class) AS n_links
+            FROM links JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+            WHERE a.class <> b.class GROUP BY x)
+        SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+        FROM sizes JOIN components USING (doc_id) LEFT JOIN others USING (doc_id)""",
     "op10_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e
