@@ -10,8 +10,6 @@ from linkloom.workspace import stage
 
 from .common import text_of
 
-_VALUE = r"[A-Za-z0-9+/_.=-]"
-
 #: kind -> (pattern, pattern of the value within a match, its least length, part).
 #: Strong kinds are reported by themselves, weak ones only beside a complement.
 STRONG = {

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from linkloom.workspace import stage
 
-from .common import U64, id_back, mix, runs, slices, with_row_key
+from .common import U64, id_back, lean, mix, runs, slices, with_row_key
 
 _OUTSIDE = 256
 _SLAB = 200_000
@@ -171,7 +171,7 @@ def _find(length: int, gram: int):
                     [pa.array(c[some]) for c in columns], ["key", "around", "doc", "twin", "pos", "until"]
                 )
 
-    return run
+    return lean(run)
 
 
 _ASKED = "key long, doc long, twin long, pos int, hot boolean, before binary, after binary"
@@ -221,7 +221,7 @@ def _surroundings(length: int, gram: int):
                     ["key", "doc", "twin", "pos", "hot", "before", "after"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _side(values: list[bytes], width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +293,7 @@ def _refine(length: int, gram: int):
         if held is not None and held.num_rows:
             yield solve(held)
 
-    return run
+    return lean(run)
 
 
 def _cut(batches):
@@ -406,6 +406,6 @@ def suffix_dedup(
     return (
         keyed.join(spans, ["doc", "twin"], "left")
         .select("doc", "twin", "text", "covered")
-        .mapInArrow(_cut, "doc long, twin long, n_bytes long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(lean(_cut), "doc long, twin long, n_bytes long, n_removed long, n_spans long, kept binary")
         .select(id_back(F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
     )
