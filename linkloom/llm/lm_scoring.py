@@ -110,7 +110,7 @@ def _count(segments: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for begin, end in slices(batch.column(0), 8_000_000):
+            for begin, end in slices(batch.column(0), 5_000_000):
                 tokens, sizes = _tokens(batch.column(0).slice(begin, end - begin).to_pylist(), hashes)
                 _, both = _pairs(tokens, sizes)
                 # The start token is counted once for each text: it is the first context.
@@ -175,7 +175,7 @@ def _score(sent, total: int, distinct: int, segments: int, strength: float):
         scale = total + 0.1 * (distinct + 1)
         hashes = WordHashes()
         for batch in batches:
-            for begin, end in slices(batch.column(2), 4_000_000):
+            for begin, end in slices(batch.column(2), 2_000_000):
                 part = batch.slice(begin, end - begin)
                 tokens, sizes = _tokens(part.column(2).to_pylist(), hashes)
                 starts = np.cumsum(sizes) - sizes
