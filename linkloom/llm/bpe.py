@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -12,12 +13,19 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import lean, slices, text_of
 
 #: How the tokenizer's pre-tokenizer cuts a text (a fixed value of the byte-level format).
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+#: The same for texts of nothing but ASCII and Latin-1 letters, without control characters.
+_LETTER, _BLANK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "\t-\r "
+_PLAIN = f"[\t-\r -~{_LETTER}]*"
+_PLAIN_WORD = (
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+"
+    f"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
 _NONE = 2**62
 
 
@@ -57,7 +65,10 @@ class Vocabulary:
         keys = self.left[256:] * self.size + self.right[256:]
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_tokens = keys[order], order + 256
-        self.longest = max(map(len, self.text))
+        # By the first two bytes: how long a token can be.
+        self.longest: dict[bytes, int] = {}
+        for token in self.text:
+            self.longest[token[:2]] = max(len(token), self.longest.get(token[:2], 0))
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.bytes_of = {int(i): t for i, t in zip(self.ids, self.text)} | {
             i: s.encode() for s, i in self.special.items()
@@ -93,9 +104,9 @@ class Vocabulary:
         whole = self.rank.get(word)
         if whole is not None:
             return [whole]
-        rank, out, i, n = self.rank, [], 0, len(word)
+        rank, longest, out, i, n = self.rank, self.longest.get, [], 0, len(word)
         while i < n:
-            j = min(n, i + self.longest)
+            j = min(n, i + longest(word[i : i + 2], 1))
             while (token := rank.get(word[i:j])) is None:
                 j -= 1
             out.append(token)
@@ -179,7 +190,9 @@ def encode(
         import regex
 
         vocabulary = Vocabulary(sent.value)
-        cut = regex.compile(WORD_PATTERN).findall
+        any_cut, plain = regex.compile(WORD_PATTERN).findall, re.compile(_PLAIN).fullmatch
+        plain_cut = re.compile(_PLAIN_WORD).findall
+        cut = lambda text: plain_cut(text) if plain(text) else any_cut(text)
         special = (
             regex.compile(
                 "(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len)[::-1])) + ")"
@@ -218,7 +231,7 @@ def encode(
                     known.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).mapInArrow(
-        run, "doc_id long, ids array<int>"
+        lean(run), "doc_id long, ids array<int>"
     )
 
 
@@ -253,4 +266,4 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 [batch.column(0), column, pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids array<int>, text string")
