@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,6 +14,7 @@ from linkloom.workspace import stage
 
 from .common import U64, WordHashes, by_block, joined, lean, lean_group, mix, packed, runs, slices, text_of, words_of
 
+_LOG = logging.getLogger(__name__)
 _END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line feed
 _START = xxhash.xxh3_64_intdigest(b"\n\n")
 _COUNTED = pa.schema(
@@ -54,21 +57,33 @@ def value_of(levels: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Bits in equal segments; an n-gram of level ``q`` is a member together with 1, ..., q."""
+    """Bits in segments; an n-gram of level ``q`` is a member together with 1, ..., q.
+
+    ``starts`` are the first bits of the segments and the end; without them all are equal.
+    """
 
     PROBES = 3
+    #: For each n-gram and level: a quarter of the bits are set, a level is a false hit in one of 57.
+    BITS = 10
 
-    def __init__(self, bits: np.ndarray, segments: int):
+    def __init__(self, bits: np.ndarray, segments: int, starts: np.ndarray | None = None):
         self.bits, self.segments = bits, segments
-        self.width = len(bits) * 8 // segments
+        if starts is None:
+            starts = np.arange(segments + 1) * (len(bits) * 8 // segments)
+        self.starts = starts.astype(U64)
 
     @staticmethod
     def segment(keys: np.ndarray, segments: int) -> np.ndarray:
         return (mix(keys, 31) >> U64(32)) % U64(segments)
 
     @classmethod
-    def places(cls, keys: np.ndarray, level: int, probe: int, width: int) -> np.ndarray:
-        return mix(keys, 100 + level * cls.PROBES + probe) % U64(width)
+    def places(cls, keys: np.ndarray, level: int, probe: int, width: int | np.ndarray) -> np.ndarray:
+        return mix(keys, 100 + level * cls.PROBES + probe) % np.asarray(width, U64)
+
+    @classmethod
+    def width_for(cls, entries: int) -> int:
+        """Bits of a segment with so many pairs of n-gram and level, in whole bytes."""
+        return max(64, -(-entries * cls.BITS // 8) * 8)
 
     @classmethod
     def build(cls, keys: np.ndarray, levels: np.ndarray, width: int) -> np.ndarray:
@@ -84,12 +99,14 @@ class LogFrequencyFilter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes, up to the first that fails."""
         found = np.zeros(len(keys), np.int64)
-        base = self.segment(keys, self.segments) * U64(self.width)
+        segment = self.segment(keys, self.segments)
+        base = self.starts[segment]
+        width = self.starts[segment + U64(1)] - base
         at, level = np.arange(len(keys)), 0
         while len(at):
             level += 1
             for probe in range(self.PROBES):
-                place = base[at] + self.places(keys[at], level, probe, self.width)
+                place = base[at] + self.places(keys[at], level, probe, width[at])
                 hit = (self.bits[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1
                 at = at[hit.astype(bool)]
             found[at] = level
@@ -126,8 +143,8 @@ def _count(segments: int):
     return lean(run)
 
 
-def _merge(width: int):
-    """All counts of a segment to exact word counts and the segment's bits."""
+def _merge(width: int | None):
+    """All counts of a segment to exact word counts and the segment's bits, ``width`` or as its n-grams need."""
 
     def total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
@@ -138,9 +155,10 @@ def _merge(width: int):
     def run(table: pa.Table) -> pa.Table:
         words, counts = total(joined(table["words"], U64), joined(table["word_counts"], np.uint32))
         pairs, pair_counts = total(joined(table["pairs"], U64), joined(table["pair_counts"], np.uint32))
-        bits = LogFrequencyFilter.build(
-            np.concatenate([words, pairs]), level_of(np.concatenate([counts, pair_counts])), width
-        )
+        levels = level_of(np.concatenate([counts, pair_counts]))
+        entries = int(levels.sum())
+        own = LogFrequencyFilter.width_for(entries) if width is None else width
+        bits = LogFrequencyFilter.build(np.concatenate([words, pairs]), levels, own)
         real = words != U64(_START)
         return pa.table(
             {
@@ -149,6 +167,9 @@ def _merge(width: int):
                 "counts": pa.array([counts[real].tobytes()], pa.binary()),
                 "tokens": pa.array([int(counts[real].sum())], pa.int64()),
                 "distinct": pa.array([int(real.sum())], pa.int64()),
+                "entries": pa.array([entries], pa.int64()),
+                "n_bits": pa.array([len(bits) * 8], pa.int64()),
+                "n_set": pa.array([int(np.unpackbits(bits).sum())], pa.int64()),
                 "bits": pa.array([bits.tobytes()], pa.binary()),
             }
         )
@@ -156,6 +177,38 @@ def _merge(width: int):
     return lean_group(run)
 
 
+_MERGED = "segment int, words binary, counts binary, tokens long, distinct long, entries long, n_bits long, n_set long, bits binary"
+
+
+def count_ngrams(texts: DataFrame, segments: int, filter_bits: int | None = None) -> DataFrame:
+    """A row per segment with n-grams of ``text``: exact word counts and the bits of the filter.
+
+    Bits follow the n-grams, :attr:`LogFrequencyFilter.BITS` for each and level, or are
+    ``filter_bits`` in all.
+    """
+    width = None if filter_bits is None else filter_bits // segments
+    return stage(
+        texts.mapInArrow(
+            _count(segments), "segment int, words binary, word_counts binary, pairs binary, pair_counts binary"
+        )
+        .groupBy("segment")
+        .applyInArrow(_merge(width), _MERGED),
+        "ngram-counts",
+    )
+
+
+def filter_report(counted: DataFrame) -> dict[str, float]:
+    """``entries`` (n-gram and level), ``bits``, ``fill`` and ``false_hits``, the share for one level."""
+    rate = F.pow(F.col("n_set") / F.col("n_bits"), LogFrequencyFilter.PROBES)
+    row = counted.agg(
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
+        F.coalesce(F.sum("n_bits"), F.lit(0)).alias("bits"),
+        F.coalesce(F.sum("n_set") / F.sum("n_bits"), F.lit(0.0)).alias("fill"),
+        F.coalesce(F.avg(rate), F.lit(0.0)).alias("false_hits"),
+    ).first()
+    return row.asDict()
+
+
 def _word_rows(batches):
     for batch in batches:
         for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -168,65 +221,152 @@ def _word_rows(batches):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>, rare_n array<int>"
 
 
+def _scorer(head: np.ndarray, head_counts: np.ndarray, total: int, distinct: int, strength: float):
+    """A function from ids, flags and texts and a model, which has ``levels``, to rows of ``_SCORED``."""
+    scale = total + 0.1 * (distinct + 1)
+    hashes = WordHashes()
+
+    def run(ids: pa.Array, held_out: pa.Array, texts: list[str], model) -> pa.RecordBatch:
+        tokens, sizes = _tokens(texts, hashes)
+        starts = np.cumsum(sizes) - sizes
+        words, of = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
+        known = head[at] == words if len(head) else np.zeros(len(words), bool)
+        count = np.where(known, head_counts[at] if len(head) else 0, 0)
+        base = np.where(known, np.log10(count + 0.1), 0.0)
+        # The model: the pair's count, smoothed by the word's probability.
+        before, both = _pairs(tokens, sizes)
+        single = value_of(model.levels(words))
+        pairs, pair_of = np.unique(both, return_inverse=True)
+        pair = value_of(model.levels(pairs))[pair_of]
+        inner = np.ones(len(tokens), bool)
+        inner[starts] = False
+        context = np.empty(len(tokens))
+        context[1:] = single[of][:-1]
+        context[~inner] = value_of(model.levels(np.array([_START], U64)))[0]
+        alone = (single[of] + 0.1) / scale
+        chance = (np.minimum(pair, context) + strength * alone) / (context + strength)
+        # Words beyond the head, each once for each text.
+        rare = np.flatnonzero(~known[of])
+        owner = np.repeat(np.arange(len(sizes)), sizes)[rare]
+        order = np.lexsort((of[rare], owner))
+        owner, word = owner[order], of[rare][order]
+        first, times = runs(owner * (len(words) + 1) + word)
+        offsets = np.searchsorted(owner[first], np.arange(len(sizes) + 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                ids,
+                held_out,
+                pa.array(sizes),
+                pa.array(np.add.reduceat(known[of].astype(np.int64), starts)),
+                pa.array(np.add.reduceat(base[of], starts)),
+                pa.array(np.add.reduceat(np.log10(chance), starts)),
+                pa.ListArray.from_arrays(offsets, pa.array(words[word[first]].view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+            ],
+            ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_n"],
+        )
+
+    return run
+
+
 def _score(sent, total: int, distinct: int, segments: int, strength: float):
+    """Scores by a filter that is sent whole."""
+
     def run(batches):
-        bits, head, head_counts = sent.value
-        model = LogFrequencyFilter(bits, segments)
-        scale = total + 0.1 * (distinct + 1)
-        hashes = WordHashes()
+        bits, starts, head, head_counts = sent.value
+        model = LogFrequencyFilter(bits, segments, starts)
+        score = _scorer(head, head_counts, total, distinct, strength)
         for batch in batches:
             for begin, end in slices(batch.column(2), 2_000_000):
                 part = batch.slice(begin, end - begin)
-                tokens, sizes = _tokens(part.column(2).to_pylist(), hashes)
-                starts = np.cumsum(sizes) - sizes
-                words, of = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
-                known = head[at] == words if len(head) else np.zeros(len(words), bool)
-                count = np.where(known, head_counts[at] if len(head) else 0, 0)
-                base = np.where(known, np.log10(count + 0.1), 0.0)
-                # The model: the pair's count, smoothed by the word's probability.
-                before, both = _pairs(tokens, sizes)
-                single = value_of(model.levels(words))
-                pairs, pair_of = np.unique(both, return_inverse=True)
-                pair = value_of(model.levels(pairs))[pair_of]
-                inner = np.ones(len(tokens), bool)
-                inner[starts] = False
-                context = np.empty(len(tokens))
-                context[1:] = single[of][:-1]
-                context[~inner] = value_of(model.levels(np.array([_START], U64)))[0]
-                alone = (single[of] + 0.1) / scale
-                chance = (np.minimum(pair, context) + strength * alone) / (context + strength)
-                # Words beyond the head, each once for each text.
-                rare = np.flatnonzero(~known[of])
-                owner = np.repeat(np.arange(len(sizes)), sizes)[rare]
-                order = np.lexsort((of[rare], owner))
-                owner, word = owner[order], of[rare][order]
-                first, times = runs(owner * (len(words) + 1) + word)
-                offsets = np.searchsorted(owner[first], np.arange(len(sizes) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(sizes),
-                        pa.array(np.add.reduceat(known[of].astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(base[of], starts)),
-                        pa.array(np.add.reduceat(np.log10(chance), starts)),
-                        pa.ListArray.from_arrays(offsets, pa.array(words[word[first]].view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_n"],
-                )
+                yield score(part.column(0), part.column(1), part.column(2).to_pylist(), model)
 
     return lean(run)
 
 
+def _slabs(batches):
+    """Documents in slabs of about 2 MB of text, a row each."""
+    for batch in batches:
+        for begin, end in slices(batch.column(2), 2_000_000):
+            part = batch.slice(begin, end - begin)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), pa.concat_arrays([c])) for c in part.columns],
+                ["ids", "held", "texts"],
+            )
+
+
+def _asked(texts: list[str], hashes: WordHashes, segments: int):
+    """The distinct n-grams of a slab by segment, in an order that depends on the texts alone."""
+    tokens, sizes = _tokens(texts, hashes)
+    keys = np.unique(np.concatenate([tokens, _pairs(tokens, sizes)[1], [U64(_START)]]))
+    return by_block(LogFrequencyFilter.segment(keys, segments).astype(np.int32), [keys])
+
+
+def _ask(segments: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for slab, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(slab, s, keys) for s, (keys,) in _asked(texts, hashes, segments)]
+                yield from packed(_ASKED, rows, 64)
+
+    return lean(run)
+
+
+_ASKED = pa.schema([("slab", pa.int64()), ("segment", pa.int32()), ("keys", pa.binary())])
+
+
+def _reply(segments: int):
+    """All that is asked of one segment, by its bits alone."""
+
+    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        found = []
+        if counted.num_rows and asked.num_rows:
+            segment, bits = counted["segment"][0].as_py(), joined(counted["bits"], np.uint8)
+            starts = np.where(np.arange(segments + 1) > segment, len(bits) * 8, 0)
+            model = LogFrequencyFilter(bits, segments, starts)
+        for keys in asked["keys"]:
+            keys = np.frombuffer(keys.as_py(), U64)
+            levels = model.levels(keys) if counted.num_rows else np.zeros(len(keys))
+            found.append(levels.astype(np.uint8).tobytes())
+        return pa.table({"slab": asked["slab"], "segment": asked["segment"], "levels": pa.array(found, pa.binary())})
+
+    return run
+
+
+class _Replies:
+    def __init__(self, keys: np.ndarray, found: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.found = keys[order], found[order].astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def _score_replies(sent, total: int, distinct: int, segments: int, strength: float):
+    """Scores of a slab by what the segments replied."""
+
+    def run(slab: pa.Table, replies: pa.Table) -> pa.Table:
+        head, head_counts = sent.value
+        texts = slab["texts"][0].as_py()
+        levels = dict(zip(replies["segment"].to_pylist(), replies["levels"].to_pylist()))
+        asked = [(keys, np.frombuffer(levels[s], np.uint8)) for s, (keys,) in _asked(texts, WordHashes(), segments)]
+        model = _Replies(*map(np.concatenate, zip(*asked)))
+        score = _scorer(head, head_counts, total, distinct, strength)
+        return pa.Table.from_batches([score(slab["ids"][0].values, slab["held"][0].values, texts, model)])
+
+    return run
+
+
 def lm_scores(
     docs: DataFrame,
     held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    filter_bits: int = 2**29,
+    filter_bits: int | None = None,
+    sent_bits: int = 2**29,
     head_words: int = 2**20,
     docs_per_segment: int = 4096,
     strength: float = 4.0,
@@ -235,9 +375,13 @@ def lm_scores(
 
     The model learns from all rows where ``held_out`` is false.  Counts of words and of
     word pairs are summed by hash segment, quantised to powers of two and put into a
-    filter of ``filter_bits`` bits, which is all that is sent to the tasks, however
-    large the corpus; give it about ten bits for each distinct pair.  A wrong positive
-    makes a pair look seen, never a seen one unseen.  ``score`` is the sum of
+    filter that grows with them: ten bits for each n-gram and level, which keeps a
+    quarter of the bits set and a false hit of a level at one in 57, however large the
+    corpus (``filter_bits`` fixes the size instead).  A filter of up to ``sent_bits``
+    bits is sent to the tasks; a larger one stays a table, and what slabs of documents
+    ask of a segment meets its bits by a join, one segment at a time.  A wrong positive
+    makes a pair look seen, never a seen one unseen.  Fill and false hits are logged.
+    ``score`` is the sum of
     ``log10((c(v, w) + strength * p(w)) / (c(v) + strength))`` over the tokens, with all
     counts from the filter.
 
@@ -257,17 +401,9 @@ def lm_scores(
     segments = 64
     while segments * docs_per_segment < docs.count() and segments < 65_536:
         segments *= 2
-    width = filter_bits // segments
-    counted = stage(
-        source.filter("NOT held_out")
-        .select("text")
-        .mapInArrow(_count(segments), "segment int, words binary, word_counts binary, pairs binary, pair_counts binary")
-        .groupBy("segment")
-        .applyInArrow(
-            _merge(width), "segment int, words binary, counts binary, tokens long, distinct long, bits binary"
-        ),
-        "ngram-counts",
-    )
+    counted = count_ngrams(source.filter("NOT held_out").select("text"), segments, filter_bits)
+    report = filter_report(counted)
+    _LOG.info("n-gram filter: %s", report)
     total, distinct = counted.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))
     ).first()
@@ -281,17 +417,38 @@ def lm_scores(
     head = words.filter(F.col("count") >= least).toArrow()
     keys = head["word"].to_numpy().view(U64)
     order = np.argsort(keys)
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    for segment, part in counted.select("segment", "bits").toLocalIterator(prefetchPartitions=True):
-        at = segment * (width // 8)
-        bits[at : at + width // 8] = np.frombuffer(part, np.uint8)
-    sent = spark.sparkContext.broadcast((bits, keys[order], head["count"].to_numpy()[order]))
-    scored = stage(
-        source.mapInArrow(_score(sent, total, distinct, segments, strength), _SCORED).withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "lm-scores",
-    )
+    head_sent = (keys[order], head["count"].to_numpy()[order])
+    if report["bits"] <= sent_bits:
+        # Segments without n-grams have a few bits that are never set.
+        widths = np.full(segments, 64, np.int64)
+        for r in counted.select("segment", "n_bits").collect():
+            widths[r["segment"]] = r["n_bits"]
+        starts = np.append(0, np.cumsum(widths))
+        bits = np.zeros(int(starts[-1]) // 8, np.uint8)
+        for segment, part in counted.select("segment", "bits").toLocalIterator(prefetchPartitions=True):
+            bits[starts[segment] // 8 : starts[segment + 1] // 8] = np.frombuffer(part, np.uint8)
+        sent = spark.sparkContext.broadcast((bits, starts, *head_sent))
+        found = source.mapInArrow(_score(sent, total, distinct, segments, strength), _SCORED)
+    else:
+        sent = spark.sparkContext.broadcast(head_sent)
+        slabs = stage(
+            source.mapInArrow(lean(_slabs), "ids array<bigint>, held array<boolean>, texts array<string>").withColumn(
+                "slab", F.monotonically_increasing_id()
+            ),
+            "lm-slabs",
+        )
+        asked = slabs.select("slab", "texts").mapInArrow(_ask(segments), "slab long, segment int, keys binary")
+        replies = (
+            asked.groupBy("segment")
+            .cogroup(counted.select("segment", "bits").groupBy("segment"))
+            .applyInArrow(_reply(segments), "slab long, segment int, levels binary")
+        )
+        found = (
+            slabs.groupBy("slab")
+            .cogroup(replies.groupBy("slab"))
+            .applyInArrow(_score_replies(sent, total, distinct, segments, strength), _SCORED)
+        )
+    scored = stage(found.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n")
     )

@@ -386,6 +386,26 @@ def test_lm_odd_rows(odd, none):
     assert lm_scores(none, F.lit(False), filter_bits=2**20).count() == 0
 
 
+def test_lm_filter_grows_with_the_corpus(spark):
+    from linkloom.llm.lm_scoring import LogFrequencyFilter, count_ngrams, filter_report
+
+    def report(n):
+        texts = spark.range(n).select(F.concat_ws(" ", *[F.sha2(F.concat_ws("-", "id", F.lit(i)), 224) for i in range(20)]).alias("text"))
+        return filter_report(count_ngrams(texts, 8))
+
+    small, large = report(50), report(800)
+    assert large["bits"] > 14 * small["bits"] and large["entries"] > 14 * small["entries"]
+    for r in (small, large):
+        assert r["bits"] >= LogFrequencyFilter.BITS * r["entries"]
+        assert 0.2 < r["fill"] < 0.3 and r["false_hits"] < 0.03
+
+
+def test_lm_filter_as_a_table(docs, odd):
+    for df, held, head in ((docs, crc_mod("doc_id", 10) == 0, 20), (odd, F.lit(True), 2**20)):
+        sent = sorted(map(str, lm_scores(df, held, head_words=head).collect()))
+        assert sorted(map(str, lm_scores(df, held, head_words=head, sent_bits=-1).collect())) == sent
+
+
 # 10. top-k
 
 
