@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from heapq import heappop, heappush
+from itertools import groupby, islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,57 +29,65 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
 
 
 def pfair_slots(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period, which has ``sum(shares)`` slots.
+    """The source of each slot of one period, which has ``sum(shares)`` slots, by :func:`schedule`."""
+    return [s for s, _ in schedule(shares, shares)]
 
-    Block ``k`` of a source with ``c`` of ``q`` slots is released at ``floor(k * q / c)``
-    and due at ``ceil((k + 1) * q / c)``.  Each slot goes to the released block that is
-    due first; among equal ones to the source of larger share, then of smaller name.  No
-    block is late, so in any prefix every source is less than one block from its share.
-    """
-    q = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    slots = []
-    for slot in range(q):
-        while waiting and waiting[0][0] <= slot:
-            _, source, k = heapq.heappop(waiting)
-            c = shares[source]
-            heapq.heappush(ready, (-(-(k + 1) * q // c), -c, source, k))
-        due, share, source, k = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block is late")
-        slots.append(source)
-        if k + 1 < -share:
-            heapq.heappush(waiting, ((k + 1) * q // -share, source, k + 1))
-    return slots
 
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """The source and the number of the block of each slot, until all blocks have their place.
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int):
-    """Schedules that follow each other, as sources run out of blocks.
+    In the ideal, sources are served at once and without pause, by their exact weights,
+    and a source whose blocks are served leaves its share to the others.  At virtual time
+    ``v`` a source of weight ``w`` and ``n`` blocks has had ``min(w * v, n)``, and the sum
+    of that over all sources is the slot.  Block ``k`` is released at the slot in which
+    the ideal begins it, and due at the end of the slot in which the ideal is through.
+    Each slot goes to the released block that is due first; among equal ones to the
+    source of larger weight, then of smaller name.  The ideal keeps all these times, so
+    unit blocks can, and the earliest deadline first does: no block is late, and after
+    any slot every source is less than one block from the ideal, however long the run.
 
-    Yields ``(first slot, {source: first block}, {source: blocks in the phase}, slots of
-    a period)``.  A phase ends when its first source is out of blocks; the rest goes on
-    by the same weights among themselves.
+    Arithmetic is on whole numbers, so nothing drifts.  It holds a block per source.
+    Sources of weight 0 come when the others are through, in equal shares.
     """
-    done = dict.fromkeys(blocks, 0)
-    slot = 0
-    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
-        slots = pfair_slots(whole_shares({s: weights[s] for s in left}, max(period, 2 * len(left))))
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for i, s in enumerate(slots):
-            places[s].append(i)
-        # The slot after which some source has no block left.
-        end = min(
-            (n - 1) // len(places[s]) * len(slots) + places[s][(n - 1) % len(places[s])] + 1
-            for s, n in left.items()
-        )
-        turns, rest = divmod(end, len(slots))
-        taken = {s: turns * len(p) + sum(i < rest for i in p) for s, p in places.items()}
-        yield slot, {s: done[s] for s in left}, taken, slots
-        for s, n in taken.items():
-            done[s] += n
-        slot += end
+    exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n > 0 and weights[s] > 0}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    names = sorted(exact, key=lambda s: (-exact[s], s))
+    weight = [int(exact[s] * scale) for s in names]
+    count = [blocks[s] for s in names]
+    # The ideal in pieces: until ends[i], the slot is gone[i] + rate[i] * v.
+    ends, gone, rate = [], [0], [sum(weight)]
+    for end, own in groupby(
+        sorted((Fraction(n, w), i) for i, (n, w) in enumerate(zip(count, weight))), key=lambda x: x[0]
+    ):
+        left = [i for _, i in own]
+        ends.append(end)
+        gone.append(gone[-1] + sum(count[i] for i in left))
+        rate.append(rate[-1] - sum(weight[i] for i in left))
+    piece = [0] * len(names)
+
+    def ideal(i: int, k: int) -> tuple[int, int]:
+        """The slot at which source ``i`` has had ``k`` blocks, times its weight, and the weight."""
+        w, at = weight[i], piece[i]
+        if k * ends[at].denominator > ends[at].numerator * w:
+            at = piece[i] = bisect_left(ends, Fraction(k, w))
+        return gone[at] * w + rate[at] * k, w
+
+    waiting = [(0, i, 0) for i in range(len(names))]
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(sum(count)):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heappop(waiting)
+            through, w = ideal(i, k + 1)
+            heappush(ready, (-(-through // w), i, k))
+        due, i, k = heappop(ready)
+        if due <= slot:
+            raise AssertionError("a block is late")
+        yield names[i], k
+        if k + 1 < count[i]:
+            through, w = ideal(i, k + 1)
+            heappush(waiting, (through // w, i, k + 1))
+    if last := {s: n for s, n in blocks.items() if n > 0 and s not in exact}:
+        yield from schedule(last, dict.fromkeys(last, 1.0))
 
 
 def mix_sources(
@@ -96,12 +109,12 @@ def mix_sources(
 
     The rows of a source are shuffled by a hash and cut into blocks of ``block_rows``
     (its last block may be shorter).  Blocks follow each other by
-    :func:`pfair_slots`, so that after any number of slots each source has had its share
-    of them to within one block, until a source is used up; then the others share its
-    slots.  ``weights`` are by source, sources without one count as the smallest given;
-    by default a source of ``n`` rows weighs ``n ** alpha``.  ``period`` bounds the
-    resolution of a weight and the schedule that is worked out on the driver: the
-    schedule repeats, so its size depends on the number of sources, not of rows.
+    :func:`schedule`, so that after any number of slots each source has had its share by
+    the exact weights to within one block, until a source is used up; then the others
+    share its slots.  ``weights`` are by source, sources without one count as the
+    smallest given; by default a source of ``n`` rows weighs ``n ** alpha``.  One task
+    works the schedule out, a row per block, and holds one block per source; rows meet
+    it by a join on source and block.  ``period`` has no effect: nothing is rounded to it.
 
     Rows are numbered within their source by hash bucket (a count of each bucket, a
     running sum over the buckets, a rank within one), so a source with a third of all
@@ -139,38 +152,29 @@ def mix_sources(
         least = min(weights.values(), default=1.0)
         own_weights = {s: float(weights.get(s[1:] if s != "n" else None, least)) for s in sizes}
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    plan = []
-    for number, (slot, first, taken, slots) in enumerate(phases(blocks, own_weights, period)):
-        places: dict[str, list[int]] = {s: [] for s in first}
-        for i, s in enumerate(slots):
-            places[s].append(i)
-        plan += [
-            (s, number, first[s], first[s] + taken[s], slot, len(slots), places[s]) for s in first if taken[s]
-        ]
-    schedule = spark.createDataFrame(
-        plan, "own string, phase int, low long, high long, start long, length int, places array<int>"
+
+    def run(batches):
+        if not any([batch.num_rows for batch in batches]):
+            return
+        slots = enumerate(schedule(blocks, own_weights))
+        while part := list(islice(slots, 65_536)):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([s for _, (s, _) in part], pa.string()),
+                    pa.array([k for _, (_, k) in part], pa.int64()),
+                    pa.array([slot for slot, _ in part], pa.int64()),
+                ],
+                ["own", "block", "slot"],
+            )
+
+    planned = stage(
+        spark.range(0, 1, 1, 1).mapInArrow(run, "own string, block long, slot long"), "mix-schedule"
     )
-    block = F.floor((F.col("before") + F.col("rank")) / block_rows)
-    step = F.col("block") - F.col("low")
-    per = F.size("places")
-    # The schedule has a row for each source and phase, whatever the number of documents.
+    numbered = ranked.join(before.drop("n"), ["own", "bucket"]).withColumn("place", F.col("before") + F.col("rank"))
     placed = (
-        ranked.join(before.drop("n"), ["own", "bucket"])
-        .withColumn("block", block)
-        .join(F.broadcast(schedule), ["own"])
-        .filter((F.col("block") >= F.col("low")) & (F.col("block") < F.col("high")))
-        .select(
-            "doc_id",
-            "source",
-            (
-                F.col("start")
-                + F.floor(step / per) * F.col("length")
-                + F.element_at("places", (F.pmod(step, per.cast("long")) + 1).cast("int"))
-            ).alias("slot"),
-            "block",
-            ((F.col("before") + F.col("rank")) % block_rows).alias("within"),
-            *keep,
-        )
+        numbered.withColumn("block", F.floor(F.col("place") / block_rows))
+        .join(planned, ["own", "block"])
+        .select("doc_id", "source", "slot", "block", (F.col("place") % block_rows).alias("within"), *keep)
     )
     return placed.select(
         "doc_id", "source", *keep, (F.col("slot") * block_rows + F.col("within")).alias("position"), "slot", "block"

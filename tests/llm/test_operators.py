@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from fractions import Fraction
 
 import brute
 import pytest
@@ -15,7 +16,7 @@ from linkloom.llm.jaccard_join import jaccard_join
 from linkloom.llm import line_dedup as line_module
 from linkloom.llm.line_dedup import edit_distance_within, line_dedup
 from linkloom.llm.lm_scoring import lm_scores
-from linkloom.llm.mixing import mix_sources, pfair_slots, whole_shares
+from linkloom.llm.mixing import mix_sources, pfair_slots, schedule, whole_shares
 from linkloom.llm.queries import crc_mod, tokenizer_path
 from linkloom.llm.secret_scan import scan_secrets
 from linkloom.llm.suffix_dedup import suffix_dedup
@@ -199,6 +200,31 @@ def test_pfair(weights):
     assert done == shares
 
 
+@pytest.mark.parametrize(
+    ("blocks", "weights"),
+    [
+        ({"a": 9_000, "b": 9_000, "c": 9_000}, {"a": 1.0, "b": 1.0, "c": 1.0}),
+        ({"a": 40_000, "b": 5, "c": 20_000}, {"a": 0.6666, "b": 0.0001, "c": 0.3333}),
+        ({str(i): 30 + 7 * i for i in range(60)}, {str(i): (i + 1) ** 0.5 for i in range(60)}),
+    ],
+)
+def test_mixing_keeps_the_given_weights(blocks, weights):
+    slots = list(schedule(blocks, weights))
+    assert sorted(slots) == sorted((s, k) for s, n in blocks.items() for k in range(n))
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    # Until the first source is through in the ideal.
+    whole = min(int(n / share[s]) for s, n in blocks.items())
+    assert whole > 1_000 * (len(blocks) < 9)
+    done = dict.fromkeys(blocks, 0)
+    for slot, (source, block) in enumerate(slots[:whole], 1):
+        assert block == done[source]
+        done[source] += 1
+        assert abs(done[source] - slot * share[source]) < 1
+        if slot % 50 == 0:
+            assert all(abs(n - slot * share[s]) < 1 for s, n in done.items())
+
+
 def test_mixing(spark):
     sizes = {"a": 300, "b": 90, None: 40, "d": 1}
     rows = [(i, s) for i, s in enumerate(itertools.chain.from_iterable([s] * n for s, n in sizes.items()))]
