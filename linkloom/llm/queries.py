@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .lexical_search import lexical_search
 from .line_dedup import line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
+from .piece_bpe import decode_pieces, encode_pieces
 from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
 from .toxicity import fit, toxicity_scores
@@ -97,6 +99,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -108,6 +125,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_top_k": op10_top_k,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES = {
@@ -166,4 +185,33 @@ ORACLES = {
                    vec_id, score
             FROM pairs)
         SELECT * FROM ranked WHERE rank <= 5""",
+    "op12_lexical_search": r"""
+        WITH terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+        totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS occurrences FROM sizes),
+        lengths AS (
+            SELECT doc_id, 100 - 50 + (50 * n * docs) // occurrences AS m FROM sizes, totals),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tfs, totals GROUP BY term, docs),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id)
+            GROUP BY ALL),
+        ranked AS (
+            SELECT item_id,
+                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+                   doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 50""",
 }
