@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .conversations import conversation_reports, damage
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .lexical_search import lexical_search
@@ -99,6 +100,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_reports(rows, damage(rows))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -125,6 +131,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_top_k": op10_top_k,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
     "op13_sentencepiece": op13_sentencepiece,
 }
@@ -185,6 +192,75 @@ ORACLES = {
                    vec_id, score
             FROM pairs)
         SELECT * FROM ranked WHERE rank <= 5""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                       lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+        kinds AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                       lambda c: ord(c)::BIGINT)),
+                       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS kind
+            FROM conversations, crc),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                        ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM kinds WHERE kind <> 0),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i
+            FROM damaged),
+        faults AS (
+            SELECT conv_id, turn, role, text, i, left(role, 1) AS r,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM placed),
+        counts AS (
+            SELECT conv_id, count(*) AS n,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                   count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv_id),
+        best AS (
+            SELECT conv_id, n + 1 AS i,
+                   [{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]},
+                    {'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']},
+                    {'c': 2::BIGINT, 'a': 'I', 't': ['assistant:']},
+                    {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}] AS s
+            FROM counts
+            UNION ALL
+            SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda k: list_sort([s[k],
+                       {'c': s[[3, 3, 4, 3][k]].c + 2, 'a': 'I' || s[[3, 3, 4, 3][k]].a,
+                        't': list_prepend(CASE WHEN k = 3 THEN 'assistant:' ELSE 'user:' END,
+                                          s[[3, 3, 4, 3][k]].t)},
+                       {'c': s[[4, 4, 3, 4][k]].c + 4, 'a': 'II' || s[[4, 4, 3, 4][k]].a,
+                        't': list_concat(CASE WHEN k = 3 THEN ['assistant:', 'user:']
+                                              ELSE ['user:', 'assistant:'] END, s[[4, 4, 3, 4][k]].t)}])[1])
+            FROM (
+                SELECT b.conv_id, f.i, list_transform([1, 2, 3, 4], lambda k: list_sort([
+                           {'c': s[k].c + 3, 'a': 'D' || s[k].a, 't': s[k].t},
+                           {'c': s[[3, 3, 4, 3][k]].c + 2 + extra, 'a': 'R' || s[[3, 3, 4, 3][k]].a,
+                            't': list_prepend(CASE WHEN k = 3 THEN 'assistant:' ELSE 'user:' END || f.text,
+                                              s[[3, 3, 4, 3][k]].t)},
+                           {'c': coalesce(s[to_[k]].c, 1000000000000) + extra, 'a': 'K' || coalesce(s[to_[k]].a, ''),
+                            't': list_prepend(f.role || ':' || f.text, coalesce(s[to_[k]].t, []::VARCHAR[]))}])[1]) AS s
+                FROM best b JOIN (
+                    SELECT *, CASE fault WHEN 't' THEN 1 WHEN '' THEN 0 ELSE 1000000000000 END AS extra,
+                           CASE r WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3]
+                                  WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS to_
+                    FROM faults) f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+               coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(s[1].c, 0) AS cost, coalesce(s[1].a, '') AS audit,
+               sha256(coalesce(array_to_string(s[1].t, chr(10)), '')) AS repaired_sha256
+        FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id
+        LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id AND best.i = 1""",
     "op12_lexical_search": r"""
         WITH terms AS (
             SELECT doc_id, unnest(regexp_extract_all(
