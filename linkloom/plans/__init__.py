@@ -2,14 +2,17 @@
 
 from linkloom.plans.collect import collect_links
 from linkloom.plans.fetches import due_feeds, due_pages
+from linkloom.plans.follow import FollowScans, follow_scans
 from linkloom.plans.spec import PipelineSpec, SpecError, item_chain, link_chain, parse_duration
 
 __all__ = [
+    "FollowScans",
     "PipelineSpec",
     "SpecError",
     "collect_links",
     "due_feeds",
     "due_pages",
+    "follow_scans",
     "item_chain",
     "link_chain",
     "parse_duration",

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from linkloom.functions.text import WHITE_SPACE, title_or_href
 from linkloom.sources.markup import anchors
+from linkloom.sources.tree import parse, read_back
+from linkloom.workspace import stage
 
 # Fixed value: absolute web addresses in running text, same text in Java and Python.
 TEXT_URL = r"""(?i)https?://[^<"' (\r\n)\t]+"""
@@ -40,23 +42,40 @@ def _named_anchors(html: str) -> list[tuple[str, str]]:
     return [(href, text if text.strip(WHITE_SPACE) else href) for href, text in anchors(html)]
 
 
-def _scan_links(pages: DataFrame, keys: Sequence[str], html: str, first_only: bool, text: bool):
-    """One narrow pass: parse each page, emit its links.  No shuffle."""
+# How the written-out tree escapes text and attribute values.
+_WRITTEN = {"&#34;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&#13;": "\r", "&amp;": "&"}
+_WRITTEN_REFERENCE = re.compile("|".join(_WRITTEN))
+# Pages without addresses in which each anchor holds just its text, outside of elements that
+# move or drop what is in them: their tree has the anchors that the tokenizer sees.
+_PLAIN_ANCHOR = re.compile(r"<a(?:\s[^<>]*)?>[^<]*</a\s*>", re.IGNORECASE)
+_START = re.compile(r"<a[\s/>]", re.IGNORECASE)
+_MOVES = re.compile(r"<(?:table|select|template|svg|math)", re.IGNORECASE)
+
+
+def _page_links(body: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """Anchors as ``(href, title)`` in tree order, and addresses in the written-out tree."""
+    if "://" not in body and not _MOVES.search(body) and (
+        len(_START.findall(body)) == len(_PLAIN_ANCHOR.findall(body))
+    ):
+        return _named_anchors(body), []
+    found, source = read_back(parse(body))
+    named = [(href, text if text.strip(WHITE_SPACE) else href) for href, text in found]
+    return named, _source_urls(source)
+
+
+def _source_urls(source: str) -> list[str]:
+    urls = re.findall(TEXT_URL, source) if "://" in source else []
+    return [_WRITTEN_REFERENCE.sub(lambda m: _WRITTEN[m[0]], u) if "&" in u else u for u in urls]
+
+
+def _scan_links(
+    pages: DataFrame,
+    keys: Sequence[str],
+    html: str,
+    links: Callable[[str], Iterator[tuple[int, int, str, str]]],
+) -> DataFrame:
+    """One narrow pass: read each page, emit its links.  No shuffle."""
     schema = _link_fields(pages, keys)
-    pattern = re.compile(TEXT_URL)
-
-    def links(body: str) -> Iterator[tuple[int, int, str, str]]:
-        seen: set[str] = set()
-        for pos, (href, title) in enumerate(_named_anchors(body)):
-            if not first_only or href not in seen:
-                seen.add(href)
-                yield FROM_ANCHOR, pos, title, href
-        if text and "://" in body:
-            for pos, match in enumerate(pattern.finditer(body)):
-                url = match.group().replace("&amp;", "&")
-                if not first_only or url not in seen:
-                    seen.add(url)
-                    yield FROM_TEXT, pos, url, url
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +104,31 @@ def _scan_links(pages: DataFrame, keys: Sequence[str], html: str, first_only: bo
     return pages.select(*keys, html).mapInArrow(scan, schema)
 
 
+def _all_anchors(body: str) -> Iterator[tuple[int, int, str, str]]:
+    for pos, (href, title) in enumerate(_named_anchors(body)):
+        yield FROM_ANCHOR, pos, title, href
+
+
+def _all_text_urls(body: str) -> Iterator[tuple[int, int, str, str]]:
+    if "://" in body:
+        for pos, url in enumerate(_source_urls(read_back(parse(body))[1])):
+            yield FROM_TEXT, pos, url, url
+
+
+def _first_links(body: str) -> Iterator[tuple[int, int, str, str]]:
+    """Each address once, where it stands first; anchors come before text."""
+    named, urls = _page_links(body)
+    seen: set[str] = set()
+    for pos, (href, title) in enumerate(named):
+        if href not in seen:
+            seen.add(href)
+            yield FROM_ANCHOR, pos, title, href
+    for pos, url in enumerate(urls):
+        if url not in seen:
+            seen.add(url)
+            yield FROM_TEXT, pos, url, url
+
+
 # --- native extraction: column expressions only -------------------------------------
 
 _ATTRIBUTES = r"""[aA](?=[\s/])((?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+)"""
@@ -200,20 +244,33 @@ def anchor_links(
     the patterns could read differently go to the tokenizer (see :func:`is_regular`).
     """
     if method == "parser":
-        return _scan_links(pages, keys, html, first_only=False, text=False)
+        return _scan_links(pages, keys, html, _all_anchors)
     if method == "native":
         regular, other = _by_markup(pages, html)
         return _explode(regular, keys, _native_anchors(F.col(html))).unionByName(
-            _scan_links(other, keys, html, first_only=False, text=False)
+            _scan_links(other, keys, html, _all_anchors)
         )
     raise ValueError(f"unknown method: {method}")
 
 
 def text_urls(
-    pages: DataFrame, keys: Sequence[str] = ("page_id",), text: str = "html"
+    pages: DataFrame,
+    keys: Sequence[str] = ("page_id",),
+    text: str = "html",
+    method: str = "parser",
 ) -> DataFrame:
-    """Absolute URLs anywhere in the source text, comments and attributes included."""
-    return _explode(pages, keys, _native_text_urls(F.col(text)))
+    """Absolute URLs anywhere in a page, comments and attributes included.
+
+    The parser builds the page's tree, writes it out again with quoted values and
+    escaped text, and searches that: an address ends where its text or value does.
+    ``method="native"`` searches the source as it stands, which gives the same where
+    values are quoted, no quote follows an address in text, and no tag is left over.
+    """
+    if method == "parser":
+        return _scan_links(pages, keys, text, _all_text_urls)
+    if method == "native":
+        return _explode(pages, keys, _native_text_urls(F.col(text)))
+    raise ValueError(f"unknown method: {method}")
 
 
 def page_links(
@@ -225,12 +282,14 @@ def page_links(
     """Anchors, then text URLs; the first link of a URL per page wins.
 
     ``keys`` must identify a page.  With the parser a page never leaves its task,
-    so there is no shuffle at all.  The native form groups by (page, URL), with
-    the first link already picked before the shuffle, and leaves pages of irregular
-    markup to the parser.
+    so there is no shuffle at all.  Text URLs are searched in the written-out tree, see
+    :func:`text_urls`; they are compared in decoded form, so the address of an ``href``
+    is not found a second time.  The native form groups by (page, URL), with the first
+    link already picked before the shuffle, searches text URLs in the page source, and
+    leaves pages of irregular anchors to the parser.
     """
     if method == "parser":
-        return _scan_links(pages, keys, html, first_only=True, text=True)
+        return _scan_links(pages, keys, html, _first_links)
     if method != "native":
         raise ValueError(f"unknown method: {method}")
     column = F.col(html)
@@ -238,7 +297,7 @@ def page_links(
     links = _explode(regular, keys, F.concat(_native_anchors(column), _native_text_urls(column)))
     first = links.groupBy(*keys, "url").agg(F.min(F.struct("src", "pos", "title")).alias("__first"))
     return first.select(*keys, "__first.src", "__first.pos", "__first.title", "url").unionByName(
-        _scan_links(other, keys, html, first_only=True, text=True)
+        _scan_links(other, keys, html, _first_links)
     )
 
 
@@ -293,7 +352,12 @@ def scan_pages(
 
 
 def split_emissions(emissions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The item, link and follow rows of a tagged scan."""
+    """The item, link and follow rows of a tagged scan.
+
+    A batch scan is written down first, so that the three tables share one pass over the pages.
+    """
+    if not emissions.isStreaming:
+        emissions = stage(emissions, "emissions")
     items, links, follows = (
         emissions.where(F.col("kind") == kind).drop("kind") for kind in EMISSION_KINDS
     )

@@ -57,6 +57,26 @@ LOOSE_ANCHORS = f"""
     UNION ALL SELECT page_id, 0, 'caf' || chr(233) || ' ' || chr(233), '/p' || page_id FROM {{pages}}
     UNION ALL SELECT page_id, 1, 'two & a half', '/q' || page_id || '?a=1&b=2' FROM {{pages}}"""
 
+# The planted addresses as a browser sees them; places 0 and 1 of the text are those of the anchors.
+_PLANTED = (
+    (0, 0, "'plain'", "'http://e.com/u' || page_id"),
+    (0, 1, "'ref'", "'http://e.com/caf' || chr(233) || page_id || '?a=1&b=2'"),
+    (1, 2, None, "'http://q.com/' || page_id || '\"!'"),
+    (1, 3, None, "'http://r.com/' || page_id || 'x'"),
+    (1, 4, None, "'http://c.com/' || page_id"),
+    (1, 5, None, "'http://s.com/' || page_id"),
+    (1, 6, None, "'http://f.com/' || page_id"),
+    (1, 7, None, "'http://t.com/' || page_id"),
+)
+LOOSE_URLS = f"""
+    SELECT page_id, src, pos, title, url FROM (
+        SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY src, pos) AS rn FROM (
+            SELECT page_id, 0 AS src, pos + 2 AS pos, title, url
+            FROM ({ANCHOR_ROWS.replace("{SOURCE}", "{pages}")}) a""" + "".join(
+    f"\n            UNION ALL SELECT page_id, {src}, {pos}, {title or url}, {url} FROM {{pages}}"
+    for src, pos, title, url in _PLANTED
+) + """) b) c WHERE rn = 1"""
+
 TEXT_ROWS = f"""
     SELECT page_id, generate_subscripts(u, 1) - 1 AS pos, unnest(u) AS title, unnest(u) AS url
     FROM (SELECT page_id, regexp_extract_all(html, {TEXT_URL}) AS u FROM {{SOURCE}}) q"""
@@ -73,6 +93,22 @@ PAGE_LINKS = f"""
             UNION ALL SELECT 1 AS src, * FROM ({_from(TEXT_ROWS, '{v_text}')}) b) q) q2
     WHERE rn = 1"""
 
+# Pages by the level at which they are asked for, and all their anchors in order.
+REACHED = """WITH RECURSIVE reached AS (
+        SELECT page_id, 0 AS depth FROM {pages} WHERE page_id IN (0, 2)
+        UNION ALL
+        SELECT p.page_id, depth + 1 FROM reached r JOIN {pages} p
+        ON p.page_id IN (2 * r.page_id + 1, 2 * r.page_id + 2) AND p.page_id <> 2),
+    tags AS (
+        SELECT q.url AS src, r.depth, regexp_extract_all(html, '<a [^>]*>[^<]*</a>') AS t
+        FROM reached r JOIN {v_asking} q ON q.page_id = r.page_id),
+    anchors AS (SELECT src, depth, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM tags),
+    emitted AS (
+        SELECT src, depth, i, k, CASE WHEN k = 0 THEN 'follow' ELSE 'link' END AS kind,
+               CASE WHEN k = 0 THEN '' ELSE regexp_extract(a, '>([^<]*)<', 1) END AS title,
+               regexp_extract(a, 'href="([^"]*)"', 1) AS url
+        FROM anchors, (SELECT unnest([0, 1]) AS k) WHERE k = 1 OR contains(a, 'rel='))"""
+
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 MAIL_DATE = "strftime({0}, '%a, %d %b %Y %H:%M:%S +0000')"
 
@@ -225,6 +261,14 @@ _TEMPLATES: dict[str, str] = {
     "html_anchor_links_loose": LOOSE_ANCHORS,
     "html_anchor_links_loose_native": LOOSE_ANCHORS,
     "text_url_links": _from(TEXT_ROWS, "{v_text}"),
+    "text_url_links_native": _from(TEXT_ROWS, "{v_text}"),
+    "page_links_serialised": LOOSE_URLS,
+    "follow_scan_emissions": REACHED + """
+        SELECT src, depth, (row_number() OVER (PARTITION BY src ORDER BY i, k) - 1)::INT AS pos, kind, title, url
+        FROM emitted""",
+    "follow_scan_missing": REACHED + """
+        SELECT DISTINCT url, 'fetch' AS stage, 'not fetched' AS reason FROM emitted
+        WHERE kind = 'follow' AND url NOT IN (SELECT url FROM {pages})""",
     "page_links_parser": PAGE_LINKS,
     "page_links_native": PAGE_LINKS,
     "emission_split": f"""

@@ -51,7 +51,14 @@ from linkloom.operators.stores import (
     retain,
 )
 from linkloom.operators.window_dedup import drop_window_duplicates
-from linkloom.plans import PipelineSpec, collect_links, due_pages, item_chain, link_chain
+from linkloom.plans import (
+    PipelineSpec,
+    collect_links,
+    due_pages,
+    follow_scans,
+    item_chain,
+    link_chain,
+)
 from linkloom.schemas import SCANNED, STORED_ITEM, STORED_LINK
 from linkloom.sinks import StoreTable, feed_item_xml, output_feed, write_feed
 from linkloom.sources import (
@@ -295,6 +302,31 @@ def follow_frontier_levels(t: Tables) -> DataFrame:
     return follow_frontier(seeds, t["v_follow"])
 
 
+def _asking_scanner(url: str, body: str):
+    """Every anchor is a link; those to a next page are followed too."""
+    for match in re.finditer(r'<a ([^>]*)>([^<]*)</a>', body):
+        target = re.search('href="([^"]*)"', match[1])[1]
+        if "rel=" in match[1]:
+            yield "follow", "", target
+        yield "link", match[2], target
+
+
+def _follow_scans(t: Tables):
+    seeds = t["pages"].where("page_id IN (0, 2)").select("url")
+    return follow_scans(seeds, t["v_asking"], _asking_scanner)
+
+
+@query
+def follow_scan_emissions(t: Tables) -> DataFrame:
+    """Scans ask for further pages, which are scanned in the same attempt."""
+    return _follow_scans(t).emissions
+
+
+@query
+def follow_scan_missing(t: Tables) -> DataFrame:
+    return _follow_scans(t).missing
+
+
 # --- page links -------------------------------------------------------------------------
 
 
@@ -323,6 +355,17 @@ def text_url_links(t: Tables) -> DataFrame:
     return text_urls(t["v_text"]).drop("src")
 
 
+@query
+def page_links_serialised(t: Tables) -> DataFrame:
+    """Addresses as they stand in the written-out tree."""
+    return page_links(t["v_loose_urls"])
+
+
+@query
+def text_url_links_native(t: Tables) -> DataFrame:
+    return text_urls(t["v_text"], method="native").drop("src")
+
+
 @query
 def page_links_parser(t: Tables) -> DataFrame:
     return page_links(t["v_text"])

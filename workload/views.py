@@ -26,6 +26,13 @@ VIEWS = {
     "v_loose_pages": """
         SELECT page_id, url, concat('<table><tr><td><a href=/p', page_id, '>caf&eacute; &#233;<td><a href=''/q',
                page_id, '?a=1&amp;b=2''>two &amp; a half</a></table>', html) AS html FROM {pages}""",
+    # Pages with absolute addresses: bare values, references, quotes in text, left-over tags, text in a table.
+    "v_loose_urls": """
+        SELECT page_id, url, concat('<div><a href=http://e.com/u', page_id, '>plain</a><a href="http://e.com/caf&eacute;',
+               page_id, '?a=1&#38;b=2">ref</a> said "http://q.com/', page_id, '"! and http://r.com/', page_id,
+               '</nope>x<!-- http://c.com/', page_id, ' --><script>var a="http://s.com/', page_id,
+               '";</script><table>http://f.com/', page_id, '<tr><td>http://t.com/', page_id, '</table></div>', html) AS html
+        FROM {pages}""",
     # Links as they arrive: few URLs per host, many repeats.
     "v_stream": """
         SELECT event_id AS ord, ts, concat('h', user_id % 20) AS host,
@@ -92,6 +99,17 @@ VIEWS = {
         UNION ALL
         SELECT a.url AS src, b.url AS dst
         FROM {pages} a JOIN {pages} b ON b.page_id = a.page_id * 2 + 2""",
+    # Pages that ask for others: the next two, the one they were asked for by, some that do not exist.
+    "v_asking": """
+        SELECT p.page_id, p.url, concat(
+                   coalesce(concat('<a rel=next href="', a.url, '">a</a>'), ''),
+                   coalesce(concat('<a rel="next" href="', b.url, '">b</a>'), ''),
+                   coalesce(concat('<a href="', c.url, '" rel=next>c</a>'), ''),
+                   CASE WHEN p.page_id % 7 = 0 THEN concat('<a rel=next href="http://no.such/', p.page_id % 5, '">d</a>')
+                        ELSE '' END, p.html) AS html
+        FROM {pages} p LEFT JOIN {pages} a ON a.page_id = 2 * p.page_id + 1
+        LEFT JOIN {pages} b ON b.page_id = 2 * p.page_id + 2
+        LEFT JOIN {pages} c ON p.page_id > 0 AND c.page_id = (p.page_id - 1 - (p.page_id - 1) % 2) / 2""",
     # Title rules: the first two words of each document.
     "v_rules": """
         SELECT page_id AS doc_id, title FROM {v_items}""",
