@@ -9,6 +9,7 @@ from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -461,31 +462,40 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         pieces = PieceModel(sent.value)
-        # Bytes of every id; where they make no text, and for unknown ids, ids are read one by one.
-        data = [
-            bytes([int(p[3:5], 16)])
-            if kind == _BYTE
-            else p.replace(SPACE, " ").encode()
-            if kind == _NORMAL
-            else b""
-            if kind == _CONTROL
-            else None
+        # Bytes of every id; where they make no text, and for unknown, null and inner control ids, ids
+        # are read one by one.
+        known = [
+            bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(SPACE, " ").encode() if kind == _NORMAL else b""
             for p, _, kind in pieces.pieces
         ]
-        control = {i for i, kind in enumerate(pieces.kinds) if kind == _CONTROL}
-        spaced = {i for i, (p, _, kind) in enumerate(pieces.pieces) if kind == _NORMAL and p[0] == SPACE}
+        width = np.fromiter(map(len, known), np.int64, len(known))
+        start = np.cumsum(width) - width
+        data = np.frombuffer(b"".join(known), np.uint8)
+        control = np.array([kind == _CONTROL for kind in pieces.kinds])
+        spaced = np.array([kind == _NORMAL and p[0] == SPACE for p, _, kind in pieces.pieces]) & pieces.prefix
         for batch in batches:
+            column = batch.column(1)
+            flat = column.flatten()
+            whole = not flat.null_count
+            flat = flat.to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
             texts = []
-            for ids in batch.column(1):
-                own = [i for i in ids.as_py() or () if i is not None]
+            for low, high in zip((ends - sizes).tolist(), ends.tolist()):
+                own = flat[low:high]
+                if not whole or (own == pieces.unknown).any() or control[own[:-1]].any():
+                    texts.append(pieces.decode_ids([int(i) for i in own if i == i]))
+                    continue
+                w = width[own]
+                at = np.arange(int(w.sum())) + np.repeat(start[own] - (np.cumsum(w) - w), w)
+                head = own[0] if len(own) else 0
                 try:
-                    text = b"".join(map(data.__getitem__, own)).decode()
-                    head = next((i for i in own if i not in control), None)
-                    texts.append(text[1:] if pieces.prefix and head in spaced else text)
-                except (TypeError, UnicodeDecodeError):
-                    texts.append(pieces.decode_ids(own))
+                    text = data[at].tobytes().decode()
+                    texts.append(text[1:] if spaced[head] else text)
+                except UnicodeDecodeError:
+                    texts.append(pieces.decode_ids(own.tolist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
+                [batch.column(0), column, pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
             )
 
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids array<int>, text string")
