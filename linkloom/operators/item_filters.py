@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,10 @@ from linkloom.functions.text import sanitize_title
 from linkloom.workspace import local_rows, stage
 
 _GRAM = 3
+#: Words of rules up to which they are tested one by one.
+FEW_WORDS = 64
+#: Characters of rules up to which a rule table is sent to the tasks.
+SENT_CHARACTERS = 16_000_000
 _TITLE = T.StructType([T.StructField("title", T.StringType())])
 
 
@@ -37,17 +42,71 @@ def _matches_any(title: Column, rules: Sequence[Sequence[str]]) -> Column:
     )
 
 
-def filter_titles(items: DataFrame, titles: Sequence[str], title: str = "title") -> DataFrame:
-    """Keep items whose title holds all words of at least one of ``titles``.
+class _RuleMatcher:
+    """Whether a normalised title holds all words of some rule: one automaton pass per title.
 
-    No titles keep nothing; an empty title keeps everything.  Works on streams.
+    The automaton has the words of all rules.  A rule is filed under its longest word, and is
+    looked at when that word was found.
     """
-    rules = title_words(items.sparkSession, titles)
+
+    def __init__(self, rules: Sequence[Sequence[str]]) -> None:
+        import ahocorasick
+
+        self.words = ahocorasick.Automaton()
+        number = {word: i for i, word in enumerate(sorted({w for words in rules for w in words}))}
+        for word, i in number.items():
+            self.words.add_word(word, i)
+        self.words.make_automaton()
+        self.alone: set[int] = set()
+        self.filed: dict[int, list[frozenset[int]]] = {}
+        for words in {frozenset(words) for words in rules}:
+            longest = number[max(sorted(words), key=len)]
+            if len(words) == 1:
+                self.alone.add(longest)
+            else:
+                self.filed.setdefault(longest, []).append(frozenset(number[w] for w in words))
+
+    def __call__(self, title: str | None) -> bool:
+        if not title:
+            return False
+        found = {i for _, i in self.words.iter(title)}
+        if not self.alone.isdisjoint(found):
+            return True
+        return any(rule <= found for i in found for rule in self.filed.get(i, ()))
+
+
+def _matches_automaton(rules: Sequence[Sequence[str]]):
+    """The matcher as a column function over normalised titles; a worker builds it once per task."""
+    made: list[_RuleMatcher] = []
+
+    @F.arrow_udf(T.BooleanType())
+    def matches(normals: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not made:
+            made.append(_RuleMatcher(rules))
+        for titles in normals:
+            yield pa.array(map(made[0], titles.to_pylist()), pa.bool_())
+
+    return matches
+
+
+def _keep_matching(items: DataFrame, rules: list[list[str]], title: str) -> DataFrame:
     if not rules:
         return items.where(F.lit(False))
     if [""] in rules:
         return items.where(F.col(title).isNotNull())
-    return items.where(_matches_any(F.col(title), rules))
+    if sum(map(len, rules)) <= FEW_WORDS:
+        return items.where(_matches_any(F.col(title), rules))
+    return items.where(_matches_automaton(rules)(sanitize_title(F.col(title))))
+
+
+def filter_titles(items: DataFrame, titles: Sequence[str], title: str = "title") -> DataFrame:
+    """Keep items whose title holds all words of at least one of ``titles``.
+
+    No titles keep nothing; an empty title keeps everything.  Works on streams.  Up to
+    ``FEW_WORDS`` words of rules are tested in generated code, one after the other; more of
+    them by an automaton that reads each title once, however many rules there are.
+    """
+    return _keep_matching(items, title_words(items.sparkSession, titles), title)
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -61,10 +120,12 @@ def _grams(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def filter_titles_by_rules(items: DataFrame, rules: DataFrame, title: str = "title") -> DataFrame:
+def filter_titles_by_rules(
+    items: DataFrame, rules: DataFrame, title: str = "title", sent: int = SENT_CHARACTERS
+) -> DataFrame:
     """:func:`filter_titles` with the rules in a table of any size, column ``title``.
 
-    The substring test becomes an equi-join: every rule is filed under its rarest
+    A table of up to ``sent`` characters is sent to the tasks.  Beyond that the substring test becomes an equi-join: every rule is filed under its rarest
     three-character piece, titles are looked up by the pieces they hold, and only these
     candidates are compared.  Of the titles' pieces only those that some rule has are
     kept, before anything is counted or compared.  The lookup runs over distinct titles.
@@ -75,6 +136,9 @@ def filter_titles_by_rules(items: DataFrame, rules: DataFrame, title: str = "tit
         .distinct(),
         "title-rules",
     )
+    size = rule_words.agg(F.sum(F.length(F.array_join("words", " ")) + 1)).first()[0]
+    if (size or 0) <= sent:
+        return _keep_matching(items, [r["words"] for r in rule_words.collect()], title)
     # A rule is filed under pieces of its longest word, short words as they are.
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
     filed = rule_words.withColumn("__longest", longest).select(

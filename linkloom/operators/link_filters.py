@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,14 +50,6 @@ def filter_domains_by_table(links: DataFrame, domains: DataFrame) -> DataFrame:
     )
 
 
-def _search_form(expression: str) -> str:
-    """The expression without a leading ``.*``, which decides nothing in a search.
-
-    With it, a search that fails costs quadratic time in the length of the text.
-    """
-    return re.sub(r"^(?:\.\*\??)+(?![*+?{])", "", expression)
-
-
 def _any_of(conditions: Sequence[Column]) -> Column:
     """A balanced tree of alternatives: its depth grows with the logarithm of their number."""
     if len(conditions) == 1:
@@ -64,17 +58,88 @@ def _any_of(conditions: Sequence[Column]) -> Column:
     return _any_of(conditions[:half]) | _any_of(conditions[half:])
 
 
+def _search_form(expression: str) -> str:
+    """The expression without a leading ``.*``, which decides nothing in a search."""
+    return re.sub(r"^(?:\.\*\??)+(?![*+?{])", "", expression)
+
+
+# Expressions that both engines read alike and that need no backtracking to speak of: letters, escaped
+# signs, plain classes, alternatives in groups, and no repetition but a few "?".
+_SIMPLE = re.compile(
+    r"""\^?(?:(?:[\w /:,;=&%@~!<>"'\-]|\\[^\w\s]|\.|\[\^?(?:[\w/:,;=%@~.][\w/:,;=%@~.\-]*)\])\??|\((?:\?:)?|\)(?![?*+{])|\|)*\$?"""
+)
+_MOST_OPTIONAL = 4
+#: Expressions that one compiled pattern joins at most.
+_JOINED = 200
+
+
+def _native_form(expression: str) -> str | None:
+    """The expression for generated code, or None if it belongs to the linear-time engine.
+
+    ``(?d)`` makes a dot match all but a line feed; the end is the end of the text.
+    """
+    form = _search_form(expression)
+    if not _SIMPLE.fullmatch(form) or form.count("?") - form.count("(?:") > _MOST_OPTIONAL:
+        return None
+    try:
+        re.compile(form)
+    except re.error:
+        return None
+    # An anchor inside an alternative belongs to it alone.
+    if "|" in form and (form.startswith("^") or form.endswith("$")):
+        return None
+    end = form.endswith("$") and not form.endswith("\\$")
+    return "(?d)" + (form[:-1] + r"\z" if end else form)
+
+
+def _linear_patterns(expressions: Sequence[str]) -> list[str]:
+    """Alternatives of the expressions, in as few patterns as the engine compiles."""
+    joined = "|".join(f"(?:{e})" for e in expressions)
+    try:
+        pc.match_substring_regex(pa.array([""]), joined)
+        return [joined]
+    except pa.ArrowInvalid:
+        if len(expressions) == 1:
+            raise
+        half = len(expressions) // 2
+        return _linear_patterns(expressions[:half]) + _linear_patterns(expressions[half:])
+
+
+def _matches_linear(patterns: Sequence[str]):
+    """A column function: does any pattern match?  Whole Arrow batches, linear in the text."""
+
+    @F.arrow_udf(T.BooleanType())
+    def matches(text: pa.Array) -> pa.Array:
+        found = None
+        for pattern in patterns:
+            own = pc.match_substring_regex(text, pattern)
+            found = own if found is None else pc.or_(found, own)
+        return found
+
+    return matches
+
+
 def filter_url_regex(links: DataFrame, expressions: Sequence[str]) -> DataFrame:
     """Keep links whose trimmed URL contains a match of any expression.
 
-    A bad expression fails here, not in a running task.
+    Expressions are RE2's, and take time linear in the URL.  Simple ones, such as
+    ``.*\\.mp4$``, run in generated code; all others cross to the RE2 engine in Arrow
+    batches, joined into one pattern.  A bad expression fails here, not in a running task.
     """
     if not expressions:
         return links.where(F.lit(False))
-    probe = local_rows(links.sparkSession, T.StructType([T.StructField("url", T.StringType())]), [("",)])
-    probe.select(F.array(*[F.col("url").rlike(expression) for expression in expressions])).collect()
+    for expression in expressions:
+        try:
+            pc.match_substring_regex(pa.array([""]), expression)
+        except pa.ArrowInvalid as error:
+            raise PySparkValueError(f"bad expression {expression!r}: {error}") from None
     url = trim_space(F.col("url"))
-    return links.where(_any_of([url.rlike(_search_form(e)) for e in expressions]))
+    native = [form for e in expressions if (form := _native_form(e)) is not None]
+    other = [e for e in expressions if _native_form(e) is None]
+    conditions = [url.rlike(form) for form in native]
+    for i in range(0, len(other), _JOINED):
+        conditions.append(_matches_linear(_linear_patterns(other[i : i + _JOINED]))(url))
+    return links.where(_any_of(conditions))
 
 
 def filename_as_title(links: DataFrame, trim_extension: bool = False) -> DataFrame:

@@ -68,15 +68,15 @@ def follow_scans(
         _bucketed(level, visited_table, f"{root}/visited", buckets, "append")
         return rows.get["n"]
 
+    emissions = f"{root}/emissions"
+    spark.createDataFrame([], _EMITTED).write.partitionBy("depth").parquet(emissions)
     depth = 0
     found = add(seeds.select("url").where("url IS NOT NULL").distinct(), depth)
     while found:
         level = visited().where(F.col("depth") == depth).select("url")
         wanted = spark.table(page_table).join(level, "url").select(F.col("url").alias("src"), "url", "body")
-        scan_pages(wanted, scanner, keys=("src",), url="url", body="body").write.parquet(
-            f"{root}/emissions/depth={depth}"
-        )
-        emitted = spark.read.schema(_EMITTED).parquet(f"{root}/emissions/depth={depth}")
+        scan_pages(wanted, scanner, keys=("src",), url="url", body="body").write.parquet(f"{emissions}/depth={depth}")
+        emitted = spark.read.schema(_EMITTED).parquet(f"{emissions}/depth={depth}")
         new = emitted.where("kind = 'follow' AND url IS NOT NULL").select("url").distinct()
         depth += 1
         found = add(new.join(visited().select("url"), "url", "left_anti"), depth)
@@ -84,7 +84,7 @@ def follow_scans(
         "url", F.lit("fetch").alias("stage"), F.lit("not fetched").alias("reason")
     )
     return FollowScans(
-        spark.read.schema(_EMITTED).parquet(f"{root}/emissions").select("src", "depth", "pos", "kind", "title", "url"),
+        spark.read.schema(_EMITTED).parquet(emissions).select("src", "depth", "pos", "kind", "title", "url"),
         visited(),
         missing,
     )

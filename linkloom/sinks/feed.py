@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import rfc1123
@@ -57,6 +57,14 @@ def _head(title: str, description: str, as_of: datetime) -> Column:
     )
 
 
+_TAIL = "</channel></rss>"
+
+
+def feed_frame(spark: SparkSession, title: str, description: str, as_of: datetime) -> tuple[str, str]:
+    """What stands before and behind the items of a feed document."""
+    return spark.range(1).select(_head(title, description, as_of)).first()[0], _TAIL
+
+
 def write_feed(
     items: DataFrame,
     path: str,
@@ -74,7 +82,7 @@ def write_feed(
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("place"), _head(title, description, as_of).alias("value")),
-                F.struct(F.lit(2).alias("place"), F.lit("</channel></rss>").alias("value")),
+                F.struct(F.lit(2).alias("place"), F.lit(_TAIL).alias("value")),
             )
         ).alias("edge")
     ).select("edge.place", F.lit("").alias("url"), "edge.value")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.operators.stores import new_rows, recent, retain
+from linkloom.sinks.summaries import DAY, DaySummaries
 from linkloom.workspace import stage
 
-_DAY = "added_day"
+_DAY = DAY
 
 
 class StoreTable:
@@ -24,6 +25,10 @@ class StoreTable:
 
     With ``buckets`` a new table is also bucketed by URL: an insert then compares a
     batch with the store without moving the store.
+
+    With ``summaries`` the table keeps Bloom filters of each day's URLs beside it (below
+    ``path``, which it then needs): an insert reads only the days that may hold a URL of the
+    batch.  A table that exists is summarised when it is first opened so.
     """
 
     def __init__(
@@ -33,12 +38,17 @@ class StoreTable:
         schema: T.StructType,
         path: str | None = None,
         buckets: int | None = None,
+        summaries: bool = False,
     ) -> None:
         self.spark = spark
         self.name = name
         self.columns = schema.fieldNames()
         self.buckets = buckets
-        if not spark.catalog.tableExists(name):
+        if summaries and not path:
+            raise ValueError("a store with summaries needs a path")
+        self.summaries = DaySummaries(spark, f"{name}_summaries", f"{path}-summaries") if summaries else None
+        existed = spark.catalog.tableExists(name)
+        if not existed:
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             location = f" LOCATION '{path}'" if path else ""
             clustering = f" CLUSTERED BY (url) INTO {buckets} BUCKETS" if buckets else ""
@@ -47,6 +57,10 @@ class StoreTable:
                 f" PARTITIONED BY ({_DAY}){clustering}{location}"
             )
 
+        if existed and summaries and self.summaries.read().isEmpty():
+            for day in self._days():
+                self.summaries.add(self.read_days([day]).select("url"), date.fromisoformat(day))
+
     def _table(self) -> DataFrame:
         # Other sessions write too: a stream inserts through a session of its own.
         self.spark.catalog.refreshTable(self.name)
@@ -55,8 +69,27 @@ class StoreTable:
     def read(self) -> DataFrame:
         return self._table().select(*self.columns)
 
+    def _days(self) -> list[str]:
+        return [r["partition"].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()]
+
+    def days_to_compare(self, batch: DataFrame) -> list[str]:
+        """The days an insert of ``batch`` has to read."""
+        days = self._days()
+        if self.summaries is None:
+            return days
+        known = {r[0].isoformat() for r in self.summaries.read().select(_DAY).distinct().collect()}
+        hit = {day.isoformat() for day in self.summaries.may_hold(batch.select("url"))}
+        return [day for day in days if day in hit or day not in known]
+
+    def read_days(self, days: Sequence[str]) -> DataFrame:
+        return self._table().where(F.col(_DAY).cast("string").isin(*days)).select(*self.columns)
+
     def insert_absent(self, batch: DataFrame, order: Sequence[str], as_of: datetime) -> None:
-        fresh = new_rows(batch, self.read(), order).withColumn("added", F.lit(as_of))
+        store = self.read() if self.summaries is None else self.read_days(self.days_to_compare(batch))
+        fresh = new_rows(batch, store, order).withColumn("added", F.lit(as_of))
+        if self.summaries is not None:
+            fresh = stage(fresh, "fresh")
+            self.summaries.add(fresh.select("url"), as_of.date())
         if self.buckets:
             # One file per bucket, not one per bucket and task.
             fresh = fresh.repartition(self.buckets, "url")
@@ -70,12 +103,13 @@ class StoreTable:
     def cleanup(self, max_age: timedelta, as_of: datetime) -> None:
         """Drop the days before the cutoff, rewrite the day of the cutoff."""
         cutoff = as_of - max_age
-        for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect():
-            day = row["partition"].split("=", 1)[1]
+        for day in self._days():
             if day < cutoff.date().isoformat():
                 self.spark.sql(
                     f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({_DAY} = DATE '{day}')"
                 )
+                if self.summaries is not None:
+                    self.summaries.drop(day)
         boundary = self._table().where(F.col(_DAY) == F.lit(cutoff.date()))
         # Staged, since a partition cannot be overwritten while it is being read.
         kept = stage(retain(boundary, max_age, as_of).select(*self.columns), "cleanup")

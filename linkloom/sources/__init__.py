@@ -15,6 +15,8 @@ from linkloom.sources.pages import (
     split_emissions,
     text_urls,
 )
+from linkloom.sources.resources import register_source, row_group_pages, row_groups
+from linkloom.sources.scanner_function import register_scanner
 
 __all__ = [
     "anchor_links",
@@ -27,6 +29,10 @@ __all__ = [
     "page_links",
     "read_feed_files",
     "read_fetch_results",
+    "register_scanner",
+    "register_source",
+    "row_group_pages",
+    "row_groups",
     "scan_pages",
     "split_emissions",
     "text_urls",

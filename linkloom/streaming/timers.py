@@ -50,6 +50,7 @@ class _FirstSeen(StatefulProcessor):
 
     def __init__(self, row: T.StructType, age: int, step: int, origin: int) -> None:
         self.row, self.age, self.step, self.origin = row, age, step, origin
+        self.names = row.fieldNames()[1:]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -83,9 +84,11 @@ class _FirstSeen(StatefulProcessor):
         if later:
             self.handle.registerTimer(_ceil(min(row[0] for row in later)))
         for row in accepted:
-            yield Row(*row[1:])
+            yield Row(**dict(zip(self.names, row[1:])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         waiting += [tuple(row) for row in rows]
         yield from self._advance(waiting, timerValues.getCurrentWatermarkInMs())
@@ -98,7 +101,7 @@ class _FirstSeen(StatefulProcessor):
         """Go on from what a stopped query remembered, see :func:`remembered`."""
         if initialState["tick"] is not None:
             self.free.update((initialState["tick"],))
-        later = [tuple(row) for row in initialState["waiting"] or ()]
+        later = [tuple(row[name] for name in self.row.fieldNames()) for row in initialState["waiting"] or ()]
         if later:
             self.waiting.put(later)
             self.handle.registerTimer(_ceil(min(row[0] for row in later)))
@@ -134,7 +137,9 @@ def stream_first_seen_exact(
     query inside :func:`timed_state`.
     """
     columns = rows.columns
-    staged = _ordered(rows.withWatermark(ts, delay).where("url IS NOT NULL"), ts, order)
+    # Rows without a URL are left out by the processor: a filter would be moved in front of the
+    # watermark, which then would not see them.
+    staged = _ordered(rows.withWatermark(ts, delay), ts, order)
     processor = _FirstSeen(
         staged.schema, max_age // _MICRO, cleanup_interval // _MICRO, _micros(start)
     )
@@ -207,7 +212,7 @@ class _Due(StatefulProcessor):
         """Emit at every tick up to the watermark at which the URL is due."""
         while due is not None and due <= watermark * 1000:
             attempts += 1
-            yield Row(url, _EPOCH.replace(tzinfo=None) + due * _MICRO, attempts)
+            yield Row(url=url, tick=_EPOCH.replace(tzinfo=None) + due * _MICRO, attempt=attempts)
             wait = self.wait(attempts)
             due = None if wait is None else self._tick_at(due + max(wait // _MICRO, 1))
         self.state.update((attempts, due))
@@ -215,6 +220,8 @@ class _Due(StatefulProcessor):
             self.handle.registerTimer(_ceil(due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return
         first = min(row["__micros"] for row in rows)
         if not self.state.exists() and self.wait(0) is not None:
             yield from self._run(key[0], 0, self._tick_at(first), timerValues.getCurrentWatermarkInMs())
@@ -240,7 +247,7 @@ def stream_due_urls(
     :func:`~linkloom.operators.schedule.due_fetches` at every tick and logging its answer as
     attempts.  State is two numbers per URL.  Rows without a URL only move the clock.
     """
-    known = urls.withWatermark(ts, delay).where("url IS NOT NULL")
+    known = urls.withWatermark(ts, delay)
     processor = _Due(wait, tick // _MICRO, _micros(origin))
     return (
         known.select("url", F.unix_micros(F.col(ts)).alias("__micros"))

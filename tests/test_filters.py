@@ -1,11 +1,15 @@
 import random
+import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from linkloom.operators.item_filters import filter_titles, filter_titles_by_rules
+from linkloom.operators.item_filters import filter_titles, filter_titles_by_rules, title_words
 from linkloom.operators.link_filters import (
+    _native_form,
     apply_chain,
     describe_filters,
     expand_short_links,
@@ -130,6 +134,71 @@ def test_url_regex(spark):
         filter_url_regex(rows, ["("])
 
 
+HOSTILE = ["(a*)(a*)(a*)b", "(a|aa)+$", "(x+x+)+y", "([a-z]+)*[0-9]", ".*.*.*=.*", "(a?){30}a{30}"]
+
+
+def test_hostile_expressions_take_linear_time(spark):
+    """Each of these takes a backtracking engine polynomial or exponential time."""
+    rows = links(spark, "http://h/" + "a" * 20_000, "http://h/" + "x" * 20_000 + "!")
+    filter_url_regex(rows, ["warm(up)*"]).collect()
+    for expression in HOSTILE:
+        began = time.time()
+        filter_url_regex(rows, [expression]).collect()
+        assert time.time() - began < 5, expression
+
+
+def test_expressions_mean_what_they_do_in_re2(spark):
+    """The end is the end of the text, a dot is any sign but a line feed, classes are ASCII."""
+    rows = links(spark, "http://h/a\nb", "http://h/a\rb", "http://h/\u0661", "http://h/1", "HTTP://H/x")
+    keep = lambda e: urls(filter_url_regex(rows, [e]))
+    assert keep("a$") == []
+    assert keep("a.b") == keep("a(.)*b") == ["http://h/a\rb"]
+    assert keep(r"\d") == keep("[[:digit:]]") == ["http://h/1"]
+    assert keep("(?i)^http://h/X") == ["HTTP://H/x"]
+    for bad in ("(?=a)", "a**", r"\1", "[z-a]", "(?<n"):
+        with pytest.raises(ValueError):
+            filter_url_regex(rows, [bad])
+
+
+def test_both_engines_agree(spark):
+    """Simple expressions run in generated code; each gives what the linear engine gives."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab.1/-\n\r$é") for _ in range(rng.randint(0, 8))) for _ in range(300)]
+    pieces = ["a", "b", ".", r"\.", "[ab]", "[^a]", "a?", "(a|b)", "1", "/", "-", "é", r"\$", "[0-9]"]
+    seen = 0
+    rows = links(spark, *texts)
+    for _ in range(60):
+        expression = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))
+        expression = rng.choice(["", "^"]) + expression + rng.choice(["", "$"])
+        seen += _native_form(expression) is not None
+        text = [t.strip() for t in texts]
+        want = sorted(t for t, s in zip(texts, text) if pc.match_substring_regex(pa.array([s]), expression)[0].as_py())
+        assert sorted(urls(filter_url_regex(rows, [expression]))) == want, expression
+    assert seen > 20
+
+
+def test_many_expressions_of_both_kinds(spark):
+    rows = links(spark, *[f"http://h/number{i}" for i in range(0, 600, 7)])
+    got = filter_url_regex(rows, [f"number{i}(x*)$" for i in range(500)] + [f"number{i}$" for i in range(500, 550)])
+    assert urls(got) == [f"http://h/number{i}" for i in range(0, 550, 7)]
+
+
+def test_many_title_rules_equal_few(spark):
+    """Rules by automaton, by expression and by join keep the same items."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) for _ in range(80)]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(200)] + ["", "!"]
+    rules = [" ".join(rng.sample(words, rng.randint(1, 3))) + rng.choice(["", "!"]) for _ in range(90)]
+    items = spark.createDataFrame([(t, i) for i, t in enumerate([*titles, None])], "title string, n int")
+    few = sorted(r.n for c in range(0, 90, 15) for r in filter_titles(items, rules[c : c + 15]).collect())
+    assert len(title_words(spark, rules)) > 64
+    many = sorted(r.n for r in filter_titles(items, rules).collect())
+    assert many == sorted(set(few))
+    table = spark.createDataFrame([(r,) for r in rules], "title string")
+    for sent in (0, 10**6):
+        assert sorted(r.n for r in filter_titles_by_rules(items, table, sent=sent).collect()) == many
+
+
 def test_filename_as_title(spark):
     rows = links(
         spark, ("t", "http://h/img.jpg"), ("t", "http://h/dl/name"), ("", ""), ("t", "http://h"),

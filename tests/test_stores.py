@@ -115,3 +115,38 @@ def test_bucketed_store_is_not_moved(spark):
     store_side = lines[max(i for i in range(join, scan) if "+- Sort" in lines[i]) : scan]
     assert not any("Exchange" in line for line in store_side), plan
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_summaries_leave_days_unread(spark):
+    """Five days of 200 URLs: a batch reads the days it shares URLs with, and inserts the same rows."""
+    plain, summed = (
+        StoreTable(spark, f"store_{uuid4().hex}", STORED_LINK, scratch_path(spark, "store"), summaries=s)
+        for s in (False, True)
+    )
+    days = [datetime(2024, 3, day, 6) for day in range(1, 6)]
+    for i, day in enumerate(days):
+        rows = [(n, "t", f"u{n + 190 * i}") for n in range(200)]
+        for table in (plain, summed):
+            table.insert_absent(batch(spark, *rows), ["ord"], day)
+    mixed = batch(spark, (1, "x", "u5"), (2, "x", "u6"), (3, "x", "u400"), (4, "x", "new"))
+    assert summed.days_to_compare(mixed) == ["2024-03-01", "2024-03-03"]
+    assert summed.days_to_compare(batch(spark, (1, "x", "new"))) == []
+    assert plain.days_to_compare(mixed) == [f"2024-03-0{d}" for d in range(1, 6)]
+    read = summed.read_days(summed.days_to_compare(mixed))
+    assert {f.rsplit("added_day=")[1][:10] for f in read.inputFiles()} == {"2024-03-01", "2024-03-03"}
+    for table in (plain, summed):
+        table.insert_absent(mixed, ["ord"], days[4] + HOUR)
+        table.cleanup(timedelta(days=2), days[4])
+    rows = lambda t: sorted(tuple(r) for r in t.read().collect())
+    assert rows(plain) == rows(summed)
+    # Forgotten days are forgotten by the summaries too.
+    assert summed.days_to_compare(batch(spark, (1, "x", "u5"))) == []
+    # A table that was made without them is summarised when it is opened with them.
+    path = scratch_path(spark, "late")
+    late = StoreTable(spark, f"store_{uuid4().hex}", STORED_LINK, path)
+    late.insert_absent(batch(spark, (1, "t", "old")), ["ord"], days[0])
+    late = StoreTable(spark, late.name, STORED_LINK, path, summaries=True)
+    assert late.days_to_compare(batch(spark, (1, "t", "old"))) == ["2024-03-01"]
+    assert late.days_to_compare(batch(spark, (1, "t", "other"))) == []
+    for table in (plain, summed, late):
+        spark.sql(f"DROP TABLE {table.name}")

@@ -223,8 +223,25 @@ FEEDS_TO_LINKS = _new_links(
     ", TIMESTAMP '2024-01-20 01:00:00' AS pub_date",
 )
 
+# Items of feeds that came whole, on pages that came.
+GOOD_FEED = "(page_id // 20) % 5 <> 4 AND (page_id // 20) % 7 <> 3"
+DOCUMENT_FAILURES = """
+    SELECT DISTINCT 'http://feeds.example.com/' || page_id // 20 AS url, 'fetch' AS stage, 'status 404' AS reason
+    FROM {pages} WHERE (page_id // 20) % 5 = 4
+    UNION ALL SELECT DISTINCT 'http://feeds.example.com/' || page_id // 20, 'scan', 'malformed document'
+    FROM {pages} WHERE (page_id // 20) % 7 = 3 AND (page_id // 20) % 5 <> 4
+    UNION ALL """
+
 FEED_ITEMS = "SELECT page_id // 20 AS feed_id, page_id % 20 AS pos, trim(title) AS title, url"
 
+RULES_JOINED = f"""
+    SELECT i.page_id, i.title, i.url
+    FROM (SELECT *, {NORMAL} AS n FROM {{v_titles}}) i
+    WHERE EXISTS (
+        SELECT 1 FROM (SELECT DISTINCT {NORMAL} AS rule FROM {{v_rules}}) r
+        WHERE list_bool_and(list_transform(string_split(r.rule, ' '),
+                                           lambda w: contains(i.n, w))))"""
+
 _TEMPLATES: dict[str, str] = {
     "rss_items": FEED_ITEMS + f", {AS_OF} AS pub_date FROM {{v_items}}",
     "rss_items_feed_dates": "SELECT trim(title) AS title, url, pub_date FROM {v_items}",
@@ -290,6 +307,10 @@ _TEMPLATES: dict[str, str] = {
     "feed_round_trip": f"""
         SELECT trim(title) AS title, url AS guid, url AS link, trim(title) AS description,
                {MAIL_DATE.format('pub_date')} AS "pubDate" FROM {{v_items}}""",
+    "custom_source": "SELECT url, md5(html) AS md5 FROM {pages}",
+    "stream_custom_source": "SELECT url, md5(html) AS md5 FROM {pages}",
+    "feed_publish": """
+        SELECT row_number() OVER (ORDER BY encode(url)) - 1 AS pos, trim(title) AS title, url FROM {v_items}""",
     "sanitize_titles": f"SELECT page_id, {NORMAL} AS normal FROM {{v_items}}",
     "url_hostnames": f"SELECT page_id, CASE WHEN {URL_OK} THEN {HOST} END AS host"
                      f" FROM {_urls('{v_urls}')} u",
@@ -313,13 +334,20 @@ _TEMPLATES: dict[str, str] = {
         WHERE (contains({NORMAL}, 'the') AND contains({NORMAL}, 'and'))
            OR (contains({NORMAL}, 'über') AND contains({NORMAL}, 'der'))
            OR contains({NORMAL}, 'la')""",
-    "item_title_filter_rules_join": f"""
+    "item_title_filter_rules_join": RULES_JOINED,
+    "item_title_filter_rules_shuffled": RULES_JOINED,
+    "item_title_filter_many_rules": f"""
         SELECT i.page_id, i.title, i.url
         FROM (SELECT *, {NORMAL} AS n FROM {{v_titles}}) i
-        WHERE EXISTS (
-            SELECT 1 FROM (SELECT DISTINCT {NORMAL} AS rule FROM {{v_rules}}) r
-            WHERE list_bool_and(list_transform(string_split(r.rule, ' '),
-                                               lambda w: contains(i.n, w))))""",
+        WHERE n IN (
+            SELECT n FROM (SELECT DISTINCT {NORMAL} AS n FROM {{v_titles}}) t, (
+                SELECT DISTINCT split_part(rule, ' ', 1) AS a, string_split(rule, ' ') AS words
+                FROM (SELECT {NORMAL} AS rule FROM {{v_many_rules}}) m) r
+            WHERE contains(n, a) AND list_bool_and(list_transform(words, lambda w: contains(n, w))))""",
+    "link_regex_filter_linear": """
+        SELECT ord, url FROM {v_stream}
+        WHERE regexp_matches(url, '(a*)(a*)(a*)b')
+           OR regexp_matches(url, '(?i)/VIEW/[[:digit:]]+$')""",
     "link_domain_filter": DOMAIN_FILTERED,
     "link_domain_filter_table": """
         SELECT ord, title, url FROM {v_stream}
@@ -412,6 +440,12 @@ _TEMPLATES: dict[str, str] = {
             SELECT title, url, first_day + (date_diff('day', first_day, added) // 6 + 1) * INTERVAL '6' DAY AS added
             FROM ({LINK_STORE}) s, (SELECT date_trunc('day', min(ts))::TIMESTAMP AS first_day FROM {{v_visits}}) f) q
         WHERE added >= TIMESTAMP '2024-01-10 00:00:00'""",
+    "store_table_summaries": """
+        SELECT title, url, TIMESTAMP '2024-01-08 00:00:00' + week * INTERVAL '7' DAY AS added FROM (
+            SELECT *, datediff('day', DATE '2024-01-01', ts::DATE) // 7 AS week,
+                   row_number() OVER (PARTITION BY url ORDER BY datediff('day', DATE '2024-01-01', ts::DATE) // 7, ord) AS rn
+            FROM {v_visits} WHERE ts < TIMESTAMP '2024-02-05 00:00:00') v
+        WHERE rn = 1""",
     "resume_item_urls": f"""
         SELECT url FROM ({ITEM_STORE}) s WHERE added > {ITEM_CUTOFF}
         UNION SELECT url FROM {{v_visits}}""",
@@ -438,6 +472,29 @@ _TEMPLATES: dict[str, str] = {
     "stream_first_seen_urls": "SELECT DISTINCT url FROM {v_stream}",
     "feeds_to_links": FEEDS_TO_LINKS,
     "feeds_to_links_native": FEEDS_TO_LINKS,
+    "documents_to_feed": _new_links(
+        f"{NEW_ITEMS} AND page_id % 3 <> 0 AND page_id % 11 <> 0 AND {GOOD_FEED}",
+        f"SELECT url FROM ({_from(ANCHOR_ROWS, '(SELECT * FROM {pages} WHERE page_id % 5 = 0)')}) s",
+        ", TIMESTAMP '2024-01-20 01:00:00' AS pub_date",
+    ),
+    "documents_failures": DOCUMENT_FAILURES
+    + f"""SELECT url, 'fetch', 'status 404' FROM ({NEW_ITEMS} AND page_id % 3 <> 0 AND page_id % 11 = 0 AND {GOOD_FEED}) p
+    UNION ALL SELECT 'http://feeds.example.com/none', 'fetch', 'not fetched'""",
+    "stream_documents": DOCUMENT_FAILURES
+    + f"""SELECT url, 'fetch', 'status 404' FROM ({NEW_ITEMS} AND page_id % 11 = 0 AND {GOOD_FEED}) p
+    UNION ALL SELECT url, 'stored', title FROM ("""
+    + _new_links(f"{NEW_ITEMS} AND page_id % 11 <> 0 AND {GOOD_FEED}", "SELECT NULL WHERE false", "")
+    + ") l",
+    "stream_due_url_ticks": """
+        WITH RECURSIVE known AS (SELECT url, min(ts) AS ts FROM {v_attempts} GROUP BY url),
+        due AS (
+            SELECT url, 1::BIGINT AS attempt, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (5 * ceil(
+                       (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 18000000000.0)::BIGINT) AS tick
+            FROM known
+            UNION ALL
+            SELECT url, attempt + 1, tick + INTERVAL '1' HOUR * (5 * ceil([1, 1, 2, 3, 5, 8][attempt] * 12 / 5.0)::BIGINT)
+            FROM due WHERE attempt < 7)
+        SELECT url, tick, attempt FROM due""",
     "chain_from_spec": f"""
         SELECT ord, host, regexp_extract(url, '([^/]*)$', 1) AS title, url FROM ("""
     + _window_dedup(
@@ -448,4 +505,9 @@ _TEMPLATES: dict[str, str] = {
     + ") d",
 }
 
+_TEMPLATES["scanner_udtf"] = _TEMPLATES["custom_scanner"]
+# Streams that must give what the batch operator gives.
+for _name in ("stream_first_seen_exact_urls", "stream_first_seen_resumed"):
+    _TEMPLATES[_name] = _TEMPLATES["first_seen_expiring"]
+
 ORACLES: dict[str, str] = {name: oracle(sql).strip() for name, sql in _TEMPLATES.items()}

@@ -9,6 +9,7 @@ from functools import partial
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import (
@@ -53,6 +54,7 @@ from linkloom.operators.stores import (
 from linkloom.operators.window_dedup import drop_window_duplicates
 from linkloom.plans import (
     PipelineSpec,
+    collect_documents,
     collect_links,
     due_pages,
     follow_scans,
@@ -60,7 +62,7 @@ from linkloom.plans import (
     link_chain,
 )
 from linkloom.schemas import SCANNED, STORED_ITEM, STORED_LINK
-from linkloom.sinks import StoreTable, feed_item_xml, output_feed, write_feed
+from linkloom.sinks import StoreTable, feed_item_xml, output_feed, publish_feed, write_feed
 from linkloom.sources import (
     anchor_links,
     decode_bodies,
@@ -69,6 +71,10 @@ from linkloom.sources import (
     follow_frontier,
     items_to_pages,
     page_links,
+    register_scanner,
+    register_source,
+    row_group_pages,
+    row_groups,
     scan_pages,
     split_emissions,
     text_urls,
@@ -76,16 +82,23 @@ from linkloom.sources import (
 )
 from linkloom.sources.markup import anchors
 from linkloom.streaming import (
+    fibonacci_waits,
     read_latest,
+    remembered_urls,
+    store_sinks,
     stream_attempt_state,
     stream_collect_links,
+    stream_documents_to_links,
+    stream_due_urls,
     stream_first_seen,
+    stream_first_seen_exact,
     stream_into_store,
     stream_window_dedup,
     stream_window_dedup_table,
+    timed_state,
     write_updates,
 )
-from linkloom.workspace import scratch_path
+from linkloom.workspace import scratch_path, stage
 from workload.views import VIEWS, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,9 +424,48 @@ def custom_scanner(t: Tables) -> DataFrame:
     return scan_pages(t["pages"], _headings).select("page_id", "pos", "kind", "title", "url")
 
 
+@query
+def scanner_udtf(t: Tables) -> DataFrame:
+    """The same scanner as a table function in SQL."""
+    register_scanner(t.spark, "linkloom_headings", _headings)
+    return t.spark.sql(
+        "SELECT * FROM linkloom_headings(TABLE({pages}), 'page_id', 'url', 'html')", pages=t["pages"]
+    )
+
+
+@query
+def custom_source(t: Tables) -> DataFrame:
+    """Pages through a source of one's own, one resource for each row group of the table's file."""
+    register_source(t.spark, "linkloom_pages", row_groups, row_group_pages)
+    fetched = t.spark.read.format("linkloom_pages").load(f"{t.sf_dir}/pages.parquet")
+    return decode_bodies(fetched).select("url", F.md5("text").alias("md5"))
+
+
+@query
+def stream_custom_source(t: Tables) -> DataFrame:
+    """The same as a stream: an offset is the number of resources read."""
+    register_source(t.spark, "linkloom_pages", row_groups, row_group_pages)
+    path = scratch_path(t.spark, "many-pages")
+    t["pages"].repartitionByRange(5, "page_id").write.parquet(path)
+    fetched = t.spark.readStream.format("linkloom_pages").load(path.removeprefix("file://"))
+    return _run_to_table(t, decode_bodies(fetched).select("url", F.md5("text").alias("md5")))
+
+
 # --- output feed ------------------------------------------------------------------------
 
 
+@query
+def feed_publish(t: Tables) -> DataFrame:
+    """The feed as one document, put in place twice, read back."""
+    path = scratch_path(t.spark, "feed") + ".xml"
+    items = t["v_items"].select("title", "url", "pub_date")
+    publish_feed(items.where("page_id % 2 = 0"), path, AS_OF)
+    publish_feed(items, path, AS_OF)
+    document = t.spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
+    found, _ = feed_items(document, AS_OF)
+    return found.select("pos", "title", "url")
+
+
 @query
 def feed_render(t: Tables) -> DataFrame:
     return t["v_items"].select("page_id", feed_item_xml().alias("xml"))
@@ -490,6 +542,18 @@ def item_title_filter_rules_join(t: Tables) -> DataFrame:
     return filter_titles_by_rules(t["v_titles"], t["v_rules"]).select("page_id", "title", "url")
 
 
+@query
+def item_title_filter_rules_shuffled(t: Tables) -> DataFrame:
+    """The same when the rules are too many to be sent."""
+    return filter_titles_by_rules(t["v_titles"], t["v_rules"], sent=0).select("page_id", "title", "url")
+
+
+@query
+def item_title_filter_many_rules(t: Tables) -> DataFrame:
+    """Ten rules for each document, read by one automaton."""
+    return filter_titles_by_rules(t["v_titles"], t["v_many_rules"]).select("page_id", "title", "url")
+
+
 @query
 def link_domain_filter(t: Tables) -> DataFrame:
     return filter_domains(t["v_mixed"], CHAIN_SPEC["linkFilters"][0]["domains"])
@@ -509,6 +573,12 @@ def link_regex_filter(t: Tables) -> DataFrame:
         .select("ord", "url")
 
 
+@query
+def link_regex_filter_linear(t: Tables) -> DataFrame:
+    """Expressions on which a backtracking engine takes its time, and RE2's own syntax."""
+    return filter_url_regex(t["v_stream"], ["(a*)(a*)(a*)b", "(?i)/VIEW/[[:digit:]]+$"]).select("ord", "url")
+
+
 @query
 def item_filter_chain(t: Tables) -> DataFrame:
     return apply_chain(t["v_items"], item_chain(PipelineSpec.from_dict(CHAIN_SPEC)))
@@ -739,6 +809,20 @@ def store_table_lifecycle(t: Tables) -> DataFrame:
     return table.recent(timedelta(days=12), AS_OF)
 
 
+@query
+def store_table_summaries(t: Tables) -> DataFrame:
+    """The same life of a store that compares a batch only with days that may hold its URLs."""
+    name = f"linkloom_links_{uuid4().hex}"
+    table = StoreTable(t.spark, name, STORED_LINK, scratch_path(t.spark, "store"), summaries=True)
+    visits = t["v_visits"].select("ord", "ts", "title", "url")
+    begin = datetime(2024, 1, 1)
+    while begin < AS_OF + timedelta(days=14):
+        batch = visits.where((F.col("ts") >= F.lit(begin)) & (F.col("ts") < F.lit(begin + timedelta(days=7))))
+        table.insert_absent(batch.select("ord", "title", "url"), ["ord"], begin + timedelta(days=7))
+        begin += timedelta(days=7)
+    return table.read().select("title", "url", "added")
+
+
 @query
 def resume_item_urls(t: Tables) -> DataFrame:
     fresh = t["v_visits"].select("url")
@@ -761,9 +845,9 @@ def output_feed_items(t: Tables) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------
 
 
-def _event_stream(t: Tables, view: str) -> DataFrame:
-    """The view over events that come in three micro-batches."""
-    return t.spark.sql(VIEWS[view], events=t.arriving("events", "event_id"))
+def _event_stream(t: Tables, view: str, parts: int = 3) -> DataFrame:
+    """The view over events that come in several micro-batches."""
+    return t.spark.sql(VIEWS[view], events=t.arriving("events", "event_id", parts))
 
 
 @query
@@ -793,12 +877,12 @@ def stream_attempt_states(t: Tables) -> DataFrame:
     return read_latest(t.spark, path, ["url"])
 
 
-def _run_to_table(t: Tables, stream: DataFrame) -> DataFrame:
+def _run_to_table(t: Tables, stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
     path = scratch_path(t.spark, "stream-rows")
     (
         stream.writeStream.format("parquet")
         .option("path", path)
-        .option("checkpointLocation", scratch_path(t.spark, "stream-checkpoint"))
+        .option("checkpointLocation", checkpoint or scratch_path(t.spark, "stream-checkpoint"))
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
@@ -859,6 +943,129 @@ def stream_first_seen_urls(t: Tables) -> DataFrame:
     return _run_to_table(t, stream_first_seen(rows, "ts", "31 days")).select("url")
 
 
+def _with_ticks(t: Tables, rows: DataFrame, parts: int) -> DataFrame:
+    """The rows in micro-batches, then two of a tick each: a row without a URL that moves the clock.
+
+    The clock of a micro-batch is what those before it have seen, so the second tick makes the
+    first one count.
+    """
+    tick = t.spark.range(1).select(
+        *[
+            F.lit(AS_OF + timedelta(days=60) if c == "ts" else None).cast(rows.schema[c].dataType).alias(c)
+            for c in rows.columns
+        ]
+    )
+    return t.files_of(rows, "ord", parts, [tick, tick])
+
+
+@query
+def stream_first_seen_exact_urls(t: Tables) -> DataFrame:
+    """Six micro-batches; URLs are forgotten by timers, at the instants of the cleanups."""
+    rows = t["v_stream"].select("ord", "ts", "title", "url")
+    with timed_state(t.spark):
+        return _run_to_table(
+            t,
+            stream_first_seen_exact(
+                _with_ticks(t, rows, 6), timedelta(hours=24), timedelta(hours=1), datetime(2024, 1, 1), order=["ord"]
+            ),
+        )
+
+
+@query
+def stream_first_seen_resumed(t: Tables) -> DataFrame:
+    """A query that stops half-way; another goes on from what its state store remembers."""
+    rows = t["v_stream"].select("ord", "ts", "title", "url")
+    half = rows.agg(F.floor(F.avg("ord"))).first()[0]
+    settings = (timedelta(hours=24), timedelta(hours=1), datetime(2024, 1, 1))
+    with timed_state(t.spark):
+        checkpoint = scratch_path(t.spark, "stream-stopped")
+        first = t.files_of(rows.where(F.col("ord") <= half), "ord", 2)
+        before = _run_to_table(t, stream_first_seen_exact(first, *settings, order=["ord"]), checkpoint)
+        known = stage(remembered_urls(t.spark, checkpoint), "remembered")
+        rest = _with_ticks(t, rows.where(F.col("ord") > half), 3)
+        after = _run_to_table(t, stream_first_seen_exact(rest, *settings, order=["ord"], remembered=known))
+    return before.unionByName(after)
+
+
+@query
+def stream_due_url_ticks(t: Tables) -> DataFrame:
+    """The endless schedule: each URL at every tick at which it is due, by timers."""
+    known = t["v_attempts"].groupBy("url").agg(F.min("ts").alias("ts"))
+    known = known.select("url", "ts", F.unix_seconds("ts").alias("ord"))
+    rows = known.withColumn("ord", F.row_number().over(W.orderBy("ts", "url")).cast("long"))
+    with timed_state(t.spark):
+        return _run_to_table(
+            t,
+            stream_due_urls(
+                _with_ticks(t, rows, 5), fibonacci_waits(timedelta(hours=12), 7), timedelta(hours=5), datetime(2024, 1, 1)
+            ),
+        )
+
+
+def _fetched_feeds(t: Tables) -> DataFrame:
+    """Feed documents as fetched: two encodings, some refused, some cut short."""
+    broken = F.expr("left(document, length(document) - 20)")
+    document = F.when(F.col("feed_id") % 7 == 3, broken).otherwise(F.col("document"))
+    wide = F.col("feed_id") % 3 == 1
+    return _rss_documents(t).select(
+        "feed_id",
+        F.concat(F.lit("http://feeds.example.com/"), F.col("feed_id")).alias("url"),
+        F.when(F.col("feed_id") % 5 == 4, 404).otherwise(200).alias("status"),
+        F.when(wide, "text/xml; charset=utf-16le").otherwise("text/xml").alias("content_type"),
+        F.when(wide, F.encode(document, "UTF-16LE")).otherwise(F.encode(document, "UTF-8")).alias("body"),
+    )
+
+
+ITEM_STEPS = [partial(filter_titles, titles=TITLE_RULES)]
+LINK_STEPS = [partial(filter_url_regex, expressions=["^/[a-zA-Z]+$"]), filename_as_title]
+
+
+def _document_run(t: Tables):
+    feeds = stage(_fetched_feeds(t), "fetched-feeds")
+    wanted = feeds.select("url").unionByName(t.spark.sql("SELECT 'http://feeds.example.com/none' AS url"))
+    stored = t["v_items"].where("page_id % 3 = 0").withColumn("added", F.lit(AS_OF) - F.lit(timedelta(hours=1)))
+    known = page_links(t["pages"].where("page_id % 5 = 0").select("page_id", "html"))
+    store = known.select("title", "url", F.lit(AS_OF - timedelta(days=1)).alias("added"))
+    run = collect_documents(
+        wanted, feeds.drop("feed_id"), _bodies(t).drop("page_id"),
+        stored.select("title", "url", "pub_date", "added"), store, ITEM_STEPS, LINK_STEPS, AS_OF,
+    )
+    return run, store
+
+
+@query
+def documents_to_feed(t: Tables) -> DataFrame:
+    """Fetched feed documents and page payloads to the output feed."""
+    run, store = _document_run(t)
+    return run.feed(store, AS_OF + timedelta(hours=1))
+
+
+@query
+def documents_failures(t: Tables) -> DataFrame:
+    return _document_run(t)[0].failures
+
+
+@query
+def stream_documents(t: Tables) -> DataFrame:
+    """Documents in three micro-batches, each into four sinks."""
+    run = uuid4().hex
+    items, links, scanned = [
+        StoreTable(t.spark, f"linkloom_{kind}_{run}", schema, scratch_path(t.spark, kind))
+        for kind, schema in (("items", STORED_ITEM), ("links", STORED_LINK), ("scanned", SCANNED))
+    ]
+    path = scratch_path(t.spark, "stream-documents")
+    pages = stage(_bodies(t).drop("page_id"), "payloads")
+    feeds = t.files_of(_fetched_feeds(t), "feed_id", 3).drop("feed_id")
+    stream_documents_to_links(
+        feeds, pages, items, links, scanned, ITEM_STEPS, LINK_STEPS,
+        store_sinks(links, scanned, items, f"{path}/failures"), path, scratch_path(t.spark, "stream-checkpoint"),
+        clock=lambda batch_id: AS_OF,
+    ).awaitTermination()
+    # A page that is refused is asked for again by the next batch, and refused again.
+    failed = t.spark.read.parquet(f"{path}/failures").select("url", "stage", "reason").distinct()
+    return links.read().select("url", F.lit("stored").alias("stage"), F.col("title").alias("reason")).unionByName(failed)
+
+
 # --- end to end -------------------------------------------------------------------------
 
 

@@ -102,9 +102,9 @@ VIEWS = {
     # Pages that ask for others: the next two, the one they were asked for by, some that do not exist.
     "v_asking": """
         SELECT p.page_id, p.url, concat(
-                   coalesce(concat('<a rel=next href="', a.url, '">a</a>'), ''),
-                   coalesce(concat('<a rel="next" href="', b.url, '">b</a>'), ''),
-                   coalesce(concat('<a href="', c.url, '" rel=next>c</a>'), ''),
+                   coalesce('<a rel=next href="' || a.url || '">a</a>', ''),
+                   coalesce('<a rel="next" href="' || b.url || '">b</a>', ''),
+                   coalesce('<a href="' || c.url || '" rel=next>c</a>', ''),
                    CASE WHEN p.page_id % 7 = 0 THEN concat('<a rel=next href="http://no.such/', p.page_id % 5, '">d</a>')
                         ELSE '' END, p.html) AS html
         FROM {pages} p LEFT JOIN {pages} a ON a.page_id = 2 * p.page_id + 1
@@ -113,6 +113,13 @@ VIEWS = {
     # Title rules: the first two words of each document.
     "v_rules": """
         SELECT page_id AS doc_id, title FROM {v_items}""",
+    # Ten title rules for each document: two of its words.
+    "v_many_rules": """
+        SELECT title FROM (
+            SELECT concat(split_part(text, ' ', k), ' ', split_part(text, ' ', k + 3)) AS title,
+                   split_part(text, ' ', k) AS a, split_part(text, ' ', k + 3) AS b
+            FROM {documents} CROSS JOIN (SELECT CAST(page_id + 1 AS INT) AS k FROM {pages} WHERE page_id < 10) AS n) AS w
+        WHERE lower(a) <> upper(a) AND lower(b) <> upper(b)""",
     # Titles of pages, which all hold a rule, among names of parts.
     "v_titles": """
         SELECT page_id, title, url FROM {v_items}
@@ -178,12 +185,17 @@ class Tables:
 
     def arriving(self, name: str, key: str, parts: int = 3) -> DataFrame:
         """A given table as a stream of ``parts`` files by ranges of ``key``, one in each micro-batch."""
-        table = self[name]
-        path = scratch_path(self.spark, f"arriving-{name}")
+        return self.files_of(self[name], key, parts)
+
+    def files_of(self, table: DataFrame, key: str, parts: int = 3, then: list[DataFrame] = ()) -> DataFrame:
+        """Any rows as a stream of ``parts`` files by ranges of ``key``, then one file for each of ``then``."""
+        path = scratch_path(self.spark, "arriving")
         low, high = table.agg(F.min(key), F.max(key)).first()
         step = (high - low) // parts + 1
-        for part in range(parts):
-            begin = low + part * step
-            rows = table.where((F.col(key) >= begin) & (F.col(key) < begin + step))
+        cuts = [
+            table.where((F.col(key) >= low + part * step) & (F.col(key) < low + (part + 1) * step))
+            for part in range(parts)
+        ]
+        for rows in [*cuts, *then]:
             rows.coalesce(1).write.mode("append").parquet(path)
         return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
