@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ _TERMS = bytes(
 )
 #: Occurrences from which a signature holds a further entry of a term.
 _LEVELS = [1, 2, 3, 4, *(x << i for i in range(1, 40) for x in (3, 4))]
-#: Rows that an entry sets in its document's signature, and rows a document has for each entry.
-_PROBES, _ROWS_PER_ENTRY = 3, 14
+#: Rows that an entry sets in its document's signature, and the least rows a document has for each
+#: entry: a fifth of a signature is set at most, and a term is taken to be there wrongly less than
+#: once in ten thousand.
+_PROBES, _ROWS_PER_ENTRY = 6, 24
+#: Terms whose slices are made at once.
+_TERMS_AT_ONCE = 8192
 _SLAB_BITS = 1 << 25
 _FILTER_BITS = 1 << 22
 
@@ -32,9 +37,12 @@ def terms_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TERMS).split() if text else []
 
 
-def _probe_rows(entries: np.ndarray, rows: int) -> list[np.ndarray]:
+def _probe_rows(entries: np.ndarray, rows: int) -> Iterator[np.ndarray]:
     """The rows of a signature of ``rows`` (a power of two) that each entry sets."""
-    return [(mix(entries, 40 + p) & U64(rows - 1)).astype(np.int64) for p in range(_PROBES)]
+    at, step = mix(entries, 40), mix(entries, 41) | U64(1)
+    for _ in range(_PROBES):
+        yield (at & U64(rows - 1)).astype(np.int64)
+        at = at + step
 
 
 def _slabs(docs: list[tuple]):
@@ -204,27 +212,27 @@ class _Block:
             upper = (1_000_000_000 * top) // (1000 * top + 20 * m)
             gain.append(upper - before)
             before = upper
-        probes = []
-        for i in levels:
-            places = _probe_rows(hashes if i == 0 else mix(hashes, i), rows)
-            probes.append(places)
         total = np.zeros((len(self.items), len(m)), np.int64)
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t in range(len(self.terms)):
-            there, parts = None, None
-            for i, places in zip(levels, probes):
-                slice_ = bits[places[0][t]]
-                for p in places[1:]:
-                    slice_ = slice_ & bits[p[t]]
-                there = slice_ if there is None else there & slice_
-                at = np.flatnonzero(np.unpackbits(there, count=len(m)))
-                if not len(at):
+        for begin in range(0, len(hashes), _TERMS_AT_ONCE):
+            alive = np.arange(begin, min(begin + _TERMS_AT_ONCE, len(hashes)))
+            slices_ = None
+            for i in levels:
+                entries = hashes[alive] if i == 0 else mix(hashes[alive], i)
+                for place in _probe_rows(entries, rows):
+                    slices_ = bits[place] if slices_ is None else slices_ & bits[place]
+                there = slices_.any(axis=1)
+                alive, slices_ = alive[there], slices_[there]
+                if not len(alive):
                     break
-                if parts is None:
-                    first, parts = at, np.zeros(len(m), np.int64)
-                parts[at] += gain[i][at]
-            if parts is not None:
-                found[t] = first, parts[first]
+                for t, slice_ in zip(alive.tolist(), slices_):
+                    at = np.flatnonzero(np.unpackbits(slice_, count=len(m)))
+                    if i == 0:
+                        found[t] = at, gain[0][at]
+                    else:
+                        # Documents of a higher level are among those of the one before.
+                        first, value = found[t]
+                        value[np.searchsorted(first, at)] += gain[i][at]
         for i, own in enumerate(self.owned):
             for t in own.tolist():
                 if t in found:
