@@ -255,6 +255,9 @@ _TEMPLATES: dict[str, str] = {
                'malformed document' AS reason
         FROM {pages}, (VALUES ('rss'), ('atom'), ('rdf')) AS k(source)
         UNION ALL SELECT 'page', page_id, 'not a feed' FROM {pages}""",
+    "feed_documents_fan_in": """
+        SELECT kind || page_id // 20 AS feed, page_id % 20 AS pos, trim(title) AS title, url
+        FROM {v_items}, (VALUES ('r'), ('a'), ('d')) AS k(kind)""",
     "feed_fan_in": "SELECT title, url FROM {v_items} UNION ALL SELECT title, url FROM {v_stream}",
     "decode_bodies_md5": """
         SELECT page_id, length(html) AS n_chars, md5(html) AS md5 FROM {pages}

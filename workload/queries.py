@@ -265,6 +265,18 @@ def feed_fan_in(t: Tables) -> DataFrame:
     return union_feeds([("rss", pages), ("rss", stream)])
 
 
+@query
+def feed_documents_fan_in(t: Tables) -> DataFrame:
+    """Documents of several feeds of all kinds, parsed as one table."""
+    kinds = (("r", _rss_documents), ("a", _atom_documents), ("d", _rdf_documents))
+    feeds = [
+        ("rss", documents(t).select(F.concat(F.lit(kind), F.col("feed_id")).alias("feed"), "document"))
+        for kind, documents in kinds
+    ]
+    items, _ = feed_items(union_feeds(feeds), AS_OF, keys=["feed"])
+    return items.select("feed", "pos", "title", "url")
+
+
 # --- payloads ---------------------------------------------------------------------------
 
 
