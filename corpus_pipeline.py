@@ -16,7 +16,6 @@ if _ROOT not in sys.path:
 
 from pyspark import cloudpickle  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
-from pyspark.sql import Window as W  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import linkloom  # noqa: E402
@@ -65,23 +64,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles at a similarity of 0.8 the smallest id stays.
+    """Of each group linked by 5-word shingles at a similarity of 0.8 the row of smallest id stays.
 
-    Documents without words link with nothing and stay.  Of rows that repeat an id and a
-    text one stays; rows of one id and different texts stay if one of them does.  Rows
-    without an id stay unless a row with one is linked.
+    Rows are told apart by id and text, a null id as the largest; of rows equal in both one
+    stays.  Documents without words link with nothing and stay.
     """
-    groups = jaccard_join(docs, words=5, percent=80)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("__doc")
-    ).distinct()
-    one = W.partitionBy("__doc", "__twin").orderBy("__doc")
-    kept = _key(docs).join(stays, "__doc", "left_semi").withColumn("__n", F.row_number().over(one))
-    return kept.filter((F.col("__n") == 1) | (F.col("__doc") == _NO_ID)).select(*docs.columns)
+    one = _key(docs).dropDuplicates(["__doc", "__twin"])
+    ordered = one.repartitionByRange("__doc", "__twin").sortWithinPartitions("__doc", "__twin")
+    # Row numbers rise with the ids, so the smallest number of a group is its smallest id.
+    numbered = stage(ordered.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
+    groups = jaccard_join(numbered, id_col="__row", words=5, percent=80)
+    stays = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__row"))
+    return numbered.join(stays, "__row", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: sorted within files, and from file to file."""
+    """All documents in the order of the mix: sorted within files, and by the files' names.
+
+    Spark deals files to tasks by their size; whoever needs the order sorts by
+    ``_metadata.file_name, _metadata.row_index``.
+    """
     keyed = _key(docs)
     places = (
         mix_sources(keyed, keep=("__doc", "__twin"))
