@@ -8,6 +8,8 @@ a segment of a line of nearly its length.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,9 +62,9 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
     for j, c in enumerate(b):
         low = j - limit
         match = 0
-        for i in places.get(c, ()):
-            if low <= i < low + width:
-                match |= 1 << (i - low)
+        own = places.get(c, ())
+        for i in own[bisect_left(own, low) : bisect_left(own, low + width)]:
+            match |= 1 << (i - low)
         before, reached = reached, []
         for e in range(limit + 1):
             now = before[e] & match

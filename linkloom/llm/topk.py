@@ -12,6 +12,8 @@ from linkloom.workspace import stage
 
 #: Sums of products stay exact in doubles below this.
 _EXACT = 2.0**53
+#: Sums up to here fit a long, whatever a double's rounding.
+_LONG = 2.0**63 * (1 - 1e-9)
 
 
 def usable(vector: str) -> Column:
@@ -39,6 +41,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _integers(column: pa.Array, width: int) -> np.ndarray:
+    """The same as long integers."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((width, len(sizes)), np.int64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    fits = places < width
+    out[places[fits], rows[fits]] = flat[fits]
+    return out
+
+
 def _remaining(columns: np.ndarray, cuts: list[int]) -> np.ndarray:
     """Euclidean mass from each cut to the end, one row per cut."""
     squares = np.cumsum((columns**2)[::-1], axis=0)[::-1]
@@ -67,7 +81,8 @@ def top_k(
 
     A shorter vector counts as if zeros followed.  Rows with a null id take no part.
     Candidates with the query's id are its own and left out; repeated candidates each
-    hold a place.  An empty table gives an empty result.
+    hold a place.  An empty table gives an empty result.  Sums from 2**53 on are added up
+    as integers; one that does not fit a long ends the query.
     """
     spark = queries.sparkSession
     columns = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")]
@@ -86,13 +101,14 @@ def top_k(
         vectors = rows["vector"].combine_chunks()
         width = int(np.diff(vectors.offsets.to_numpy()).max(initial=0))
         # Single precision would round; doubles hold every integer below 2**53.
-        sent = spark.sparkContext.broadcast((ids, _matrix(vectors, width)))
+        sent = spark.sparkContext.broadcast((ids, _matrix(vectors, width), vectors))
 
         def search(batches, sent=sent, width=width):
-            ids, matrix = sent.value
+            ids, matrix, vectors = sent.value
+            asked = None
             cuts = [*range(0, width, dim_block), width]
             query_mass = _remaining(matrix, cuts)
-            best_score = [np.zeros(0)] * len(ids)
+            best_score = [np.zeros(0, np.int64)] * len(ids)
             best_id = [np.zeros(0, np.int64)] * len(ids)
             largest = np.abs(matrix).max(initial=0)
             for batch in batches:
@@ -100,8 +116,12 @@ def top_k(
                     continue
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 dims = _matrix(batch.column(1), width)
+                # Doubles would round such sums: the survivors of the bounds are added up as integers.
+                whole = None
                 if largest * np.abs(dims).max(initial=0) * max(width, 1) >= _EXACT:
-                    raise ValueError("inner products beyond 2**53 are not exact in doubles")
+                    whole = _integers(batch.column(1), width)
+                    if asked is None:
+                        asked = _integers(vectors, width)
                 mass = _remaining(dims, cuts)
                 for q in range(len(ids)):
                     alive = np.flatnonzero(own != ids[q])
@@ -109,7 +129,7 @@ def top_k(
                     if floor == -np.inf and len(alive) > 4 * k:
                         # A first bound: the full products of a few candidates.
                         few = np.sort(matrix[:, q] @ dims[:, alive[: 64 * k]])
-                        floor = few[-k]
+                        floor = few[-k] - 1e-6 * (1 + abs(few[-k]))
                     sums = np.zeros(len(alive))
                     for b in range(len(cuts) - 1):
                         bound = sums + query_mass[b, q] * mass[b, alive]
@@ -120,9 +140,16 @@ def top_k(
                             break
                         part = slice(cuts[b], cuts[b + 1])
                         sums = sums + matrix[part, q] @ dims[part][:, alive]
-                    stays = sums >= floor
-                    score = np.append(best_score[q], sums[stays])
-                    found = np.append(best_id[q], own[alive[stays]])
+                    stays = sums >= floor - (0 if whole is None else 1e-6 * (1 + np.abs(sums)))
+                    alive, sums = alive[stays], sums[stays]
+                    if whole is None:
+                        exact = np.rint(sums).astype(np.int64)
+                    elif np.abs(sums).max(initial=0) < _LONG:
+                        exact = asked[:, q] @ whole[:, alive]
+                    else:
+                        raise OverflowError("an inner product does not fit a long")
+                    score = np.append(best_score[q], exact)
+                    found = np.append(best_id[q], own[alive])
                     order = np.lexsort((found, -score))[:k]
                     best_score[q], best_id[q] = score[order], found[order]
             counts = [len(s) for s in best_score]
@@ -133,7 +160,7 @@ def top_k(
                         pa.array(slot),
                         pa.array(ids[slot]),
                         pa.array(np.concatenate(best_id)),
-                        pa.array(np.rint(np.concatenate(best_score)).astype(np.int64)),
+                        pa.array(np.concatenate(best_score)),
                     ],
                     ["slot", "query_id", "vec_id", "score"],
                 )

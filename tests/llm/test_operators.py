@@ -291,6 +291,20 @@ def test_line_dedup_odd_rows(odd, none):
         line_dedup(odd, edits=3, least=3)
 
 
+def test_edit_distance_of_very_long_lines():
+    """Lines of few letters, where each letter stands in thousands of places, take time by their length."""
+    import time
+
+    rng = random.Random(9)
+    line = "".join(rng.choice("ab") for _ in range(100_000))
+    near = line[:10] + "c" + line[11:50_000] + line[50_001:] + "d"
+    far = line[:10] + "cc" + line[12:50_000] + line[50_001:] + "d"
+    began = time.time()
+    assert edit_distance_within(line, near, 3) and not edit_distance_within(line, far, 3)
+    assert edit_distance_within("a" * 100_000, "a" * 99_998, 2) and not edit_distance_within(line, line[::-1], 2)
+    assert time.time() - began < 20
+
+
 # 7. suffix dedup
 
 
@@ -371,9 +385,11 @@ def test_secrets_native_and_odd_rows(odd, none):
 # 9. language-model scores
 
 
-@pytest.mark.parametrize("head", [2**20, 20, 0])
-def test_lm_base(docs, rows, head):
-    got = lm_scores(docs, crc_mod("doc_id", 10) == 0, filter_bits=2**22, head_words=head).collect()
+@pytest.mark.parametrize(("per_segment", "per_slab"), [(8192, 768), (3, 7)])
+def test_lm_base(docs, rows, per_segment, per_slab):
+    got = lm_scores(
+        docs, crc_mod("doc_id", 10) == 0, docs_per_segment=per_segment, docs_per_slab=per_slab
+    ).collect()
     want = brute.base_scores(rows)
     assert len(got) == len(want)
     for r in got:
@@ -383,10 +399,65 @@ def test_lm_base(docs, rows, head):
         assert r.score < 0
 
 
+def test_lm_score_from_quantised_counts(docs, rows):
+    """With so many bits that no probe is a false hit, the score is that of the quantised counts."""
+    import math
+    import zlib
+    from collections import Counter
+
+    from linkloom.llm import lm_scoring
+
+    held_out = crc_mod("doc_id", 10) == 0
+    got = {r.doc_id: r.score for r in lm_scores(docs, held_out, docs_per_slab=30, bits_per_entry=4000).collect()}
+    tokens = {i: ["<start>", *[w.decode() for w in lm_scoring.words_of(t)], "<end>"] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    words, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:]))
+    total = sum(words.values()) - words["<start>"]
+    least = lambda n: 2 ** int(math.log2(n)) if n else 0
+    most = lambda n: 2 ** (int(math.log2(n)) + 1) - 1 if n else 0
+    for doc, own in tokens.items():
+        want = 0.0
+        for v, w in zip(own, own[1:]):
+            alone = (least(words[w]) + 0.1) / (1.1 * total + 0.1)
+            want += math.log10((min(least(pairs[v, w]), most(words[v])) + 4 * alone) / (most(words[v]) + 4))
+        assert got[doc] == pytest.approx(want)
+
+
+def test_lm_chances_sum_to_one_at_most():
+    """For any counts of the words that follow a context, quantised as the model does."""
+    import numpy as np
+
+    from linkloom.llm.lm_scoring import least_of, level_of, most_of
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        follow = rng.geometric(0.1, rng.integers(1, 30))
+        words = follow + rng.integers(0, 20, len(follow))
+        total, context = words.sum(), most_of(level_of(follow.sum(keepdims=True)))[0]
+        alone = (least_of(level_of(words)) + 0.1) / (1.1 * total + 0.1)
+        unseen = 0.1 / (1.1 * total + 0.1)
+        chance = (least_of(level_of(follow)) + 4 * alone) / (context + 4)
+        assert chance.sum() + 4 * unseen / (context + 4) <= 1
+
+
+def test_lm_packed_numbers():
+    import numpy as np
+
+    from linkloom.llm.lm_scoring import pack_counts, pack_keys, unpack_counts, unpack_keys
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        for bits in (48, 64):
+            keys = np.sort(rng.integers(0, 2**63, n).astype(np.uint64) >> np.uint64(64 - bits))
+            assert (unpack_keys(pack_keys(keys, bits), bits) == keys).all()
+        counts = np.where(rng.random(n) < 0.1, rng.integers(250, 2**40, n), rng.integers(0, 5, n))
+        assert (unpack_counts(pack_counts(counts), n) == counts).all()
+
+
 def test_lm_filter():
     import numpy as np
 
-    from linkloom.llm.lm_scoring import LogFrequencyFilter, level_of, value_of
+    from linkloom.llm.lm_scoring import LogFrequencyFilter, least_of, level_of, most_of
 
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
@@ -401,23 +472,26 @@ def test_lm_filter():
     found = model.levels(keys)
     assert (found >= level_of(counts)).all()  # never below
     assert (found == level_of(counts)).mean() > 0.7
-    assert value_of(np.array([0, 1, 2])).tolist() == [0, 1, 2.5]
+    assert least_of(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2, 4]
+    assert most_of(np.array([0, 1, 2, 3])).tolist() == [0, 1, 3, 7]
 
 
 def test_lm_odd_rows(odd, none):
-    got = lm_scores(odd, F.lit(False), filter_bits=2**20).collect()
+    got = lm_scores(odd, F.lit(False)).collect()
     assert len(got) == 8 and sorted(r.n_tokens for r in got) == [1, 1, 1, 4, 20, 20, 20, 22]
-    untrained = lm_scores(odd, F.lit(True), filter_bits=2**20).collect()
+    untrained = lm_scores(odd, F.lit(True)).collect()
     assert {r.train_tokens for r in untrained} == {0} and {r.n_known for r in untrained} == {0}
-    assert lm_scores(none, F.lit(False), filter_bits=2**20).count() == 0
+    assert all(r.score < 0 for r in got) and all(r.score <= 0 for r in untrained)
+    assert lm_scores(none, F.lit(False)).count() == 0
 
 
 def test_lm_filter_grows_with_the_corpus(spark):
-    from linkloom.llm.lm_scoring import LogFrequencyFilter, count_ngrams, filter_report
+    from linkloom.llm.lm_scoring import LogFrequencyFilter, filter_report, scored_slabs
 
     def report(n):
-        texts = spark.range(n).select(F.concat_ws(" ", *[F.sha2(F.concat_ws("-", "id", F.lit(i)), 224) for i in range(20)]).alias("text"))
-        return filter_report(count_ngrams(texts, 8))
+        words = F.concat_ws(" ", *[F.sha2(F.concat_ws("-", "id", F.lit(i)), 224) for i in range(20)])
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), words.alias("text"))
+        return filter_report(scored_slabs(docs, F.lit(False))[0])
 
     small, large = report(50), report(800)
     assert large["bits"] > 14 * small["bits"] and large["entries"] > 14 * small["entries"]
@@ -426,12 +500,6 @@ def test_lm_filter_grows_with_the_corpus(spark):
         assert 0.2 < r["fill"] < 0.3 and r["false_hits"] < 0.03
 
 
-def test_lm_filter_as_a_table(docs, odd):
-    for df, held, head in ((docs, crc_mod("doc_id", 10) == 0, 20), (odd, F.lit(True), 2**20)):
-        sent = sorted(map(str, lm_scores(df, held, head_words=head).collect()))
-        assert sorted(map(str, lm_scores(df, held, head_words=head, sent_bits=-1).collect())) == sent
-
-
 # 10. top-k
 
 
@@ -475,6 +543,28 @@ def test_top_k_few_and_none(spark):
     assert sorted(r["rank"] for r in top_k(few, twice, 5).collect()) == sorted([1, 2, 3, 4] * 3)
 
 
+@pytest.mark.parametrize("largest", [2**20, 2**28, 2**30])
+def test_top_k_of_large_values(spark, largest):
+    """Products beyond what doubles hold exactly, among them some that differ in the last place only."""
+    rng = random.Random(largest)
+    exact = {i: [rng.randint(-largest, largest) for _ in range(6)] for i in range(120)}
+    for i in range(100, 120):
+        exact[i] = [*exact[3][:5], exact[3][5] + i - 110]
+    df = spark.createDataFrame(list(exact.items()), "vec_id long, vector array<long>").repartition(3)
+    for block in (16_384, 2):
+        got = top_k(df.filter("vec_id % 30 = 3"), df, 5, query_block=block, dim_block=2).collect()
+        for q in (3, 33, 63, 93):
+            scores = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:5]
+            mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            assert mine == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
+def test_top_k_beyond_a_long(spark):
+    df = spark.createDataFrame([(i, [2**40 + i, 2**40]) for i in range(3)], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_k(df, df, 1).collect()
+
+
 def test_digest_columns_are_of_the_whole_text(docs, rows):
     got = {r.doc_id: r.text_sha256 for r in exact_dedup(docs).collect()}
     text = dict(rows)[205]
