@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import logging
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,20 +10,12 @@ from pyspark.sql import functions as F
 
 from linkloom.workspace import stage
 
-from .common import U64, WordHashes, by_block, joined, lean, lean_group, mix, packed, runs, slices, text_of, words_of
+from .common import U64, WordHashes, by_block, lean, lean_group, mix, slices, text_of, words_of
 
-_LOG = logging.getLogger(__name__)
 _END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line feed
 _START = xxhash.xxh3_64_intdigest(b"\n\n")
-_COUNTED = pa.schema(
-    [
-        ("segment", pa.int32()),
-        ("words", pa.binary()),
-        ("word_counts", pa.binary()),
-        ("pairs", pa.binary()),
-        ("pair_counts", pa.binary()),
-    ]
-)
+#: Bits of a pair's hash that are kept: with those of its segment enough for any corpus.
+_PAIR_BITS = 48
 
 
 def _tokens(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +41,14 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts.astype(np.float64))).astype(np.int64) + 1
 
 
-def value_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; level 0 is no count."""
-    return np.where(levels > 0, (1.5 * 2.0 ** (levels - 1) - 0.5), 0.0)
+def least_of(levels: np.ndarray) -> np.ndarray:
+    """The smallest count of a level; level 0 is no count."""
+    return np.where(levels > 0, 2.0 ** (levels - 1), 0.0)
+
+
+def most_of(levels: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return 2.0**levels - 1
 
 
 class LogFrequencyFilter:
@@ -81,9 +76,9 @@ class LogFrequencyFilter:
         return mix(keys, 100 + level * cls.PROBES + probe) % np.asarray(width, U64)
 
     @classmethod
-    def width_for(cls, entries: int) -> int:
+    def width_for(cls, entries: int, each: int = BITS) -> int:
         """Bits of a segment with so many pairs of n-gram and level, in whole bytes."""
-        return max(64, -(-entries * cls.BITS // 8) * 8)
+        return max(64, -(-entries * each // 8) * 8)
 
     @classmethod
     def build(cls, keys: np.ndarray, levels: np.ndarray, width: int) -> np.ndarray:
@@ -113,250 +108,258 @@ class LogFrequencyFilter:
         return found
 
 
-def _count(segments: int):
-    """Training texts to counts of words and pairs of words, by segment of their hashes."""
+# What moves between tasks, packed: sorted hashes and small numbers.
 
-    def summed(values: np.ndarray) -> dict[int, list[np.ndarray]]:
-        keys, counts = np.unique(values, return_counts=True)
-        return dict(
-            by_block(
-                LogFrequencyFilter.segment(keys, segments).astype(np.int32), [keys, counts.astype(np.uint32)]
-            )
-        )
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for begin, end in slices(batch.column(0), 5_000_000):
-                tokens, sizes = _tokens(batch.column(0).slice(begin, end - begin).to_pylist(), hashes)
-                _, both = _pairs(tokens, sizes)
-                # The start token is counted once for each text: it is the first context.
-                words = summed(np.concatenate([tokens, np.full(len(sizes), U64(_START))]))
-                pairs = summed(both)
-                none = [np.zeros(0, U64), np.zeros(0, np.uint32)]
-                yield from packed(
-                    _COUNTED,
-                    [(s, *words.get(s, none), *pairs.get(s, none)) for s in sorted({*words, *pairs})],
-                    64,
-                )
 
-    return lean(run)
+def pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys of ``bits``: steps of the upper 16 bits, then the lower ones."""
+    top = (keys >> U64(bits - 16)).astype(np.uint16)
+    low = keys.astype(np.uint32)
+    parts = [np.diff(top, prepend=np.uint16(0)), low]
+    if bits == 64:
+        parts.append((keys >> U64(32)).astype(np.uint16))
+    return b"".join(p.tobytes() for p in parts)
 
 
-def _merge(width: int | None):
-    """All counts of a segment to exact word counts and the segment's bits, ``width`` or as its n-grams need."""
+def unpack_keys(data: bytes, bits: int) -> np.ndarray:
+    n = len(data) // (bits // 8)
+    top = np.cumsum(np.frombuffer(data, np.uint16, n), dtype=np.uint16).astype(U64)
+    keys = top << U64(bits - 16) | np.frombuffer(data, np.uint32, n, 2 * n).astype(U64)
+    if bits == 64:
+        keys |= np.frombuffer(data, np.uint16, n, 6 * n).astype(U64) << U64(32)
+    return keys
 
-    def total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.int64)
-        starts, _ = runs(keys)
-        return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
-    def run(table: pa.Table) -> pa.Table:
-        words, counts = total(joined(table["words"], U64), joined(table["word_counts"], np.uint32))
-        pairs, pair_counts = total(joined(table["pairs"], U64), joined(table["pair_counts"], np.uint32))
-        levels = level_of(np.concatenate([counts, pair_counts]))
-        entries = int(levels.sum())
-        own = LogFrequencyFilter.width_for(entries) if width is None else width
-        bits = LogFrequencyFilter.build(np.concatenate([words, pairs]), levels, own)
-        real = words != U64(_START)
-        return pa.table(
-            {
-                "segment": pa.array([table["segment"][0].as_py()], pa.int32()),
-                "words": pa.array([words[real].tobytes()], pa.binary()),
-                "counts": pa.array([counts[real].tobytes()], pa.binary()),
-                "tokens": pa.array([int(counts[real].sum())], pa.int64()),
-                "distinct": pa.array([int(real.sum())], pa.int64()),
-                "entries": pa.array([entries], pa.int64()),
-                "n_bits": pa.array([len(bits) * 8], pa.int64()),
-                "n_set": pa.array([int(np.unpackbits(bits).sum())], pa.int64()),
-                "bits": pa.array([bits.tobytes()], pa.binary()),
-            }
-        )
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each number; those from 255 on follow whole."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return small.tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
 
-    return lean_group(run)
 
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[n:], np.int64)
+    return counts
 
-_MERGED = "segment int, words binary, counts binary, tokens long, distinct long, entries long, n_bits long, n_set long, bits binary"
 
+class _Slab:
+    """The n-grams of a slab of documents: each distinct one with its place in a segment."""
 
-def count_ngrams(texts: DataFrame, segments: int, filter_bits: int | None = None) -> DataFrame:
-    """A row per segment with n-grams of ``text``: exact word counts and the bits of the filter.
+    def __init__(self, texts: list[str], segments: int):
+        tokens, self.sizes = _tokens(texts, WordHashes())
+        _, both = _pairs(tokens, self.sizes)
+        # The start token is the first context; it is counted once for each text.
+        words = np.concatenate([tokens, np.full(len(self.sizes), U64(_START))])
+        self.words, self.word_of = np.unique(words, return_inverse=True)
+        self.pairs, self.pair_of = np.unique(both >> U64(64 - _PAIR_BITS), return_inverse=True)
+        self.word_places = self._places(self.words, segments)
+        self.pair_places = self._places(mix(self.pairs, 5), segments)
 
-    Bits follow the n-grams, :attr:`LogFrequencyFilter.BITS` for each and level, or are
-    ``filter_bits`` in all.
-    """
-    width = None if filter_bits is None else filter_bits // segments
-    return stage(
-        texts.mapInArrow(
-            _count(segments), "segment int, words binary, word_counts binary, pairs binary, pair_counts binary"
-        )
-        .groupBy("segment")
-        .applyInArrow(_merge(width), _MERGED),
-        "ngram-counts",
-    )
+    @staticmethod
+    def _places(keys: np.ndarray, segments: int) -> dict[int, np.ndarray]:
+        own = LogFrequencyFilter.segment(keys, segments).astype(np.int64)
+        return {s: at for s, (at,) in by_block(own, [np.arange(len(keys))])}
 
+    def segments(self) -> list[int]:
+        return sorted({*self.word_places, *self.pair_places})
 
-def filter_report(counted: DataFrame) -> dict[str, float]:
-    """``entries`` (n-gram and level), ``bits``, ``fill`` and ``false_hits``, the share for one level."""
-    rate = F.pow(F.col("n_set") / F.col("n_bits"), LogFrequencyFilter.PROBES)
-    row = counted.agg(
-        F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
-        F.coalesce(F.sum("n_bits"), F.lit(0)).alias("bits"),
-        F.coalesce(F.sum("n_set") / F.sum("n_bits"), F.lit(0.0)).alias("fill"),
-        F.coalesce(F.avg(rate), F.lit(0.0)).alias("false_hits"),
-    ).first()
-    return row.asDict()
 
-
-def _word_rows(batches):
-    for batch in batches:
-        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(counts, np.int64))],
-                ["word", "count"],
-            )
+_NOWHERE = np.zeros(0, np.int64)
+_ASKED = "slab long, segment int, words binary, word_counts binary, pairs binary, pair_counts binary"
+_REPLY = (
+    "slab long, segment int, counts binary, word_levels binary, pair_levels binary, "
+    "distinct long, entries long, n_bits long, n_set long"
+)
+_SCORED = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+    "distinct long, entries long, n_bits long, n_set long"
+)
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>, rare_n array<int>"
+def _names(schema: str) -> list[str]:
+    return [f.split(" ")[0] for f in schema.split(", ")]
 
 
-def _scorer(head: np.ndarray, head_counts: np.ndarray, total: int, distinct: int, strength: float):
-    """A function from ids, flags and texts and a model, which has ``levels``, to rows of ``_SCORED``."""
-    scale = total + 0.1 * (distinct + 1)
-    hashes = WordHashes()
+def _gather(segments: int):
+    """A slab's distinct n-grams by segment, with their counts in its training documents."""
 
-    def run(ids: pa.Array, held_out: pa.Array, texts: list[str], model) -> pa.RecordBatch:
-        tokens, sizes = _tokens(texts, hashes)
-        starts = np.cumsum(sizes) - sizes
-        words, of = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
-        known = head[at] == words if len(head) else np.zeros(len(words), bool)
-        count = np.where(known, head_counts[at] if len(head) else 0, 0)
-        base = np.where(known, np.log10(count + 0.1), 0.0)
-        # The model: the pair's count, smoothed by the word's probability.
-        before, both = _pairs(tokens, sizes)
-        single = value_of(model.levels(words))
-        pairs, pair_of = np.unique(both, return_inverse=True)
-        pair = value_of(model.levels(pairs))[pair_of]
-        inner = np.ones(len(tokens), bool)
-        inner[starts] = False
-        context = np.empty(len(tokens))
-        context[1:] = single[of][:-1]
-        context[~inner] = value_of(model.levels(np.array([_START], U64)))[0]
-        alone = (single[of] + 0.1) / scale
-        chance = (np.minimum(pair, context) + strength * alone) / (context + strength)
-        # Words beyond the head, each once for each text.
-        rare = np.flatnonzero(~known[of])
-        owner = np.repeat(np.arange(len(sizes)), sizes)[rare]
-        order = np.lexsort((of[rare], owner))
-        owner, word = owner[order], of[rare][order]
-        first, times = runs(owner * (len(words) + 1) + word)
-        offsets = np.searchsorted(owner[first], np.arange(len(sizes) + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                held_out,
-                pa.array(sizes),
-                pa.array(np.add.reduceat(known[of].astype(np.int64), starts)),
-                pa.array(np.add.reduceat(base[of], starts)),
-                pa.array(np.add.reduceat(np.log10(chance), starts)),
-                pa.ListArray.from_arrays(offsets, pa.array(words[word[first]].view(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-            ],
-            ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_n"],
-        )
-
-    return run
-
-
-def _score(sent, total: int, distinct: int, segments: int, strength: float):
-    """Scores by a filter that is sent whole."""
-
-    def run(batches):
-        bits, starts, head, head_counts = sent.value
-        model = LogFrequencyFilter(bits, segments, starts)
-        score = _scorer(head, head_counts, total, distinct, strength)
-        for batch in batches:
-            for begin, end in slices(batch.column(2), 2_000_000):
-                part = batch.slice(begin, end - begin)
-                yield score(part.column(0), part.column(1), part.column(2).to_pylist(), model)
-
-    return lean(run)
-
-
-def _slabs(batches):
-    """Documents in slabs of about 2 MB of text, a row each."""
-    for batch in batches:
-        for begin, end in slices(batch.column(2), 2_000_000):
-            part = batch.slice(begin, end - begin)
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), pa.concat_arrays([c])) for c in part.columns],
-                ["ids", "held", "texts"],
+    def run(table: pa.Table) -> pa.Table:
+        slab = _Slab(table["text"].to_pylist(), segments)
+        train = ~table["held_out"].to_numpy()
+        of_token = np.repeat(train, slab.sizes)
+        weight = np.concatenate([of_token, train])
+        words = np.bincount(slab.word_of, weight, len(slab.words)).astype(np.int64)
+        pairs = np.bincount(slab.pair_of, of_token, len(slab.pairs)).astype(np.int64)
+        rows = []
+        for s in slab.segments():
+            w, p = slab.word_places.get(s, _NOWHERE), slab.pair_places.get(s, _NOWHERE)
+            rows.append(
+                (
+                    s,
+                    pack_keys(slab.words[w], 64),
+                    pack_counts(words[w]),
+                    pack_keys(slab.pairs[p], _PAIR_BITS),
+                    pack_counts(pairs[p]),
+                )
             )
+        number = table["slab"][0].as_py()
+        columns = [pa.array([number] * len(rows), pa.int64())] + [
+            pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])
+        ]
+        return pa.Table.from_arrays(columns, _names(_ASKED))
 
-
-def _asked(texts: list[str], hashes: WordHashes, segments: int):
-    """The distinct n-grams of a slab by segment, in an order that depends on the texts alone."""
-    tokens, sizes = _tokens(texts, hashes)
-    keys = np.unique(np.concatenate([tokens, _pairs(tokens, sizes)[1], [U64(_START)]]))
-    return by_block(LogFrequencyFilter.segment(keys, segments).astype(np.int32), [keys])
-
-
-def _ask(segments: int):
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for slab, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(slab, s, keys) for s, (keys,) in _asked(texts, hashes, segments)]
-                yield from packed(_ASKED, rows, 64)
-
-    return lean(run)
-
-
-_ASKED = pa.schema([("slab", pa.int64()), ("segment", pa.int32()), ("keys", pa.binary())])
+    return lean_group(run)
 
 
-def _reply(segments: int):
-    """All that is asked of one segment, by its bits alone."""
+def _answer(bits_per_entry: int):
+    """One segment: counts to the filter's bits, then probes of the bits for every slab that asks.
 
-    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        found = []
-        if counted.num_rows and asked.num_rows:
-            segment, bits = counted["segment"][0].as_py(), joined(counted["bits"], np.uint8)
-            starts = np.where(np.arange(segments + 1) > segment, len(bits) * 8, 0)
-            model = LogFrequencyFilter(bits, segments, starts)
-        for keys in asked["keys"]:
-            keys = np.frombuffer(keys.as_py(), U64)
-            levels = model.levels(keys) if counted.num_rows else np.zeros(len(keys))
-            found.append(levels.astype(np.uint8).tobytes())
-        return pa.table({"slab": asked["slab"], "segment": asked["segment"], "levels": pa.array(found, pa.binary())})
+    Words are counted exactly as well.  The last row tells the segment's size.
+    """
 
-    return run
+    def run(table: pa.Table) -> pa.Table:
+        segment = table["segment"][0].as_py()
+
+        def totals(keys: str, counts: str, bits: int):
+            packed = [unpack_keys(k.as_py(), bits) for k in table[keys]]
+            sizes = [len(k) for k in packed]
+            own = np.concatenate([unpack_counts(c.as_py(), n) for c, n in zip(table[counts], sizes)])
+            distinct, of = np.unique(np.concatenate(packed), return_inverse=True)
+            total = np.bincount(of, own, len(distinct)).astype(np.int64)
+            return distinct, total, np.split(of, np.cumsum(sizes)[:-1])
+
+        words, word_total, word_of = totals("words", "word_counts", 64)
+        pairs, pair_total, pair_of = totals("pairs", "pair_counts", _PAIR_BITS)
+        pairs = mix(pairs, 5)
+        known, count = np.concatenate([words, pairs]), np.concatenate([word_total, pair_total])
+        known, count = known[count > 0], count[count > 0]
+        levels = level_of(count)
+        entries = int(levels.sum())
+        bits = LogFrequencyFilter.build(known, levels, LogFrequencyFilter.width_for(entries, bits_per_entry))
+        model = LogFrequencyFilter(bits, 1)
+        word_levels = model.levels(words).astype(np.uint8)
+        pair_levels = model.levels(pairs).astype(np.uint8)
+        rows = [
+            (slab, segment, pack_counts(word_total[w]), word_levels[w].tobytes(), pair_levels[p].tobytes(), *[None] * 4)
+            for slab, w, p in zip(table["slab"].to_pylist(), word_of, pair_of)
+        ]
+        distinct = int(((word_total > 0) & (words != U64(_START))).sum())
+        rows.append((-1 - segment, segment, *[None] * 3, distinct, entries, len(bits) * 8, int(np.unpackbits(bits).sum())))
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 4]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _names(_REPLY))
 
+    return lean_group(run)
 
-class _Replies:
-    def __init__(self, keys: np.ndarray, found: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.found = keys[order], found[order].astype(np.int64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.keys, keys)]
+def _score(total: int, segments: int, strength: float):
+    """Scores of a slab by what the segments replied; sizes of segments are passed on."""
+    scale = 1.1 * total + 0.1
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            sizes = [replies[name] for name in _names(_SCORED)[6:]]
+            empty = [pa.nulls(replies.num_rows, t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2)]
+            return pa.Table.from_arrays([*empty, *sizes], _names(_SCORED))
+        slab = _Slab(table["text"].to_pylist(), segments)
+        counts = np.zeros(len(slab.words), np.int64)
+        word_levels = np.zeros(len(slab.words), np.int64)
+        pair_levels = np.zeros(len(slab.pairs), np.int64)
+        if replies["segment"].to_pylist() != (asked := slab.segments()) and sorted(replies["segment"].to_pylist()) != asked:
+            raise RuntimeError("a slab was not made of the same documents again")
+        for s, *reply in zip(*(replies[name].to_pylist() for name in _names(_REPLY)[1:5])):
+            w, p = slab.word_places.get(s, _NOWHERE), slab.pair_places.get(s, _NOWHERE)
+            counts[w] = unpack_counts(reply[0], len(w))
+            word_levels[w] = np.frombuffer(reply[1], np.uint8)
+            pair_levels[p] = np.frombuffer(reply[2], np.uint8)
+        sizes = slab.sizes
+        starts = np.cumsum(sizes) - sizes
+        word_of = slab.word_of[: int(sizes.sum())]
+        context = np.empty(len(word_of))
+        context[1:] = most_of(word_levels[word_of[:-1]])
+        context[starts] = most_of(word_levels[slab.word_of[-1]])
+        alone = (least_of(word_levels)[word_of] + 0.1) / scale
+        pair = np.minimum(least_of(pair_levels)[slab.pair_of], context)
+        chance = (pair + strength * alone) / (context + strength)
+        count = counts[word_of]
+        columns = [
+            table["doc_id"],
+            table["held_out"],
+            pa.array(sizes),
+            pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+            pa.array(np.add.reduceat(np.log10(count + 0.1), starts)),
+            pa.array(np.add.reduceat(np.log10(chance), starts)),
+            *[pa.nulls(len(sizes), pa.int64())] * 4,
+        ]
+        return pa.Table.from_arrays(columns, _names(_SCORED))
+
+    def group(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return lean_group(lambda own: run(own, replies))(table)
+
+    return group
+
+
+def _token_counts(batches):
+    """``rows, tokens``: documents, and tokens of training documents with their end tokens."""
+    for batch in batches:
+        rows = tokens = 0
+        for begin, end in slices(batch.column(1), 4_000_000):
+            part = batch.slice(begin, end - begin)
+            for held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                rows += 1
+                tokens += 0 if held else len(words_of(text)) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([tokens])], ["rows", "tokens"])
 
 
-def _score_replies(sent, total: int, distinct: int, segments: int, strength: float):
-    """Scores of a slab by what the segments replied."""
+def scored_slabs(
+    docs: DataFrame,
+    held_out: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    docs_per_segment: int = 8192,
+    docs_per_slab: int = 768,
+    bits_per_entry: int = LogFrequencyFilter.BITS,
+    strength: float = 4.0,
+) -> tuple[DataFrame, int]:
+    """The rows of :func:`lm_scores` before the last constant, rows of segment sizes, and the training tokens."""
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(held_out, F.lit(True)).alias("held_out"),
+        text_of(text_col).alias("text"),
+    )
+    counted = source.select("held_out", "text").mapInArrow(lean(_token_counts), "rows long, tokens long")
+    rows, total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "tokens")]).first()
+    segments = 16
+    while segments * docs_per_segment < rows:
+        segments *= 2
+    slabs = max(1, -(-rows // docs_per_slab))
+    # Dealt by row number, so that no id or text can be too frequent for a slab.
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slabs)).alias("slab")
+    dealt = source.select(number, "doc_id", "held_out", "text")
+    replies = (
+        dealt.groupBy("slab")
+        .applyInArrow(_gather(segments), _ASKED)
+        .groupBy("segment")
+        .applyInArrow(_answer(bits_per_entry), _REPLY)
+    )
+    found = (
+        dealt.groupBy("slab").cogroup(replies.groupBy("slab")).applyInArrow(_score(total, segments, strength), _SCORED)
+    )
+    return stage(found, "lm-scores"), total
 
-    def run(slab: pa.Table, replies: pa.Table) -> pa.Table:
-        head, head_counts = sent.value
-        texts = slab["texts"][0].as_py()
-        levels = dict(zip(replies["segment"].to_pylist(), replies["levels"].to_pylist()))
-        asked = [(keys, np.frombuffer(levels[s], np.uint8)) for s, (keys,) in _asked(texts, WordHashes(), segments)]
-        model = _Replies(*map(np.concatenate, zip(*asked)))
-        score = _scorer(head, head_counts, total, distinct, strength)
-        return pa.Table.from_batches([score(slab["ids"][0].values, slab["held"][0].values, texts, model)])
 
-    return run
+def filter_report(scored: DataFrame) -> dict[str, float]:
+    """Of :func:`scored_slabs`: ``distinct`` words, ``entries`` (n-gram and level), ``bits``, ``fill``, ``false_hits`` of a level."""
+    rate = F.pow(F.col("n_set") / F.col("n_bits"), LogFrequencyFilter.PROBES)
+    sizes = scored.filter("n_bits IS NOT NULL")
+    row = sizes.agg(
+        F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"),
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
+        F.coalesce(F.sum("n_bits"), F.lit(0)).alias("bits"),
+        F.coalesce(F.sum("n_set") / F.sum("n_bits"), F.lit(0.0)).alias("fill"),
+        F.coalesce(F.avg(rate), F.lit(0.0)).alias("false_hits"),
+    ).first()
+    return row.asDict()
 
 
 def lm_scores(
@@ -365,112 +368,45 @@ def lm_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    filter_bits: int | None = None,
-    sent_bits: int = 2**29,
-    head_words: int = 2**20,
-    docs_per_segment: int = 4096,
+    docs_per_segment: int = 8192,
+    docs_per_slab: int = 768,
+    bits_per_entry: int = LogFrequencyFilter.BITS,
     strength: float = 4.0,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row per row.
 
-    The model learns from all rows where ``held_out`` is false.  Counts of words and of
-    word pairs are summed by hash segment, quantised to powers of two and put into a
-    filter that grows with them: ten bits for each n-gram and level, which keeps a
-    quarter of the bits set and a false hit of a level at one in 57, however large the
-    corpus (``filter_bits`` fixes the size instead).  A filter of up to ``sent_bits``
-    bits is sent to the tasks; a larger one stays a table, and what slabs of documents
-    ask of a segment meets its bits by a join, one segment at a time.  A wrong positive
-    makes a pair look seen, never a seen one unseen.  Fill and false hits are logged.
-    ``score`` is the sum of
-    ``log10((c(v, w) + strength * p(w)) / (c(v) + strength))`` over the tokens, with all
-    counts from the filter.
-
-    ``base_score`` and ``n_known`` use exact counts: those of the at most ``head_words``
-    most frequent words are sent to the tasks, and the rest meets its counts by a join.
+    The model learns from all rows where ``held_out`` is false.  Documents are dealt into slabs.  A
+    slab sends its distinct words and word pairs with their counts to the segments of their
+    hashes, which grow in number with the documents.  A segment quantises the counts to powers of
+    two and puts them into its part of a Bloom filter, with ten bits (``bits_per_entry``) for each n-gram
+    and level: a quarter of the bits are set, and a level is a false hit in one of 57, however large the
+    corpus.  Repeated probes of these bits then give the levels of all that was asked,
+    which go back to the slabs.  The plan is the same at every size.
+
+    ``score`` is the sum of ``log10((c(v, w) + strength * p(w)) / (c(v) + strength))`` over the
+    tokens, with levels from the filter: the smallest count of a level for ``c(v, w)`` and for
+    ``p(w) = (c(w) + 0.1) / (1.1 N + 0.1)``, the largest one for the context ``c(v)``.  So the
+    chances of all next words sum to one at most, but for false hits, which make a pair look
+    seen and never a seen one unseen.
+
+    ``base_score`` and ``n_known`` use exact counts of words, which the segments send too.
 
     Null and empty texts are the end token alone.  Without training rows ``train_tokens``
     is 0 and nothing is known.  Ids are passed on, null or repeated, and ``held_out``
     that is null counts as true; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(held_out, F.lit(True)).alias("held_out"),
-        text_of(text_col).alias("text"),
-    )
-    segments = 64
-    while segments * docs_per_segment < docs.count() and segments < 65_536:
-        segments *= 2
-    counted = count_ngrams(source.filter("NOT held_out").select("text"), segments, filter_bits)
-    report = filter_report(counted)
-    _LOG.info("n-gram filter: %s", report)
-    total, distinct = counted.agg(
-        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))
-    ).first()
-    words = counted.select("words", "counts").mapInArrow(_word_rows, "word long, count long")
-    power, held, least = F.floor(F.log2("count")), 0, 2**62
-    for row in words.groupBy(power.alias("p")).count().orderBy(F.desc("p")).collect():
-        held += row["count"]
-        if held > head_words:
-            break
-        least = 2 ** int(row["p"])
-    head = words.filter(F.col("count") >= least).toArrow()
-    keys = head["word"].to_numpy().view(U64)
-    order = np.argsort(keys)
-    head_sent = (keys[order], head["count"].to_numpy()[order])
-    if report["bits"] <= sent_bits:
-        # Segments without n-grams have a few bits that are never set.
-        widths = np.full(segments, 64, np.int64)
-        for r in counted.select("segment", "n_bits").collect():
-            widths[r["segment"]] = r["n_bits"]
-        starts = np.append(0, np.cumsum(widths))
-        bits = np.zeros(int(starts[-1]) // 8, np.uint8)
-        for segment, part in counted.select("segment", "bits").toLocalIterator(prefetchPartitions=True):
-            bits[starts[segment] // 8 : starts[segment + 1] // 8] = np.frombuffer(part, np.uint8)
-        sent = spark.sparkContext.broadcast((bits, starts, *head_sent))
-        found = source.mapInArrow(_score(sent, total, distinct, segments, strength), _SCORED)
-    else:
-        sent = spark.sparkContext.broadcast(head_sent)
-        slabs = stage(
-            source.mapInArrow(lean(_slabs), "ids array<bigint>, held array<boolean>, texts array<string>").withColumn(
-                "slab", F.monotonically_increasing_id()
-            ),
-            "lm-slabs",
-        )
-        asked = slabs.select("slab", "texts").mapInArrow(_ask(segments), "slab long, segment int, keys binary")
-        replies = (
-            asked.groupBy("segment")
-            .cogroup(counted.select("segment", "bits").groupBy("segment"))
-            .applyInArrow(_reply(segments), "slab long, segment int, levels binary")
-        )
-        found = (
-            slabs.groupBy("slab")
-            .cogroup(replies.groupBy("slab"))
-            .applyInArrow(_score_replies(sent, total, distinct, segments, strength), _SCORED)
-        )
-    scored = stage(found.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
-        "row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n")
-    )
-    exact = (
-        rare.join(words.filter(F.col("count") < least), "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("n") * F.log10(F.coalesce("count", F.lit(0)) + 0.1)).alias("more"),
-            F.sum(F.when(F.col("count").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
-        )
-    )
-    zero = F.lit(0)
-    return scored.drop("rare", "rare_n").join(exact, "row", "left").select(
+    scored, total = scored_slabs(
+        docs, held_out, id_col, text_col,
+        docs_per_segment=docs_per_segment, docs_per_slab=docs_per_slab, bits_per_entry=bits_per_entry, strength=strength,
+    )
+    distinct = filter_report(scored)["distinct"]
+    scale = float(np.log10(total + 0.1 * (distinct + 1)))
+    return scored.filter("n_tokens IS NOT NULL").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (
-            F.col("base")
-            + F.coalesce("more", F.lit(0.0))
-            - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (distinct + 1))))
-        ).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
         "score",
     )

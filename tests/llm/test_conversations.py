@@ -113,7 +113,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [65_536, 7, 1])
+@pytest.mark.parametrize("chunk_rows", [65_536, 3])
 def test_reports(spark, rows, chunk_rows):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS part", "1 AS seq", "2 AS row").repartition(6)
     broken = damage(df)

@@ -163,12 +163,14 @@ def test_toxicity_index_is_exact(toxic_model):
 
     index = toxic_model[2].index
     rng = np.random.default_rng(0)
-    dense = np.zeros((len(index.ids), len(index.idf)))
-    for i, (f, w) in enumerate(index.unit_vectors):
+    size = toxic_model[2].vectors.telling
+    dense = np.zeros((len(index.ids), size))
+    for i, (f, w) in enumerate(index.vectors):
         dense[i, f] = w
+    assert index.blocks > 3
     for _ in range(50):
-        f = np.sort(rng.choice(len(index.idf), 3, replace=False))
-        f, w = index.unit(f, np.ones(3))
+        f = np.sort(rng.choice(size, 3, replace=False))
+        w = rng.random(3)
         found, score = index.nearest(f, w, 5)
         cosine = np.round(dense[:, f] @ w, 9)
         order = [i for i in np.lexsort((np.arange(len(cosine)), -cosine)) if cosine[i] > 0][:5]
@@ -176,6 +178,82 @@ def test_toxicity_index_is_exact(toxic_model):
         assert np.allclose(score, cosine[order])
 
 
+def test_toxicity_score_by_brute_force(toxic_model):
+    """Vectors, cosines and votes of some texts from the definition."""
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    docs, labels, model = toxic_model
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    df = Counter(f for t in texts.values() for f in {g for w in set(t.split()) for g in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n))})
+    telling = {f for f, i in model.vectors.number.items() if i < model.vectors.telling}
+    assert {"vilesta", "vilestb", "vilestc", "nastiest", "ugliest", "vile*", "nast*"} <= telling
+    idf = lambda f: math.log1p(len(texts) / df[f]) if df[f] else math.log1p(len(texts))
+
+    def vector(text):
+        words = Counter(re.findall(r"\w+", text.lower()))
+        stems = Counter()
+        for w, n in words.items():
+            for size in (4, 5, 6):
+                if len(w) > size and w[:size] + "*" in telling:
+                    stems[w[:size] + "*"] += n
+        weight = {f: (1 + math.log(n)) * idf(f) for f, n in (words + stems).items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        return {f: w / norm for f, w in weight.items() if f in telling}
+
+    ids = model.index.ids.tolist()
+    examples = [vector(texts[i]) for i in ids]
+    for text in (texts[0], texts[4], texts[399], "vilesta new words", "nothing here", texts[8] + " more " * 50):
+        own = vector(text)
+        cosine = np.round([sum(w * e.get(f, 0) for f, w in own.items()) for e in examples], 9)
+        best = [i for i in np.lexsort((np.arange(len(ids)), -cosine)) if cosine[i] > 0][: model.k]
+        votes = [cosine[i] * model.weights[int(model.index.labels[i])] for i in best]
+        bad = sum(v for v, i in zip(votes, best) if model.index.labels[i])
+        x = math.log((bad + model.quiet) / (sum(votes) - bad + model.quiet))
+        want = 1 / (1 + math.exp(-(model.line[0] + model.line[1] * x)))
+        assert model.score(text)[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_of_a_long_text_with_one_telling_word(toxic_model):
+    """It is not taken for that word."""
+    rng = random.Random(4)
+    plain = [f"word{i}" for i in range(200)]
+    long = " ".join(rng.choice(plain) for _ in range(20_000)) + " vilesta"
+    model = toxic_model[2]
+    assert model.score(long)[0] < 0.5 < model.score(" ".join(long.split()[-20:]) + " ugliest")[0]
+
+
+def test_toxicity_of_rare_wording(spark):
+    """Wording that stands in three of 150 toxic examples tells too."""
+    rng = random.Random(2)
+    plain = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        w = [rng.choice(plain) for _ in range(25)]
+        if i % 4 == 0:
+            w[3:6] = ["grubbish", "blaggard", "snivelly"] if i < 12 else [rng.choice(["vile", "foul"]), "nasty", "rotten"]
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit(df, df)
+    text = " ".join(rng.choice(plain) for _ in range(20)) + " grubbish blaggard snivelly"
+    assert model.score(text)[0] > 0.5 > model.score(" ".join(rng.choice(plain) for _ in range(23)))[0]
+
+
+def test_toxicity_of_equal_texts(spark):
+    """Labels that differ on equal texts count as toxic, whichever row comes first."""
+    rows = [(i, f"plain words number {i}", 0) for i in range(30)] + [(50 + i, "awful muck here", i % 2) for i in range(8)]
+    rows += [(80 + i, f"awful muck of kind {i}", 1) for i in range(5)]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+        model = fit(df, df)
+        got = {r.doc_id: (r.score, r.evidence) for r in toxicity_scores(df, model).collect()}
+        assert got[50][0] > 0.5 and got[50][1].startswith("50:") and got[51] == got[50]
+
+
 def test_toxicity_odd_rows(spark, toxic_model, odd, none):
     model = toxic_model[2]
     got = toxicity_scores(odd, model).collect()
