@@ -16,6 +16,7 @@ if _ROOT not in sys.path:
 
 from pyspark import cloudpickle  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Window as W  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import linkloom  # noqa: E402
@@ -69,13 +70,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, a null id as the largest; of rows equal in both one
     stays.  Documents without words link with nothing and stay.
     """
-    one = _key(docs).dropDuplicates(["__doc", "__twin"])
-    ordered = one.repartitionByRange("__doc", "__twin").sortWithinPartitions("__doc", "__twin")
-    # Row numbers rise with the ids, so the smallest number of a group is its smallest id.
-    numbered = stage(ordered.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
-    groups = jaccard_join(numbered, id_col="__row", words=5, percent=80)
-    stays = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__row"))
-    return numbered.join(stays, "__row", "left_semi").select(*docs.columns)
+    keyed = _key(docs).withColumn("__key", F.xxhash64("__doc", "__twin"))
+    groups = jaccard_join(keyed, id_col="__key", words=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    # Without the texts: the first row of each group.
+    names = ["__key", "__doc", "__twin"]
+    first = (
+        keyed.select(*names)
+        .distinct()
+        .join(groups, "__key")
+        .groupBy("component_id")
+        .agg(F.min(F.struct("__doc", "__twin", "__key")).alias("first"))
+        .select("first.*")
+    )
+    equal = W.partitionBy(*names).orderBy("__key")
+    kept = keyed.join(first, names, "left_semi").withColumn("__n", F.row_number().over(equal))
+    return kept.filter("__n = 1").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
