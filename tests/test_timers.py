@@ -130,3 +130,39 @@ def test_periodic_schedule_has_no_end(spark):
         got = run(spark, stream)
     assert sorted(r.attempt for r in got.collect()) == list(range(1, 9))
     assert got.agg(F.max("tick")).first()[0] == START + 29 * HOUR
+
+
+def test_due_urls_share_the_state_of_their_group(spark):
+    """As many states as groups, however many URLs there are; each URL keeps its own plan."""
+    rng = random.Random(7)
+    urls = [(f"u{i}", START + rng.randrange(12 * 3600) * (HOUR / 3600)) for i in range(60)]
+    batches = [urls[:25], urls[25:] + urls[:5], *TICKS]
+    schema = "url string, ts timestamp"
+    got = {}
+    with timed_state(spark):
+        for groups in (1, 3, 4_096):
+            checkpoint = scratch_path(spark, "groups")
+            stream = stream_due_urls(
+                files(spark, schema, *[[(r[0], r[1]) if len(r) == 2 else (None, r[1]) for r in b] for b in batches]),
+                fibonacci_waits(1.5 * HOUR, 5), HOUR, START, groups=groups,
+            )
+            got[groups] = sorted((r.url, r.tick, r.attempt) for r in run(spark, stream, checkpoint).collect())
+            plans = spark.read.format("statestore").option("stateVarName", "plan").load(checkpoint)
+            assert plans.count() <= min(groups, 60)
+    want = []
+    for url, ts in urls:
+        due = -(-(ts - START) // HOUR)
+        for attempt, wait in enumerate((1, 1, 2, 3, 0), 1):
+            want.append((url, START + due * HOUR, attempt))
+            due += -(-(wait * 1.5 * HOUR) // HOUR)
+    assert got[1] == got[3] == got[4_096] == sorted(want)
+
+
+def test_rows_are_numbered_range_by_range(spark):
+    from workload.queries import _numbered
+
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("a"), F.lit("x").alias("b")).repartition(7)
+    got = _numbered(rows, ["a", "b"], "ord")
+    assert [tuple(r) for r in got.orderBy("a").collect()] == [(i, "x", i + 1) for i in range(500)]
+    assert "Exchange SinglePartition" not in got._jdf.queryExecution().toString()
+    assert _numbered(rows.limit(0), ["a"], "ord").count() == 0
