@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,19 +63,18 @@ def _charset(content_type: Column, body: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _decode_other(bodies: pd.Series, labels: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _decode_other(bodies: pa.Array, labels: pa.Array) -> pa.Array:
     def decode(body: bytes, label: str) -> str:
         try:
-            text = bytes(body).decode(label, "replace")
+            text = body.decode(label, "replace")
         except (LookupError, ValueError):
-            text = bytes(body).decode("cp1252", "replace")
+            text = body.decode("cp1252", "replace")
         return text.removeprefix("\ufeff")
 
-    return pd.Series(
-        [None if body is None else decode(body, label) for body, label in zip(bodies, labels)],
-        dtype=object,
-    )
+    # One body at a time: a batch of them is not held a second time.
+    pairs = ((body.as_py(), label.as_py()) for body, label in zip(bodies, labels))
+    return pa.array((None if body is None else decode(body, label) for body, label in pairs), pa.string())
 
 
 def decode_bodies(

@@ -81,8 +81,8 @@ def _scan_links(
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[int, int, str, str]] = []
-            for row, body in enumerate(batch.column(html).to_numpy(zero_copy_only=False)):
-                if body:
+            for row, body in enumerate(batch.column(html)):
+                if body := body.as_py():
                     for link in links(body):
                         rows.append(row)
                         found.append(link)

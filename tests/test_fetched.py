@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.schemas import FETCH_RESULT
 from linkloom.sources import decode_bodies, fetch_failures, follow_frontier, items_to_pages
@@ -89,3 +90,25 @@ def test_declared_charset_late_in_the_head(spark):
     after = b"<html><head></head><body>" + b'<meta charset="koi8-r">' + "é".encode("cp1252")
     got = {r.url: r.text for r in decode_bodies(results(spark, ("a", 200, "", late), ("b", 200, "", after))).collect()}
     assert got["a"].endswith("д") and got["b"].endswith("é")
+
+
+def test_payloads_reach_python_in_batches_of_bounded_bytes(spark):
+    """A batch is bounded by its bytes, not by its rows alone; decoding gives the same in any batch."""
+    import pyarrow as pa
+
+    from workload.views import Tables
+
+    Tables(spark, "unused")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    body = F.encode(F.repeat(F.concat(F.lit("é"), F.col("id") % 10), 5_000), "UTF-16LE")
+    rows = spark.range(0, 900, 1, 1).select(
+        F.col("id").cast("string").alias("url"), F.lit(200).alias("status"),
+        F.lit("text/html; charset=utf-16le").alias("content_type"), body.alias("body"),
+    )
+    assert rows.select("body").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5_000_000
+    got = decode_bodies(rows).where(F.col("text") == F.repeat(F.concat(F.lit("é"), F.col("url").cast("int") % 10), 5_000))
+    assert got.count() == 900
