@@ -272,3 +272,43 @@ def test_filter_catalog(spark):
     assert [r.line for r in describe_filters(catalog).collect()] == [
         "ITEM_TITLE:A\n", "ITEM_TITLE:B\n",
     ]
+
+
+def test_rule_table_by_pairs_of_words(spark, monkeypatch):
+    """Rules of one to four words, words in words, repeated ones; sent, and joined for their vocabulary."""
+    from linkloom.operators import item_filters
+
+    rng = random.Random(11)
+    words = ["a", "ab", "abc", "bcd", "longest", "longer", "long", "er", "x", "yz", "über", "ß1", "word", "sword"]
+    items = spark.createDataFrame([(i, " ".join(rng.sample(words, rng.randint(0, 4)))) for i in range(150)] + [(999, None)], "n int, title string")
+    rules = [" ".join(rng.choices(words, k=rng.randint(2, 4))) for _ in range(60)] + ["long yz x", "yz long", "sword word"]
+    table = spark.createDataFrame([(r,) for r in rules], "title string")
+    want = sorted(
+        r.n for r in items.collect()
+        if r.title is not None and any(all(w in r.title for w in rule.split()) for rule in rules)
+    )
+    assert 0 < len(want) < 150
+    assert sorted(r.n for r in filter_titles_by_rules(items, table).collect()) == want
+    assert sorted(r.n for r in filter_titles_by_rules(items, table, sent=0).collect()) == want
+    # A vocabulary beyond its bound is not sent either.
+    monkeypatch.setattr(item_filters, "SENT_VOCABULARY", 10)
+    joined = filter_titles_by_rules(items, table)
+    assert "Join LeftSemi" in joined._jdf.queryExecution().toString()
+    assert sorted(r.n for r in joined.collect()) == want
+
+
+def test_sent_rules_are_arrays():
+    """A table of rules takes a few bytes for each of its words in a worker."""
+    import pickle
+
+    import pyarrow as pa
+
+    from linkloom.operators.item_filters import _RuleMatcher, _Rules
+
+    names = [f"w{i}x" for i in range(1_000)]
+    rules = pa.array([[names[i % 1_000], names[(i * 7 + i // 1_000) % 1_000], names[(i * 13) % 1_000]] for i in range(50_000)])
+    packed = _Rules(rules)
+    assert len(pickle.dumps(packed)) < 50_000 * 24
+    matches = _RuleMatcher(packed)
+    assert matches(f"z{names[3]} {names[21]} {names[39]}") and not matches(f"{names[3]} {names[21]}")
+    assert not _RuleMatcher(_Rules(pa.array([["a", "b"], ["b", "c", "d"]])))("a c d")
