@@ -312,3 +312,14 @@ def test_sent_rules_are_arrays():
     matches = _RuleMatcher(packed)
     assert matches(f"z{names[3]} {names[21]} {names[39]}") and not matches(f"{names[3]} {names[21]}")
     assert not _RuleMatcher(_Rules(pa.array([["a", "b"], ["b", "c", "d"]])))("a c d")
+
+
+def test_many_rules_are_the_rows_of_their_view(spark):
+    from __spark_entry__ import SMOKE_DIR
+    from workload.queries import _many_rules
+    from workload.views import Tables
+
+    t = Tables(spark, SMOKE_DIR)
+    got, want = _many_rules(t), t["v_many_rules"]
+    assert "split_part" not in got._jdf.queryExecution().toString()
+    assert got.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
