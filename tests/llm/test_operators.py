@@ -254,6 +254,78 @@ def test_toxicity_of_equal_texts(spark):
         assert got[50][0] > 0.5 and got[50][1].startswith("50:") and got[51] == got[50]
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Each wording stands in two of 4,400 toxic rows: all of them tell, and every row is in the index."""
+    rows = [(i, f"sneer snarl{i // 2:04}x here {i}", 1) for i in range(4_400)] + [(9_000 + i, f"plain words number {i}", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = fit(df, df)
+    assert sorted(model.index.ids.tolist()) == list(range(4_400))
+    assert all(f"snarl{i:04}x" in model.vectors.number for i in range(2_200))
+    got = {r.doc_id: r for r in toxicity_scores(df, model).collect()}
+    assert len(got) == 4_800 and all(got[i].predicted == y for i, _, y in rows)
+    assert all(f"{i ^ 1}:" in got[i].evidence and f"{i}:" in got[i].evidence for i in range(4_400))
+
+
+def test_toxicity_counts_words_of_all_rows(spark):
+    """The norm of a text knows how frequent a word is that no example has."""
+    import math
+
+    rows = [(i, f"vile a{i}", 1) for i in range(20)] + [(20 + i, f"fine b{i}", 0) for i in range(20)]
+    rows += [(40 + i, f"often c{i}", None) for i in range(60)] + [(100, "vile often", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = fit(df, df)
+    idf = lambda n: math.log1p(101 / n)
+    want = idf(21) / math.hypot(idf(21), idf(61)) * idf(21) / math.hypot(idf(21), idf(1))
+    assert model.score("vile often")[1] == [(i, round(want, 4), 1) for i in range(3)]
+    got = {r.doc_id: r for r in toxicity_scores(df, model).collect()}
+    assert got[100].evidence == ",".join(f"{i}:{round(want, 4):g}:1" for i in range(3))
+    # The same where the counts of frequent words are looked up too.
+    model.vectors.frequent = {}
+    again = {r.doc_id: r for r in toxicity_scores(df, model).collect()}
+    assert all(again[i].score == pytest.approx(r.score, abs=1e-12) and again[i].evidence == r.evidence for i, r in got.items())
+
+
+def test_toxicity_by_segments(spark, toxic_model, monkeypatch):
+    """Examples that are sent a few at a time give what one index gives."""
+    from linkloom.llm import toxicity
+
+    docs, labels, model = toxic_model
+    monkeypatch.setattr(toxicity, "SEGMENT", 15)
+    parts = fit(docs, spark.createDataFrame(labels[:300], "doc_id long, toxic int"))
+    assert model.segments == 1 and parts.segments > 3
+    assert parts.quiet == pytest.approx(model.quiet) and parts.line == pytest.approx(model.line)
+    want = {r.doc_id: r for r in toxicity_scores(docs, model).collect()}
+    got = {r.doc_id: r for r in toxicity_scores(docs, parts).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i].score == pytest.approx(r.score, abs=1e-9) and got[i].evidence == r.evidence for i, r in want.items())
+
+
+def test_toxicity_without_telling_words(spark):
+    rows = [(i, f"same words {i % 7}", i % 2) for i in range(40)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").selectExpr("*", "1 AS same")
+    model = fit(df, df)
+    assert model.segments == 0
+    scores = toxicity_scores(df, model).collect()
+    assert len(scores) == 41 and len({r.score for r in scores}) == 1
+    assert without_toxic(df, model).count() == (41 if scores[0].score < 0.5 else 0)
+
+
+def test_without_toxic_keeps_repeated_rows(spark, toxic_model):
+    rows = [(1, "word1 word2"), (1, "word1 word2"), (None, "word1 word2"), (2, None), (2, None), (3, "vilesta ugliest"), (None, "vilesta ugliest")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS score")
+    got = sorted(without_toxic(docs, toxic_model[2]).collect(), key=str)
+    assert got == sorted(docs.collect()[:5], key=str)
+
+
+def test_toxicity_of_rows_that_repeat_an_id(spark):
+    """Rows that repeat id and text are one example, whose words count once."""
+    rows = [(i, f"rotten thing {i}", 1) for i in range(20)] * 2 + [(50 + i, f"other thing {i}", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = fit(df, df)
+    assert model.index.ids.tolist() == list(range(20))
+    assert model.weights.tolist() == [1.0, 1.0]
+
+
 def test_toxicity_odd_rows(spark, toxic_model, odd, none):
     model = toxic_model[2]
     got = toxicity_scores(odd, model).collect()
